@@ -7,10 +7,14 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import idstore, sentencepieces, tokencounts
+from . import htmltext, idstore, mixing, secretscan, sentencepieces, tokencounts
 from .common import shared_dir, table, vocabulary
 
 
+def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmltext.extract(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = vocabulary("piece_bpe_32k.model")
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -19,6 +23,17 @@ def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decoded.select("doc_id", "n_tokens", "ids_sha256", F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"))
 
 
+def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secretscan.scan(table(spark, sf_dir, "documents"))
+    counts = [secretscan.count_kind(F.col("spans"), k).alias(f"n_{x}") for k, x in enumerate(secretscan.KINDS)]
+    base = secretscan.spans_text(F.col("spans"), (0, 1, 2))
+    return found.select("doc_id", *counts, F.sha2(base.cast("binary"), 256).alias("base_sha256"), secretscan.spans_text(F.col("spans")).alias("spans"))
+
+
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"), seed=1, power=0.5).select("doc_id", "copy", "order_key", "source", "n_chars", "text")
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     counted = tokencounts.count_tokens(docs, vocabulary("piece_bpe_32k.model"))
@@ -32,9 +47,35 @@ def op10_content_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_html_text": op1_html_text,
     "op2_sentencepiece": op2_sentencepiece,
+    "op3_secrets": op3_secrets,
+    "op6_mixing": op6_mixing,
     "op7_token_counts": op7_token_counts,
     "op10_content_store": op10_content_store,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op6_mixing": """
+        WITH RECURSIVE own AS (SELECT source, coalesce(sum(n_chars), 0)::DOUBLE AS own FROM documents GROUP BY source),
+        goal AS (SELECT source, own, CASE WHEN own > 0 THEN pow(own, 0.5) ELSE 0 END AS goal FROM own),
+        rate AS (SELECT source, round(CASE WHEN own > 0 THEN goal / sum(goal) OVER () * sum(own) OVER () / own ELSE 0 END, 9) AS rate FROM goal),
+        part AS (SELECT source, greatest(1, ceil(rate / 16.0))::INT AS parts, rate / greatest(1, ceil(rate / 16.0)) AS lam FROM rate),
+        cdf AS (
+            SELECT source, parts, lam, 0 AS k, exp(-lam) AS p, exp(-lam) AS c FROM part
+            UNION ALL
+            SELECT source, parts, lam, k + 1, p * lam / (k + 1), c + p * lam / (k + 1) FROM cdf WHERE k < 95
+        ),
+        drawn AS (
+            SELECT d.doc_id, d.source, ('0x' || substr(md5(coalesce(d.doc_id::VARCHAR, 'null') || ':1:' || j::VARCHAR), 1, 13))::BIGINT / pow(2.0, 52) AS u, j
+            FROM (SELECT DISTINCT doc_id, source FROM documents) d JOIN part ON d.source IS NOT DISTINCT FROM part.source, generate_series(1, part.parts) AS s(j)
+        ),
+        counts AS (
+            SELECT n.doc_id, n.source, sum(n.k) AS n
+            FROM (SELECT doc_id, drawn.source, j, count(cdf.k) AS k FROM drawn LEFT JOIN cdf ON drawn.source IS NOT DISTINCT FROM cdf.source AND cdf.c <= u GROUP BY ALL) n
+            GROUP BY ALL
+        )
+        SELECT d.doc_id, copy, md5(coalesce(d.doc_id::VARCHAR, 'null') || ':' || copy::VARCHAR || ':order1') AS order_key, d.source, d.n_chars, d.text
+        FROM documents d JOIN counts c ON d.doc_id IS NOT DISTINCT FROM c.doc_id AND d.source IS NOT DISTINCT FROM c.source, generate_series(0, c.n::BIGINT - 1) AS g(copy)
+    """,
+}
