@@ -1,0 +1,32 @@
+"""Connected components of a graph given by its links, for graphs that only the cluster can hold."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import written
+
+
+def components(links: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -> DataFrame:
+    """node, root: for each node of a link, the least node of its component.
+
+    Each round gives a node the least root among its neighbours' and then that root's own root, so that the number of
+    rounds grows with the logarithm of a component's diameter. Every round is written to the shared folder.
+    """
+    both = written(links.select(F.col(a).alias("u"), F.col(b).alias("v")).unionByName(links.select(F.col(b).alias("u"), F.col(a).alias("v"))).where("u != v").distinct(), "links")
+    roots = written(both.groupBy("u").agg(F.min("v").alias("v")).select(F.col("u").alias("node"), F.least("u", "v").alias("root")), "roots")
+    for _ in range(rounds):
+        # what a node's neighbours have, given to the node's root and to the node
+        seen = both.join(roots.select(F.col("node").alias("v"), F.col("root").alias("r")), "v").groupBy("u").agg(F.min("r").alias("r"))
+        near = roots.join(seen.select(F.col("u").alias("node"), "r"), "node").select("node", "root", F.least("root", "r").alias("best"))
+        told = near.where("best < root").groupBy(F.col("root").alias("node")).agg(F.min("best").alias("hook"))
+        hooked = near.join(told, "node", "left").select("node", "root", F.least("best", F.coalesce("hook", "best")).alias("best"))
+        jump = hooked.select(F.col("node").alias("best"), F.col("best").alias("over"))
+        new = hooked.join(jump, "best", "left").select("node", F.least("best", F.coalesce("over", "best")).alias("root"), (F.least("best", F.coalesce("over", "best")) < F.col("root")).alias("moved"))
+        new = written(new, "roots")
+        moved = new.where("moved").limit(1).count()
+        roots = new.select("node", "root")
+        if not moved:
+            return roots
+    raise RuntimeError(f"components did not settle in {rounds} rounds")

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import htmltext, idstore, mixing, secretscan, sentencepieces, tokencounts
+from . import bagminhash, htmltext, idstore, mixing, secretscan, sentencepieces, tokencounts, toxicity
 from .common import shared_dir, table, vocabulary
 
 
@@ -40,6 +40,24 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 4096).alias("over_limit"))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    scored = toxicity.score(docs.select("doc_id", "lang", "text"), model)
+    return scored.select(
+        "doc_id",
+        F.coalesce(toxicity.fold(F.col("doc_id")) == 0, F.lit(False)).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+        (F.col("score") >= toxicity.limit(model, F.col("lang"))).alias("over_language_limit"),
+    )
+
+
+def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = bagminhash.classes(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "class_id", "class_rows", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept"))
+
+
 def op10_content_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{shared_dir(spark)}/idstore-{uuid.uuid4().hex}"
     idstore.write_ids(table(spark, sf_dir, "documents"), path, vocabulary("byte_bpe_50k.json"), end_id=2)
@@ -52,6 +70,8 @@ QUERIES = {
     "op3_secrets": op3_secrets,
     "op6_mixing": op6_mixing,
     "op7_token_counts": op7_token_counts,
+    "op8_toxicity": op8_toxicity,
+    "op9_near_duplicates": op9_near_duplicates,
     "op10_content_store": op10_content_store,
 }
 
