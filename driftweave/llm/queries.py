@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bagminhash, htmltext, idstore, mixing, secretscan, sentencepieces, tokencounts, toxicity
+from . import bagminhash, htmltext, idstore, maxscore, mixing, nndescent, secretscan, sentencepieces, tokencounts, toxicity
 from .common import shared_dir, table, vocabulary
 
 
@@ -30,6 +30,15 @@ def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(base.cast("binary"), 256).alias("base_sha256"), secretscan.spans_text(F.col("spans")).alias("spans"))
 
 
+def op4_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = maxscore.quantized(table(spark, sf_dir, "embeddings"))
+    return maxscore.top_k(vectors, vectors.where("vec_id % 20 = 0"), 20)
+
+
+def op5_vector_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nndescent.classes(table(spark, sf_dir, "embeddings"), 0.98)
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"), seed=1, power=0.5).select("doc_id", "copy", "order_key", "source", "n_chars", "text")
 
@@ -68,6 +77,8 @@ QUERIES = {
     "op1_html_text": op1_html_text,
     "op2_sentencepiece": op2_sentencepiece,
     "op3_secrets": op3_secrets,
+    "op4_top_k": op4_top_k,
+    "op5_vector_classes": op5_vector_classes,
     "op6_mixing": op6_mixing,
     "op7_token_counts": op7_token_counts,
     "op8_toxicity": op8_toxicity,
@@ -76,6 +87,27 @@ QUERIES = {
 }
 
 ORACLES: dict[str, str] = {
+    "op4_top_k": """
+        WITH v AS (
+            SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS e FROM embeddings
+            WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ),
+        pairs AS (SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.e, c.e)::BIGINT AS score FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0),
+        ranked AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank, vec_id, score FROM pairs)
+        SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20
+    """,
+    "op5_vector_classes": """
+        WITH RECURSIVE v AS (
+            SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings
+            WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+        ),
+        links AS (SELECT a.vec_id AS u, b.vec_id AS v FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.e, b.e) >= 0.98),
+        reach AS (SELECT u, v FROM links UNION SELECT r.u, l.v FROM reach r JOIN links l ON r.v = l.u),
+        least AS (SELECT u, min(v) AS lo FROM reach GROUP BY u),
+        degree AS (SELECT u, count(*) AS n FROM links GROUP BY u)
+        SELECT e.vec_id, coalesce(n, 0)::BIGINT AS n_links, least(e.vec_id, coalesce(lo, e.vec_id)) AS component_id, e.vec_id = least(e.vec_id, coalesce(lo, e.vec_id)) AS kept
+        FROM embeddings e LEFT JOIN least ON least.u = e.vec_id LEFT JOIN degree ON degree.u = e.vec_id
+    """,
     "op6_mixing": """
         WITH RECURSIVE own AS (SELECT source, coalesce(sum(n_chars), 0)::DOUBLE AS own FROM documents GROUP BY source),
         goal AS (SELECT source, own, CASE WHEN own > 0 THEN pow(own, 0.5) ELSE 0 END AS goal FROM own),
