@@ -247,10 +247,10 @@ class _StreamReader(SimpleDataSourceStreamReader):
 
     def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
         end = min(self.n, start["idx"] + self.step)
-        return self._rows(start["idx"], end), {"idx": end}
+        return iter(list(self._rows(start["idx"], end))), {"idx": end}
 
     def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:
-        return self._rows(start["idx"], end["idx"])
+        return iter(list(self._rows(start["idx"], end["idx"])))
 
     def commit(self, end: dict) -> None:
         pass
