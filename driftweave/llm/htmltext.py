@@ -71,13 +71,14 @@ def tokens(page: str) -> Iterator[tuple[str, str, bool]]:
         if not tag:
             continue
         if m[2]:
+            inside = side > 0  # the end of a side container belongs to it
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i][0] == tag:
                     for name, marked, own in stack[i:]:
                         side, links, articles = side - marked, links - (name == "a"), articles - own
                     del stack[i:]
                     break
-            yield f"tag:{tag}", "", side > 0
+            yield f"tag:{tag}", "", inside
             continue
         own = tag in ("article", "main")
         marked = _side(tag, m[4] or "", articles > 0)
@@ -111,7 +112,8 @@ def blocks(page: str, weights: dict[str, float] | None = None) -> list[tuple[str
         nonlocal parts, kinds
         text = " ".join("".join(parts).split())
         if text or kinds:
-            score = sum(weights.get(k, -0.5) * n for k, n in kinds.items()) if weights else 0.0
+            # in a side container only words count, so that its tags do not cut the text around it in two
+            score = sum(weights.get(k, -0.5) * n for k, n in kinds.items() if not was or k[:4] != "tag:") if weights else 0.0
             out.append((text, score, was, kinds))
         parts, kinds = [], Counter()
 
