@@ -4,8 +4,9 @@ Rolling hashes over the ids cut each document's id stream into chunks; a chunk i
 stored once; each document has a recipe, the list of its chunks, with the Merkle root over them; a manifest has the root
 over all recipes of a file. Files are Parquet, written and read by Spark, so any file system of the cluster will do:
 
-    kind=chunk/   key, data (ids as little-endian unsigned 32-bit integers)
+    kind=chunk/   key, data (ids as little-endian unsigned integers of 16 bits, or of 32 where the vocabulary needs them)
     recipe/       doc_id, place (MD5 of the text), chunks, root, n_tokens, file, start; in ascending doc_id order
+    format/       bytes of an id
     manifest/     of each file of recipes: first and last id, rows, root over the rows' roots
 
 Chunk bytes cross the network once, to meet their copies. Reading back joins only names with lengths and checksums, as
@@ -21,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -28,11 +30,13 @@ from pyspark.sql import functions as F
 from .common import narrow, removed, text_batches
 
 #: Rolling window in ids; a chunk ends where the low bits of its hash are zero, within these bounds.
-WINDOW, LEAST, MOST, BITS = 16, 64, 2048, 8
-CACHE_WORDS = 800_000
+WINDOW, LEAST, MOST, BITS = 16, 128, 4096, 9
+CACHE_WORDS = 1_200_000
 #: White space that byte-level patterns may join across a single space, and rare kinds of it.
-_ODD = re.compile(r"  |\s \s|[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200b\u2028\u2029\u202f\u205f\u3000\ufeff]")
-_INNER = re.compile("[\n\t\r]")
+#: White space that byte-level patterns may join across a single space: texts with it are encoded whole.
+_JOINED = ("  ", *(f"{a} {b}" for a in "\n\t\r" for b in "\n\t\r"))
+_ODD = re.compile(r"[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200b\u2028\u2029\u202f\u205f\u3000\ufeff]")
+_EDGE = re.compile(r"[\n\t\r] [\n\t\r]|^[\n\t\r]|[\n\t\r]$")
 
 _encoders: dict[str, "ByteEncoder"] = {}
 
@@ -66,7 +70,9 @@ class ByteEncoder:
         self.starts = np.zeros(max(vocab.values()) + 1, bool)
         for x, i in vocab.items():
             self.starts[i] = x[:1] == "Ġ"
-        self.cache: dict[str, bytes] = {}
+        #: ids are stored in two bytes where all of the vocabulary fits
+        self.kind = np.dtype("<u2" if len(self.starts) <= 1 << 16 else "<u4")
+        self.cache: dict[str, bytes | None] = {}
 
     @classmethod
     def at(cls, path: str) -> "ByteEncoder":
@@ -77,34 +83,60 @@ class ByteEncoder:
     def _ids(self, texts: list[str]) -> list[list[int]]:
         return [x.ids for x in self.tk.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _raw(self, ids: list[int] | np.ndarray) -> bytes:
+        return np.asarray(ids, self.kind).tobytes()
+
     def _learn(self, words: list[str]) -> None:
-        """Ids of each word behind a space. Many words go into one call: only a word's first id begins with a space."""
-        plain = [w for w in words if not _INNER.search(w)]
-        for w, ids in zip(odd := [w for w in words if _INNER.search(w)], self._ids([" " + w for w in odd])):
-            self.cache[w] = np.array(ids, "<u4").tobytes()
-        groups = [plain[i : i + 500] for i in range(0, len(plain), 500)]
-        for group, ids in zip(groups, self._ids([" " + " ".join(g) for g in groups])):
-            flat = np.array(ids, "<u4")
+        """Ids of each word behind a space. Many words go into one call: only a word's first id begins with a space.
+
+        None for words with rare white space: their texts are encoded whole.
+        """
+        groups = [words[i : i + 500] for i in range(0, len(words), 500)]
+        joined = [" " + " ".join(g) for g in groups]
+        single: list[str] = []
+        for i, x in enumerate(joined):
+            if _ODD.search(x) or _EDGE.search(x) or "  " in x:
+                for w in groups[i]:
+                    if _ODD.search(w):
+                        self.cache[w] = None
+                    else:
+                        single.append(w)
+                groups[i], joined[i] = [], ""
+        for w, ids in zip(single, self._ids([" " + w for w in single])):
+            self.cache[w] = self._raw(ids)
+        for group, ids in zip(groups, self._ids(joined)):
+            flat = np.array(ids, np.int64)
             at = np.flatnonzero(self.starts[flat])
             assert len(at) == len(group), "a word must have one id that begins with a space"
-            raw, ends = flat.tobytes(), [*(4 * at[1:]).tolist(), 4 * len(flat)]
+            raw, width = self._raw(flat), self.kind.itemsize
             a = 0
-            for w, b in zip(group, ends):
+            for w, b in zip(group, [*(width * at[1:]).tolist(), len(raw)]):
                 self.cache[w] = raw[a:b]
                 a = b
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """Little-endian 32-bit ids of each text, as encode(text, add_special_tokens=False) of the library has them."""
-        whole = [not self.words or x[-1:] == " " or any(s in x for s in self.special) or _ODD.search(x) is not None for x in texts]
-        parts = [[] if w else x.split(" ") for x, w in zip(texts, whole)]
+        """Ids of each text as little-endian integers of the type `kind`, as the library's encode(text, add_special_tokens=False) has them."""
+        whole = [not self.words or x[-1:] == " " or any(s in x for s in self.special) or any(s in x for s in _JOINED) for x in texts]
+        parts = [[""] if w else x.split(" ") for x, w in zip(texts, whole)]
         if len(self.cache) > CACHE_WORDS:
             self.cache.clear()
         cache = self.cache
-        new = list(set().union(*(p[1:] for p in parts)).difference(cache)) if parts else []
+        heads = [p[0] for p in parts]
+        for p in parts:
+            p[0] = p[-1]  # a text's first word has no space before it, so it is not looked up
+        new = list(set().union(*parts).difference(cache)) if parts else []
         if new:
             self._learn(new)
-        first = iter(self._ids([x if w else p[0] for x, w, p in zip(texts, whole, parts)]))
-        return [np.array(next(first), "<u4").tobytes() + b"".join([cache[w] for w in p[1:]]) for p in parts]
+        find, rest = cache.__getitem__, []
+        for i, p in enumerate(parts):
+            try:
+                rest.append(b"" if whole[i] or len(p) < 2 else b"".join([*map(find, p)][1:]))
+                whole[i] = whole[i] or len(p) < 2 or _ODD.search(heads[i]) is not None
+            except TypeError:  # None: a word with rare white space
+                rest.append(b"")
+                whole[i] = True
+        first = self._ids([x if w else h for x, w, h in zip(texts, whole, heads)])
+        return [self._raw(f) + (b"" if w else r) for f, w, r in zip(first, whole, rest)]
 
 
 def cuts(ids: np.ndarray, ends: np.ndarray, table: np.ndarray) -> list[list[int]]:
@@ -151,9 +183,9 @@ def merkle(names: list[bytes]) -> bytes:
     return level[0]
 
 
-def _crc_matrices(most: int = 48) -> np.ndarray:
-    """For each k, the 32 columns of the operator that appends 2^k zero bytes to a CRC-32."""
-    def times(m, v):
+def _crc_tables(most: int = 44) -> np.ndarray:
+    """For each k, what appending 2^k zero bytes makes of each value of each byte of a CRC-32."""
+    def times(m: list[int], v: int) -> int:
         out = 0
         for i in range(32):
             if v >> i & 1:
@@ -163,27 +195,39 @@ def _crc_matrices(most: int = 48) -> np.ndarray:
     m = [0xEDB88320] + [1 << i for i in range(31)]  # one zero bit
     for _ in range(3):
         m = [times(m, x) for x in m]
-    out = []
-    for _ in range(most):
-        out.append(m)
+    out = np.zeros((most, 4, 256), np.uint64)
+    for k in range(most):
+        for byte in range(4):
+            for v in range(256):
+                out[k, byte, v] = times(m[8 * byte : 8 * byte + 8] + [0] * 24, v)
         m = [times(m, x) for x in m]
-    return np.array(out, np.uint64)
+    return out
 
 
-_MATRICES = _crc_matrices()
+_TABLES: list[np.ndarray] = []
 
 
-def crc_combine(a: int, b: int, n: int) -> int:
-    """CRC-32 of two byte strings in a row, from that of each and the length of the second."""
+def crc_whole(crc: np.ndarray, sizes: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
+    """CRC-32 of each of n byte strings, from those of its parts in order and the parts' lengths; `owner` ascends.
+
+    A CRC is linear: a part adds its own, moved on by the bytes behind it.
+    """
+    if not _TABLES:
+        _TABLES.append(_crc_tables())
+    tables = _TABLES[0]
+    total = np.bincount(owner, sizes, n).astype(np.int64)
+    ends = np.cumsum(sizes)
+    behind = np.repeat(np.cumsum(total), np.bincount(owner, minlength=n)) - ends
+    v = crc.astype(np.uint64)
     k = 0
-    while n:
-        if n & 1:
-            m = _MATRICES[k]
-            bits = np.array([a >> i & 1 for i in range(32)], np.uint64)
-            a = int(np.bitwise_xor.reduce(m * bits))
-        n >>= 1
+    while (behind >> k).any():
+        at = np.flatnonzero(behind >> k & 1)
+        x = v[at]
+        v[at] = tables[k, 0][x & np.uint64(255)] ^ tables[k, 1][x >> np.uint64(8) & np.uint64(255)] ^ tables[k, 2][x >> np.uint64(16) & np.uint64(255)] ^ tables[k, 3][x >> np.uint64(24)]
         k += 1
-    return a ^ b
+    out = np.zeros(n, np.uint64)
+    np.bitwise_xor.at(out, owner, v)
+    return out.astype(np.int64)
 
 
 STORE = "kind string, key binary, data binary, doc_id long, place string, chunks array<binary>, sizes array<int>, root binary"
@@ -202,15 +246,16 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, doc_i
         from pyspark import TaskContext
 
         encoder, table, task, row = ByteEncoder.at(tokenizer), gear(1 << 17), TaskContext.get().partitionId(), 0
-        end = np.array([end_id], "<u4").tobytes()
+        width = encoder.kind.itemsize
+        end = encoder._raw([end_id])
         for batch, texts in text_batches(batches, "text"):
             raws = [x + end for x in encoder.encode(texts)]
-            flat = np.frombuffer(b"".join(raws), "<u4")
-            ends = np.cumsum(np.fromiter(map(len, raws), np.int64, len(raws)) // 4)
+            flat = np.frombuffer(b"".join(raws), encoder.kind)
+            ends = np.cumsum(np.fromiter(map(len, raws), np.int64, len(raws)) // width)
             chunks: dict[bytes, bytes] = {}
             names, sizes, roots = [], [], []
             for raw, own in zip(raws, cuts(flat, ends, table)):
-                parts = [raw[4 * a : 4 * b] for a, b in zip([0, *own], own)]
+                parts = [raw[width * a : width * b] for a, b in zip([0, *own], own)]
                 keys = [hashlib.sha256(p).digest() for p in parts]
                 chunks.update(zip(keys, parts))
                 names.append(keys)
@@ -227,8 +272,13 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, doc_i
 
     rows = narrow(docs, doc_id=doc_id, text=text).withColumn("doc_id", F.col("doc_id").cast("long")).mapInArrow(run, STORE)
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    unique = rows.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(_once, STORE)
-    unique.write.partitionBy("kind").parquet(path)
+    unique = rows.repartition(parts, "key").mapInArrow(_once, STORE)
+    # ids hardly compress, and chunks do not repeat: neither codec nor dictionary would help
+    unique.write.partitionBy("kind").option("compression", "uncompressed").option("parquet.enable.dictionary", "false").parquet(path)
+    none = spark.createDataFrame([], STORE)  # so that a store of no documents has files too
+    none.select("key", "data", "doc_id", "place", "chunks", "sizes", "root").write.mode("append").parquet(f"{path}/kind=chunk")
+    none.select("key", "data", "doc_id", "place", "chunks", "sizes", "root").write.mode("append").parquet(f"{path}/kind=staged")
+    spark.range(1).select(F.lit(ByteEncoder.at(tokenizer).kind.itemsize).alias("width")).write.parquet(f"{path}/format")
     staged = spark.read.schema("doc_id long, place string, chunks array<binary>, sizes array<int>, root binary").parquet(f"{path}/kind=staged")
     sized = staged.withColumn("n_tokens", F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + x)).drop("sizes")
     with_starts(sized, ("doc_id", "place"), path=f"{path}/ranged").write.parquet(f"{path}/recipe")
@@ -259,12 +309,14 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, doc_i
 
 
 def _once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The first row of each run of equal keys; rows come sorted by key."""
-    last = None
+    """The first row of each key; equal keys stand in one partition, whose keys are a small part of its bytes."""
+    seen: set[bytes] = set()
     for batch in batches:
-        keys = batch.column("key").to_pylist()
-        yield batch.filter(pa.array([k != p for k, p in zip(keys, [last, *keys])]))
-        last = keys[-1] if keys else last
+        keep = []
+        for k in batch.column("key").to_pylist():
+            keep.append(k not in seen)
+            seen.add(k)
+        yield batch.filter(pa.array(keep, pa.bool_()))
 
 
 def read_recipes(spark: SparkSession, path: str) -> DataFrame:
@@ -277,42 +329,50 @@ def read_chunks(spark: SparkSession, path: str) -> DataFrame:
 
 def read_ids(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, place and the ids of each document, put together from its recipe's chunks."""
-    places = read_recipes(spark, path).select("doc_id", "place", F.posexplode("chunks").alias("k", "key"))
-    joined = places.join(read_chunks(spark, path), "key")
+    recipes = read_recipes(spark, path).withColumn("row", F.monotonically_increasing_id())
+    joined = recipes.select("row", "doc_id", "place", "n_tokens", F.posexplode("chunks").alias("k", "key")).join(read_chunks(spark, path), "key")
 
-    def ids(data: pa.Array) -> pa.Array:
-        return pa.array([np.frombuffer(b"".join(x), "<u4").astype(np.int64) for x in data.to_pylist()], pa.list_(pa.int64()))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raws = [b"".join(p["data"] for p in row) for row in batch.column("parts").to_pylist()]
+            ids = [np.frombuffer(x, f"<u{len(x) // n}").astype(np.int64) for x, n in zip(raws, batch.column("n_tokens").to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("place"), pa.array(ids, pa.list_(pa.int64()))], names=["doc_id", "place", "ids"])
 
-    unpack = F.arrow_udf(ids, "array<long>")
-    return joined.groupBy("doc_id", "place").agg(F.sort_array(F.collect_list(F.struct("k", "data"))).alias("parts")).select("doc_id", "place", unpack(F.col("parts.data")).alias("ids"))
+    rows = joined.groupBy("row", "doc_id", "place", "n_tokens").agg(F.sort_array(F.collect_list(F.struct("k", "data"))).alias("parts"))
+    return rows.mapInArrow(run, "doc_id long, place string, ids array<long>")
 
 
 def read_digests(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, place, start, n_tokens, ids_crc32 and verified, from the files.
 
-    Every chunk's bytes are read, checked against its name and summed; recipes then take lengths and sums of their
-    chunks, and are checked against their roots. No bytes of ids are shuffled.
+    Every chunk's bytes are read, checked against its name and summed as 32-bit integers; recipes then take lengths and
+    sums of their chunks, and are checked against their roots. No bytes of ids are shuffled.
     """
+    width = spark.read.parquet(f"{path}/format").first()["width"]
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data = batch.column("data").to_pylist()
-            good = [hashlib.sha256(x).digest() == k for x, k in zip(data, batch.column("key").to_pylist())]
-            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array([len(x) // 4 for x in data], pa.int64()), pa.array([zlib.crc32(x) for x in data], pa.int64()), pa.array(good)], names=["key", "n", "crc", "good"])
+            data, keys = batch.column("data").to_pylist(), batch.column("key").to_pylist()
+            good = [hashlib.sha256(x).digest() == k for x, k in zip(data, keys)]
+            crc = [zlib.crc32(np.frombuffer(x, f"<u{width}").astype("<u4")) for x in data]
+            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array([len(x) // width for x in data], pa.int64()), pa.array(crc, pa.int64()), pa.array(good)], names=["key", "n", "crc", "good"])
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, crc, good = [], [], []
-            for row in batch.column("parts").to_pylist():
-                a, total = 0, 0
-                for p in row:
-                    a, total = crc_combine(a, p["crc"], 4 * p["n"]), total + p["n"]
-                n.append(total)
-                crc.append(a)
-                good.append(all(p["good"] for p in row))
-            roots = [merkle([p["key"] for p in row]) for row in batch.column("parts").to_pylist()]
-            good = [g and r == x for g, r, x in zip(good, roots, batch.column("root").to_pylist())]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("place"), batch.column("start"), pa.array(n, pa.int64()), pa.array(crc, pa.int64()), pa.array(good)], names=["doc_id", "place", "start", "n_tokens", "ids_crc32", "verified"])
+            lists = batch.column("parts")
+            n = len(lists)
+            counts = pa.compute.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+            owner = np.repeat(np.arange(n), counts)
+            flat = lists.flatten()
+            sizes, crc, good = (flat.field(c).to_numpy(zero_copy_only=False) for c in ("n", "crc", "good"))
+            keys = flat.field("key").to_pylist()
+            ends = np.cumsum(counts).tolist()
+            bad = np.bincount(owner, ~good.astype(bool), n)
+            same = [merkle(keys[a:b]) == r for a, b, r in zip([0, *ends], ends, batch.column("root").to_pylist())]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), batch.column("place"), batch.column("start"), pa.array(np.bincount(owner, sizes, n).astype(np.int64)), pa.array(crc_whole(crc, 4 * sizes.astype(np.int64), owner, n)), pa.array((bad == 0) & np.array(same, bool))],
+                names=["doc_id", "place", "start", "n_tokens", "ids_crc32", "verified"],
+            )
 
     found = read_chunks(spark, path).mapInArrow(sums, "key binary, n long, crc long, good boolean")
     recipes = read_recipes(spark, path).withColumn("row", F.monotonically_increasing_id())
