@@ -34,16 +34,21 @@ def _solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(names[root])], names=["node", "root"])
 
 
-def components(links: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -> DataFrame:
-    """node, root: for each node of a link, the least node of its component.
-
-    Each round gives a node the least root among its neighbours' and then that root's own root, so that the number of
-    rounds grows with the logarithm of a component's diameter. Every round is written to the shared folder.
-    """
+def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+    """node, root: for each node of a link, the least node of its component."""
     if dict(links.dtypes)[a] == "bigint" and dict(links.dtypes)[b] == "bigint":
         links = written(links.select(a, b), "links")
         if links.count() <= ONE_TASK:
             return written(links.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u is not null and v is not null").coalesce(1).mapInArrow(_solve, "node long, root long"), "roots")
+    return in_rounds(links, a, b)
+
+
+def in_rounds(links: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -> DataFrame:
+    """As `components`, for nodes of any type that has an order, and always spread over the cluster.
+
+    Each round gives a node the least root among its neighbours' and then that root's own root, so that the number of
+    rounds grows with the logarithm of a component's diameter. Every round is written to the shared folder.
+    """
     both = written(links.select(F.col(a).alias("u"), F.col(b).alias("v")).unionByName(links.select(F.col(b).alias("u"), F.col(a).alias("v"))).distinct(), "links")
     roots = written(both.groupBy("u").agg(F.min("v").alias("v")).select(F.col("u").alias("node"), F.least("u", "v").alias("root")), "roots")
     for _ in range(rounds):
