@@ -8,6 +8,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.storage import removed, shared_dir, written  # noqa: F401
+
 #: Bytes of text that a Python worker handles at once.
 BATCH_BYTES = 4 << 20
 
@@ -40,32 +42,3 @@ def text_batches(batches: Iterator[pa.RecordBatch], text: str, limit: int = BATC
 def narrow(df: DataFrame, **columns: str) -> DataFrame:
     """Only the named columns, under the names of the keywords, so that extra columns cannot clash."""
     return df.select(*(F.col(f"`{c}`").alias(k) for k, c in columns.items()))
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share, as the cluster names it in spark.checkpoint.dir."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        import tempfile
-
-        if not hasattr(shared_dir, "own"):
-            shared_dir.own = tempfile.mkdtemp(prefix="shared-")
-        folder = f"file://{shared_dir.own}"  # only where the setting is unset, as in tests
-    return folder.rstrip("/")
-
-
-def written(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> DataFrame:
-    """`df` written as Parquet in the shared folder and read again: lineage ends here, and a lost executor costs nothing."""
-    import uuid
-
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.partitionBy(*partition_by).parquet(path)
-    return spark.read.schema(df.schema).parquet(path) if not partition_by else spark.read.parquet(path)
-
-
-def removed(spark: SparkSession, path: str) -> None:
-    """Deletes a folder through Spark's file system layer."""
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)

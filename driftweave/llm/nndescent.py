@@ -16,8 +16,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..operators.components import in_rounds as components
 from .common import narrow, written
-from .components import components
 
 #: Neighbours kept for a vector, and taken of those that name it; tables of projections; vectors of a block.
 LIST, BACK, TABLES, BLOCK = 8, 4, 10, 512
