@@ -42,8 +42,7 @@ def runs(spark: SparkSession, algorithms: Sequence[str], datasets: Sequence[str]
     series = written(quality.join(pending, by), "series")
     index = drift_window_at(F.col("drift_idx"), every) if strict else drift_window_before(F.col("drift_idx"), every)
     drifts = points(spark, datasets, seeds, n, "drifts").select(F.col("stream").alias("dataset"), "seed", index.alias("drift"))
-    names = spark.createDataFrame([(a,) for a in algorithms], "algorithm string")
-    drifts = written(drifts.withColumn("algorithm", F.explode(F.array(*(F.lit(a) for a in algorithms)))), "drifts") if algorithms else names.join(drifts)
+    drifts = written(drifts.withColumn("algorithm", F.explode(F.array(*(F.lit(a) for a in algorithms)))), "drifts")
     means = series.groupBy(*KEYS).agg(
         *(F.avg(c).alias(f"{n}_mean") for c, n in (("quality", "quality"), ("purity", "purity"), ("coverage", "coverage"), ("ari", "ari"))),
         F.avg("pending").alias("pending_ratio"),
@@ -64,13 +63,22 @@ def main(argv: Sequence[str] | None = None) -> None:
     parser.add_argument("--seeds", type=int, nargs="+", default=list(streams.SEEDS))
     parser.add_argument("--jobs", type=int, default=4, help="tasks at a time")
     parser.add_argument("--quick", action="store_true", help="two seeds and 2,000 points")
+    parser.add_argument("--strict", action="store_true", help="two algorithms on all datasets, by the strict measures")
     parser.add_argument("--out", default="benchmark_outputs")
     args = parser.parse_args(argv)
     spark = SparkSession.builder.master(f"local[{args.jobs}]").config("spark.sql.shuffle.partitions", str(4 * args.jobs)).getOrCreate()
-    found = written(runs(spark, list(drivers.ALGORITHMS), streams.ALL, streams.QUICK_SEEDS if args.quick else args.seeds, 2000 if args.quick else 5000), "runs")
+    seeds, n = (streams.QUICK_SEEDS, 2000) if args.quick else (args.seeds, 5000)
+    tag = time.strftime("%Y%m%d_%H%M%S")
+    if args.strict:
+        found = written(runs(spark, ["tight", "tight_drift"], streams.FULL, seeds, n, strict=True), "runs")
+        short = summary.seed_summary_population(found)
+        summary.write_csv(short, f"{args.out}/comparison_{tag}_summary.csv")
+        summary.write_csv(summary.series_summary(found), f"{args.out}/comparison_{tag}_series.csv")
+        short.orderBy("dataset", "algorithm").show(100, truncate=False)
+        return
+    found = written(runs(spark, list(drivers.ALGORITHMS), streams.ALL, seeds, n), "runs")
     detail = summary.detail_table(found)
     short = written(summary.seed_summary(detail), "summary")
-    tag = time.strftime("%Y%m%d_%H%M%S")
     summary.write_csv(detail, f"{args.out}/benchmark_{tag}_detail.csv")
     summary.write_csv(short, f"{args.out}/benchmark_{tag}_summary.csv")
     for row in summary.ranking_lines(short, ["tight", "tight_drift"]).orderBy("dataset", "place").collect():

@@ -58,10 +58,10 @@ def _labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _series(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Window qualities between 0 and 1, and drifts in window 6, 22, 38, ..."""
+    """Window qualities between 0 and 1, and a drift every 16 windows from the sixth on."""
     own = spark.read.parquet(f"{sf_dir}/events.parquet").groupBy(F.floor(F.col("event_id") / 50).cast("long").alias("window")).agg((F.count_if(F.col("value") < 40) / F.count("*")).alias("quality"))
-    drifts = own.where("window % 16 = 6").select(F.col("window").alias("drift"))
-    return own, drifts
+    last = own.agg(F.max("window").alias("last"))
+    return own, last.select(F.explode(F.expr("sequence(6L, greatest(6L, last), 16L)")).alias("drift"))
 
 
 def _runs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,7 +81,7 @@ SEQ = "s AS (SELECT event_type, event_id, value, row_number() OVER (PARTITION BY
 LABELLED = "l AS (SELECT event_id // 50 AS win, event_id + 1 AS seq, length(event_type)::INT AS y, CASE WHEN value < 5 THEN -1 ELSE floor(value / 20)::BIGINT % 4 END AS pred FROM events)"
 CELLS = f"{LABELLED}, wins AS (SELECT DISTINCT win FROM l), cells AS (SELECT win, pred, y, count(*) AS c FROM l WHERE pred >= 0 GROUP BY ALL), clusters AS (SELECT win, pred, sum(c)::DOUBLE AS n, max(c) AS top, sum(c * (c - 1) / 2.0) AS s FROM cells GROUP BY ALL), classes AS (SELECT win, y, sum(c)::DOUBLE AS n FROM cells GROUP BY ALL)"
 RAND = f"{CELLS}, r AS (SELECT win, sum(s) AS s, sum(n * (n - 1) / 2) AS a, count(*) AS nc, sum(n) AS n FROM clusters GROUP BY win), k AS (SELECT win, sum(n * (n - 1) / 2) AS b, count(*) AS nk FROM classes GROUP BY win), rand AS (SELECT win, n, nc, nk, CASE WHEN s = a AND s = b THEN 1.0 ELSE (s - a * b / (n * (n - 1) / 2)) / ((a + b) / 2 - a * b / (n * (n - 1) / 2)) END AS ari FROM r JOIN k USING (win))"
-SERIES = "ser AS (SELECT event_id // 50 AS win, count(*) FILTER (value < 40) / count(*) AS q FROM events GROUP BY 1), dr AS (SELECT win AS drift FROM ser WHERE win % 16 = 6)"
+SERIES = "ser AS (SELECT event_id // 50 AS win, count(*) FILTER (value < 40) / count(*) AS q FROM events GROUP BY 1), dr AS (SELECT unnest(generate_series(6, greatest(6, max(win)), 16)) AS drift FROM ser)"
 RUNS = "b AS (SELECT event_type AS algorithm, 'd' || (user_id % 3) AS dataset, (user_id % 5)::INT AS seed, count(*) FILTER (value < 40) / count(*) AS q, count(*) AS n FROM events GROUP BY ALL)"
 
 
@@ -301,12 +301,13 @@ def recovery_strict(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recovery.recovery(*_series(spark, sf_dir), after=0, least_drop=0.02)
 
 
-DETECTED = "d AS (SELECT event_id AS t FROM events WHERE value > 250), tr AS (SELECT event_id AS drift FROM events WHERE event_id % 1000 = 500), hit AS (SELECT t, drift, t - drift AS lag, row_number() OVER (PARTITION BY t ORDER BY abs(t - drift), drift) AS r FROM d JOIN tr ON abs(t - drift) <= 125), m AS (SELECT d.t, drift AS nearest_real_drift, lag AS lag_to_real, CASE WHEN drift IS NULL THEN 'false_positive' WHEN lag < 0 THEN 'early' ELSE 'true_positive' END AS verdict FROM d LEFT JOIN hit ON hit.t = d.t AND r = 1)"
+DETECTED = "d AS (SELECT event_id AS t FROM events WHERE value > 250), tr AS (SELECT unnest(generate_series(500, greatest(500, max(event_id)), 1000)) AS drift FROM events), hit AS (SELECT t, drift, t - drift AS lag, row_number() OVER (PARTITION BY t ORDER BY abs(t - drift), drift) AS r FROM d JOIN tr ON abs(t - drift) <= 125), m AS (SELECT d.t, drift AS nearest_real_drift, lag AS lag_to_real, CASE WHEN drift IS NULL THEN 'false_positive' WHEN lag < 0 THEN 'early' ELSE 'true_positive' END AS verdict FROM d LEFT JOIN hit ON hit.t = d.t AND r = 1)"
 
 
 def _detected(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     own = spark.read.parquet(f"{sf_dir}/events.parquet")
-    return own.where("value > 250").select(F.col("event_id").alias("t")), own.where("event_id % 1000 = 500").select(F.col("event_id").alias("drift"))
+    drifts = own.agg(F.max("event_id").alias("last")).select(F.explode(F.expr("sequence(500L, greatest(500L, last), 1000L)")).alias("drift"))
+    return own.where("value > 250").select(F.col("event_id").alias("t")), drifts
 
 
 @query(f"WITH {DETECTED} SELECT t, nearest_real_drift, lag_to_real, verdict FROM m")
@@ -330,7 +331,7 @@ def timing_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 def drift_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = drivers.detect(_events(spark, sf_dir), "event_type", "seq", "value", k_lambda=1.0, k_slope=1.0, confirm_steps=1, accel_floor=0.01).where("fired")
     events = own.select("event_type", F.col("seq").alias("t"), "direction", F.col("abruptness_score").alias("score"), "acceleration", F.lit(0).alias("n_mcs"), F.lit(0).alias("n_macros"))
-    drifts = _events(spark, sf_dir).where("seq % 400 = 0").select("event_type", F.col("seq").alias("drift"))
+    drifts = _events(spark, sf_dir).groupBy("event_type").agg(F.max("seq").alias("last")).select("event_type", F.explode(F.expr("sequence(400L, greatest(400L, last), 400L)")).alias("drift"))
     matched = timing.match_drifts(events, drifts, 100, ["event_type"])
     return timing.drift_log(matched).join(matched.select("t", "verdict"), "t").distinct()
 

@@ -105,6 +105,7 @@ class Ball:
     points: list = field(default_factory=list)
     center: np.ndarray | None = None
     macro: int = -1
+    version: int = 0  # of the centre
 
     def __len__(self) -> int:
         return len(self.times)
@@ -124,7 +125,8 @@ class Ball:
         return bool(self.times)
 
     def _center(self) -> None:
-        self.center = np.mean(self.points, axis=0)
+        self.center = np.add.reduce(self.points, axis=0) / len(self.points)
+        self.version += 1
 
     def contains(self, x: np.ndarray) -> bool:
         return bool(np.sqrt(((x - self.center) ** 2).sum()) <= self.radius)
@@ -139,6 +141,9 @@ class StreamClusterer:
         self.balls: list[Ball] = []
         self.macros: dict[int, list[Ball]] = {}
         self.next_macro = self.next_ball = 0
+        self.pool_version, self.tried = 0, -1
+        self.known: dict[tuple, np.ndarray] = {}  # groups of balls whose centres have not moved since
+        self.used: dict[tuple, np.ndarray] = {}
 
     # one point -------------------------------------------------------------------------------------------------------
 
@@ -164,7 +169,9 @@ class StreamClusterer:
             if len(ball) >= self.N:
                 kept.append(ball)
             else:
-                self.pool += zip(ball.times, ball.points)
+                if ball.times:
+                    self.pool += zip(ball.times, ball.points)
+                    self.pool_version += 1
                 ball.macro = -1
         self.balls = kept
 
@@ -182,10 +189,11 @@ class StreamClusterer:
             ball.add(self.t, x)
         else:
             self.pool = [p for p in [*self.pool, (self.t, x)] if p[0] > cutoff]
+            self.pool_version += 1
 
     def form_balls(self) -> None:
-        if len(self.pool) < self.N:
-            return
+        if len(self.pool) < self.N or self.tried == self.pool_version:
+            return  # the same pool gave no more balls the last time
         x = np.array([p for _, p in self.pool])
         radius = shared_radius_of(x, min(self.snn_k, len(x) - 1), self.r_max, self.tk, self.mk)
         allowed = hashed_near(x, self.n_tables, self.n_hashes) if self.backend == "lsh" and len(x) >= 4 else None
@@ -199,7 +207,11 @@ class StreamClusterer:
             ball._center()
             self.balls.append(ball)
             taken[own] = True
-        self.pool = [p for p, used in zip(self.pool, taken) if not used]
+        if taken.any():
+            self.pool = [p for p, used in zip(self.pool, taken) if not used]
+            self.pool_version += 1
+        else:
+            self.tried = self.pool_version
 
     def attach(self) -> None:
         """Free balls join the macro of the nearest assigned ball within twice its radius."""
@@ -215,7 +227,11 @@ class StreamClusterer:
                 self.macros.setdefault(ball.macro, []).append(ball)
 
     def _groups(self, balls: list[Ball]) -> list[list[Ball]]:
-        labels = tight_groups(np.array([b.center for b in balls]), self.k, self.alpha)
+        key = tuple((b.id, b.version) for b in balls)
+        labels = self.known.get(key)
+        if labels is None:
+            labels = tight_groups(np.array([b.center for b in balls]), self.k, self.alpha)
+        self.used[key] = labels
         return [[b for b, v in zip(balls, labels) if v == g] for g in range(labels.max(initial=-1) + 1)]
 
     def _found(self, balls: list[Ball]) -> int:
@@ -236,6 +252,7 @@ class StreamClusterer:
 
     def split_macros(self) -> None:
         """Each macro keeps its largest component; others of enough balls become macros, the rest is free again."""
+        self.known, self.used = {**self.known, **self.used}, {}
         alive = set(map(id, self.balls))
         gone: list[int] = []
         new: dict[int, list[Ball]] = {}
@@ -262,6 +279,7 @@ class StreamClusterer:
             self.macros[macro] = group
             for b in group:
                 b.macro = macro
+        self.known = self.used
 
     def drop_macros(self, n_micro: int) -> None:
         alive = set(map(id, self.balls))
