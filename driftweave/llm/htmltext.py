@@ -36,8 +36,12 @@ SIDE_WORDS = frozenset(
 _HEAD_WORDS, _OWN_WORDS = frozenset("header head top".split()), frozenset("article entry post story content main body text title page".split())
 
 
-def _side(tag: str, attrs: str, in_article: bool) -> bool:
-    if tag in SIDE or (tag == "header" and not in_article):
+#: Words that turn a mark round: a class like "with-sidebar" or "no-ads" speaks of something else.
+_ABOUT = frozenset("with without has have no not show hide is js".split())
+
+
+def _side(tag: str, attrs: str, in_article: bool, lenient: bool = False) -> bool:
+    if tag in SIDE and not (lenient and tag == "form") or (tag == "header" and not in_article and not lenient):
         return True
     if not attrs or "=" not in attrs and "hidden" not in attrs:
         return False
@@ -47,15 +51,21 @@ def _side(tag: str, attrs: str, in_article: bool) -> bool:
             return True
         if name == "aria-hidden" and value.lower() == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
             return True
-        if name in ("class", "id", "role") and tag not in ("body", "html", "main"):
-            words = {x.lower() for x in _WORDS.findall(value)}
-            if words & SIDE_WORDS or (words & _HEAD_WORDS and not words & _OWN_WORDS and not in_article and tag not in ("h1", "h2")):
-                return True
+        if name in ("class", "id", "role") and tag not in ("body", "html", "main") and not lenient:
+            for part in value.split():
+                words = {x.lower() for x in _WORDS.findall(part)}
+                if words & _ABOUT:
+                    continue
+                if words & SIDE_WORDS or (words & _HEAD_WORDS and not words & _OWN_WORDS and not in_article and tag not in ("h1", "h2")):
+                    return True
     return False
 
 
-def tokens(page: str) -> Iterator[tuple[str, str, bool]]:
-    """(kind, text, marked): kind is 'tag:<name>' or a kind of words; marked where a side container holds the token."""
+def tokens(page: str, lenient: bool = False) -> Iterator[tuple[str, str, bool]]:
+    """(kind, text, marked): kind is 'tag:<name>' or a kind of words; marked where a side container holds the token.
+
+    `lenient` takes only elements that are side containers by name, not forms, headers or what attributes say.
+    """
     stack: list[tuple[str, bool, bool]] = []  # element, opened a side container, the element itself is article or main
     side = links = articles = 0
     at = 0
@@ -81,7 +91,7 @@ def tokens(page: str) -> Iterator[tuple[str, str, bool]]:
             yield f"tag:{tag}", "", inside
             continue
         own = tag in ("article", "main")
-        marked = _side(tag, m[4] or "", articles > 0)
+        marked = _side(tag, m[4] or "", articles > 0, lenient)
         if own and not marked and side and not articles:
             # an unclosed advert or menu before the article does not hold it
             while stack and side:
@@ -101,7 +111,7 @@ def tokens(page: str) -> Iterator[tuple[str, str, bool]]:
         yield words(page[at:])
 
 
-def blocks(page: str, weights: dict[str, float] | None = None) -> list[tuple[str, float, bool, Counter]]:
+def blocks(page: str, weights: dict[str, float] | None = None, lenient: bool = False) -> list[tuple[str, float, bool, Counter]]:
     """The page's blocks in order: text, score, marked, and counts of its kinds of tokens."""
     out: list[tuple[str, float, bool, Counter]] = []
     parts: list[str] = []
@@ -117,7 +127,7 @@ def blocks(page: str, weights: dict[str, float] | None = None) -> list[tuple[str
             out.append((text, score, was, kinds))
         parts, kinds = [], Counter()
 
-    for kind, text, marked in tokens(page):
+    for kind, text, marked in tokens(page, lenient):
         if kind[:4] == "tag:":
             if kind[4:] in BLOCK:
                 close()
@@ -183,17 +193,20 @@ def labelled_pages() -> list[tuple[str, str]]:
 
 
 def main_text(page: str, weights: dict[str, float]) -> str:
-    """Main text of one page; '' where no token scores above zero."""
-    found = blocks(page, weights)
-    best = total = 0.0
-    start = first = end = 0
-    for i, (_, score, _, _) in enumerate(found):
-        if total <= 0:
-            total, start = 0.0, i
-        total += score
-        if total > best:
-            best, first, end = total, start, i + 1
-    return "\n\n".join(text for text, _, marked, _ in found[first:end] if text and not marked)
+    """Main text of one page; '' where no token scores above zero, also if only side containers by name count."""
+    for lenient in (False, True):
+        found = blocks(page, weights, lenient)
+        best = total = 0.0
+        start = first = end = 0
+        for i, (_, score, _, _) in enumerate(found):
+            if total <= 0:
+                total, start = 0.0, i
+            total += score
+            if total > best:
+                best, first, end = total, start, i + 1
+        if text := "\n\n".join(text for text, _, marked, _ in found[first:end] if text and not marked):
+            return text
+    return ""
 
 
 def extract(pages: DataFrame, weights: dict[str, float] | None = None, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:

@@ -209,11 +209,13 @@ def test_extract(spark):
         "<html><body><nav><a href=/>Home</a></nav><div class='ad'>Buy now</div><article><h1>T&eacute;st</h1><p>Some  long\n text here.</p><aside>Related things to read now</aside><p>More text.</p><div class=comments><p>First!</p></div></article><footer>bye</footer>",
         "<script>var t='</p>';</script><style>p{}</style><!-- <p>x</p> --><p>Kept text is here</p><form>Name <input></form>",
         "<p" * 50_000,
+        "<body><form id=aspnet><div class='content with-sidebar'><p>All of this page stands in a form.</p></div><div class='sidebar'>Side</div></form>",
     ]
     df = spark.createDataFrame([(i, f"u{i}", h, 1) for i, h in enumerate(pages)], "page_id long, url string, html string, text int")
     got = {r["page_id"]: r["text"] for r in htmltext.extract(df).collect()}
     assert got[0] == got[1] == "" and got[2] == "no tags at all" and got[3] == "One & two\n\nthree four"
     assert got[4] == "Tést\n\nSome long text here.\n\nMore text." and got[5] == "Kept text is here" and got[6] == ""
+    assert got[7].startswith("All of this page stands in a form.")
 
 
 def test_weights_give_back_the_labelled_pages():
