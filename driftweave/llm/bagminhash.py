@@ -7,8 +7,9 @@ its earliest point. Two documents agree in a register with exactly the weighted
 in order, so a process stops once it is later than all registers of its document.
 
 Registers are cut into bands; documents with an equal band are candidates. Equal word sequences are one node from the
-start. In each bucket every node is checked against one leader, by multiset overlap of the whole texts; nodes that are
-still in different components are then compared in blocks. No bucket is expanded into all its pairs, and none is cut off.
+start. In each bucket every node is checked against one leader, by multiset overlap of the whole texts; nodes that stand
+outside their bucket's largest component then ask all of its nodes, in blocks. No bucket is expanded into rows of all its
+pairs, and none is cut off.
 """
 
 from __future__ import annotations
@@ -21,8 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.components import in_rounds as components
 from .common import narrow, text_batches, written
-from .components import components
 
 SHINGLE, SIMILARITY = 5, 0.8
 #: At similarity 0.8 a pair shares no band with chance (1 - 0.8^4)^24, three in a million.
@@ -163,15 +164,16 @@ def sketch(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
     return slim.mapInArrow(run, schema)
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, rows: DataFrame, threshold: float) -> DataFrame:
-    """Of the pairs a, b of nodes, those whose texts' similarity reaches the threshold. Texts of such nodes only are moved."""
-    needed = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    # one row stands for all rows of a node
-    keys = rows.join(needed, "node").groupBy("node").agg(F.min(F.struct("doc_id", "text_hash")).alias("k")).select("node", "k.doc_id", "k.text_hash")
+def _texts(nodes: DataFrame, docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """node, text: the text of one row of each of the nodes."""
+    keys = rows.join(nodes, "node").groupBy("node").agg(F.min(F.struct("doc_id", "text_hash")).alias("k")).select("node", "k.doc_id", "k.text_hash")
     full = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
-    texts = keys.join(full, keys["doc_id"].eqNullSafe(full["doc_id"]) & (keys["text_hash"] == full["text_hash"])).select("node", "text").dropDuplicates(["node"])
-    texts = written(texts, "texts")
-    # the leader of many pairs comes last, so that its text joins rows that are already there
+    found = keys.withColumnsRenamed({"doc_id": "_id", "text_hash": "_own"}).join(full, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_own"))).select("node", "text")
+    return written(found.dropDuplicates(["node"]), "texts")
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """Of the pairs a, b of nodes, those whose whole texts' similarity reaches the threshold."""
     joined = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b").join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -182,7 +184,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, rows: DataFrame, threshold: flo
                 if held[0] != ta:
                     held = (ta, shingles([words(ta)])[1:])
                 keep.append(_overlap(*held[1], *shingles([words(tb)])[1:]) >= threshold)
-            yield batch.select(["a", "b"]).filter(pa.array(keep))
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return written(joined.select("a", "b", "ta", "tb").mapInArrow(run, "a binary, b binary"), "links")
 
@@ -203,50 +205,81 @@ def _likely(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def links(docs: DataFrame, rows: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
-    """Verified links a, b between nodes whose transitive closure is that of all pairs that share a band."""
+    """Verified links a, b between nodes whose transitive closure is that of all similar pairs that share a band."""
     nodes = written(rows.where("node is not null").select("node", "sig", "bands").dropDuplicates(["node"]), "nodes")
     members = nodes.select("node", F.explode("bands").alias("key"))
-    leaders = members.groupBy("key").agg(F.min("node").alias("a"), F.count("*").alias("n")).where("n > 1").drop("n")
+    counts = members.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    members = written(members.join(counts, "key"), "members")
+    texts = _texts(members.select("node").distinct(), docs, rows)
+    # a bucket's leader is the member with the most company over all its buckets: it stands in the middle of its group
+    company = members.groupBy("node").agg(F.sum("n").alias("c"))
+    leaders = members.join(company, "node").groupBy("key").agg(F.max(F.struct("c", "node")).alias("m")).select("key", F.col("m.node").alias("a"))
     pairs = members.join(leaders, "key").where("node != a").select("a", F.col("node").alias("b")).distinct()
-    found = _verified(written(_likely(pairs, nodes), "pairs"), docs, rows, threshold)
+    found = _verified(written(_likely(pairs, nodes), "pairs"), texts, threshold)
     roots = components(found)
     # nodes of one bucket that are still apart: all of them were checked against the leader, not against each other
-    shared = members.join(leaders.select("key"), "key").join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
-    mixed = shared.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n")).where("lo < hi and n > 2").select("key", "n")
-    apart = shared.join(mixed, "key").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    # each block meets every block of its bucket once: n nodes make n * blocks rows, not n * n
-    others = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least(j, F.col("block")).alias("lo"), F.greatest(j, F.col("block")).alias("hi")))
-    dealt = apart.withColumn("pair", F.explode(others)).join(nodes.select("node", "sig"), "node").select("key", F.col("pair.lo").alias("lo"), F.col("pair.hi").alias("hi"), "node", "root", "block", "sig")
-    rest = dealt.groupBy("key", "lo", "hi").applyInArrow(_cross, "a binary, b binary").distinct()
-    more = _verified(written(rest, "pairs"), docs, rows, threshold)
-    return found.unionByName(more)
-
-
-def _cross(key: tuple, table: pa.Table) -> pa.Table:
-    """Pairs of nodes of two blocks that are in different components and agree often enough, seen in their first shared band."""
-    band, lo, hi = (k.as_py() for k in key)
-    node = table.column("node").to_pylist()
+    shared = members.where("n > 2").select("key", "node").join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
+    shared = written(shared, "shared")
+    parts = shared.groupBy("key", "root").agg(F.count("*").alias("c")).groupBy("key").agg(F.max(F.struct("c", "root")).alias("top"), F.sum("c").alias("n"), F.count("*").alias("parts"))
+    mixed = parts.where("parts > 1").select("key", F.col("top.root").alias("major"), F.ceil((F.col("n") - F.col("top.c")) / BLOCK).cast("int").alias("asks"), F.ceil(F.col("n") / BLOCK).cast("int").alias("answers"))
+    # nodes outside a bucket's largest component ask all of its nodes, block by block: a * n / 256 rows for a that ask n
+    dealt = written(shared.join(mixed, "key").withColumn("minor", F.col("root") != F.col("major")), "dealt")
+    place = F.xxhash64("node")
+    asks = dealt.where("minor").withColumn("ask", F.pmod(place, "asks").cast("int")).withColumn("answer", F.explode(F.expr("sequence(0, answers - 1)")))
+    answers = dealt.withColumn("answer", F.pmod(place, "answers").cast("int")).withColumn("ask", F.explode(F.expr("sequence(0, asks - 1)")))
+    sides = asks.select("key", "ask", "answer", "node", "root", "minor", F.lit(True).alias("asking")).unionByName(answers.select("key", "ask", "answer", "node", "root", "minor", F.lit(False).alias("asking")))
+    full = sides.join(nodes.select("node", "sig").join(texts, "node"), "node")
+
+    def cross(key: tuple, table: pa.Table) -> pa.Table:
+        return _cross(key[0].as_py(), table, threshold)
+
+    more = full.select("key", "ask", "answer", "node", "root", "minor", "asking", "sig", "text").groupBy("key", "ask", "answer").applyInArrow(cross, "a binary, b binary")
+    return found.unionByName(written(more, "links"))
+
+
+def _cross(band: int, table: pa.Table, threshold: float) -> pa.Table:
+    """Links that connect components of the asking and the answering nodes; each pair is looked at in its first shared band.
+
+    The likeliest pairs come first, and pairs whose components are connected by then are left out, so there are fewer links
+    than nodes.
+    """
+    node, text = table.column("node").to_pylist(), table.column("text").to_pylist()
     sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint32).reshape(-1, REGISTERS)
-    root = np.unique(np.array(table.column("root").to_pylist(), dtype=object), return_inverse=True)[1]
-    block = table.column("block").to_numpy()
+    names: dict[bytes, int] = {}
+    part = np.array([names.setdefault(r, len(names)) for r in table.column("root").to_pylist()])
+    asking, minor = table.column("asking").to_numpy(), table.column("minor").to_numpy()
+    left, right = np.flatnonzero(asking), np.flatnonzero(~asking)
     keys = band_keys(sig)
+    found: list[tuple[int, int, int]] = []
+    for i in left.tolist():
+        others = right[part[right] != part[i]]
+        agree = (sig[others] == sig[i]).sum(axis=1)
+        others, agree = others[agree >= LEAST_AGREEING], agree[agree >= LEAST_AGREEING]
+        if len(others):
+            own = keys[i][(keys[others] == keys[i]).argmax(axis=1)] == band
+            found += [(-int(g), i, int(j)) for g, j in zip(agree[own], others[own]) if not minor[j] or node[i] < node[j]]
+    found.sort()
+    parent = list(range(len(names)))
+
+    def top(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    held: dict[int, tuple] = {}
     a, b = [], []
-    for i in range(len(node)):
-        if block[i] != lo:
-            continue
-        others = np.flatnonzero((root != root[i]) & (block == hi) & ((np.arange(len(node)) > i) | (lo != hi)))
-        if not len(others):
-            continue
-        agree = (sig[others] == sig[i]).sum(axis=1) >= LEAST_AGREEING
-        others = others[agree]
-        if not len(others):
+    for _, i, j in found:
+        x, y = top(part[i]), top(part[j])
+        if x == y:
             continue
-        same = keys[others] == keys[i]
-        own = keys[i][same.argmax(axis=1)] == band  # the pair's first shared band is this bucket
-        for j in others[own].tolist():
-            x, y = sorted((node[i], node[j]))
-            a.append(x)
-            b.append(y)
+        for k in (i, j):
+            if k not in held:
+                held[k] = shingles([words(text[k])])[1:]
+        if _overlap(*held[i], *held[j]) >= threshold:
+            parent[x] = y
+            a.append(node[i])
+            b.append(node[j])
     return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
 
 
@@ -268,13 +301,13 @@ def keep_one(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
     """The rows of `docs` that stand for their class: the least doc_id stays, texts without words all stay."""
     found = written(classes(docs, threshold=threshold), "classes")
     # a row goes if its id is not the least of its class; equal rows with the least id are told apart below
-    gone = found.where("class_id is not null and not (doc_id <=> class_id)").select("doc_id", "text_hash").distinct()
+    gone = found.where("class_id is not null and not (doc_id <=> class_id)").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_own")).distinct()
     hashed = docs.withColumn("_hash", F.xxhash64("text"))
-    left = hashed.join(gone, hashed["doc_id"].eqNullSafe(gone["doc_id"]) & (hashed["_hash"] == gone["text_hash"]), "left_anti")
+    left = hashed.join(gone, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_own")), "left_anti")
     twice = found.where("class_rows > 1 and doc_id <=> class_id").groupBy("class_root").agg(F.count("*").alias("n"), F.first("doc_id").alias("doc_id"), F.min("text_hash").alias("_keep")).where("n > 1").select("class_root", "doc_id", "_keep")
     if twice.limit(1).count():
-        names = found.join(twice.select("class_root", "_keep"), "class_root").where("doc_id <=> class_id").select("doc_id", "text_hash", "_keep").distinct()
-        marked = left.join(names, left["doc_id"].eqNullSafe(names["doc_id"]) & (left["_hash"] == names["text_hash"]), "left").drop(names["doc_id"], names["text_hash"])
+        names = found.join(twice.select("class_root", "_keep"), "class_root").where("doc_id <=> class_id").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_own"), "_keep").distinct()
+        marked = left.join(names, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_own")), "left").drop("_id", "_own")
         single = marked.where("_keep is null")
         first = marked.where("_keep is not null and _hash = _keep").dropDuplicates(["doc_id", "_hash"])
         left = single.unionByName(first).drop("_keep")
