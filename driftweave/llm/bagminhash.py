@@ -33,7 +33,7 @@ REGISTERS = ROWS * BANDS
 LEAST_AGREEING = 49
 #: Nodes of a bucket that are compared at once.
 BLOCK = 256
-CACHE_WORDS = 800_000
+CACHE_WORDS = 300_000
 
 _M1, _M2, _G = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 _cache: dict[str, int] = {}

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..plans.storage import removed, shared_dir, written  # noqa: F401
 
 #: Bytes of text that a Python worker handles at once.
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 2 << 20
 
 
 def vocabulary(name: str) -> str:

@@ -24,7 +24,7 @@ from .common import text_batches
 MARK = "▁"
 NONE = np.int32(2**31 - 1)
 #: Distinct words whose ids a worker keeps; the cache starts anew beyond this.
-CACHE_WORDS = 800_000
+CACHE_WORDS = 300_000
 
 _loaded: dict[str, "Pieces"] = {}
 
@@ -220,7 +220,7 @@ def _append(batch: pa.RecordBatch, name: str, values: pa.Array) -> pa.RecordBatc
 def encode(df: DataFrame, model: str, text: str = "text", ids: str = "ids") -> DataFrame:
     """`df` without its text and with the ids of each whole text; a null or empty text has no ids.
 
-    Repeated rows stay repeated; other columns pass through. Each batch of about 4 MB of text is encoded on its own, so
+    Repeated rows stay repeated; other columns pass through. Each batch of about 2 MB of text is encoded on its own, so
     memory does not depend on the number of rows.
     """
     rest = [c for c in df.columns if c not in (text, ids)]
