@@ -32,6 +32,8 @@ from .common import narrow, removed, text_batches
 #: Rolling window in ids; a chunk ends where the low bits of its hash are zero, within these bounds.
 WINDOW, LEAST, MOST, BITS = 16, 128, 4096, 9
 CACHE_WORDS = 1_200_000
+#: Bytes of text that are encoded at once: the more, the fewer words are met again as new.
+ENCODE_BYTES = 4 << 20
 #: White space that byte-level patterns may join across a single space, and rare kinds of it.
 #: White space that byte-level patterns may join across a single space: texts with it are encoded whole.
 _JOINED = ("  ", *(f"{a} {b}" for a in "\n\t\r" for b in "\n\t\r"))
@@ -248,7 +250,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, doc_i
         encoder, table, task, row = ByteEncoder.at(tokenizer), gear(1 << 17), TaskContext.get().partitionId(), 0
         width = encoder.kind.itemsize
         end = encoder._raw([end_id])
-        for batch, texts in text_batches(batches, "text"):
+        for batch, texts in text_batches(batches, "text", ENCODE_BYTES):
             raws = [x + end for x in encoder.encode(texts)]
             flat = np.frombuffer(b"".join(raws), encoder.kind)
             ends = np.cumsum(np.fromiter(map(len, raws), np.int64, len(raws)) // width)
