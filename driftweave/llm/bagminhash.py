@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import in_rounds as components
-from .common import narrow, text_batches, written
+from .common import claim, narrow, small_batches, text_batches, written
 
 SHINGLE, SIMILARITY = 5, 0.8
 #: At similarity 0.8 a pair shares no band with chance (1 - 0.8^4)^24, three in a million.
@@ -45,6 +45,10 @@ def mix(z: np.ndarray) -> np.ndarray:
     return z ^ (z >> np.uint64(31))
 
 
+def forget() -> None:
+    _cache.clear()
+
+
 def words(text: str) -> list[str]:
     """A text's words: what white space parts, in small letters."""
     return text.lower().split()
@@ -151,6 +155,7 @@ def sketch(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
     """doc_id, text_hash, node (MD5 of the word sequence; null without words), sig (registers) and bands of each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("bagminhash", forget)
         for batch, texts in text_batches(batches, "text"):
             parts = [words(x) for x in texts]
             sig = signatures(*shingles(parts), len(parts))
@@ -159,6 +164,7 @@ def sketch(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
             bands = pa.ListArray.from_arrays(pa.array(np.arange(len(parts) + 1, dtype=np.int32) * BANDS), pa.array(keys.ravel()))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), pa.array(nodes, pa.binary()), pa.array([r.tobytes() for r in sig], pa.binary()), bands], names=["doc_id", "text_hash", "node", "sig", "bands"])
 
+    small_batches(docs.sparkSession)
     slim = narrow(docs, doc_id=doc_id, text=text).select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
     schema = slim.select("doc_id", "text_hash", F.lit(None).cast("binary").alias("node"), F.lit(None).cast("binary").alias("sig"), F.lit(None).cast("array<long>").alias("bands")).schema
     return slim.mapInArrow(run, schema)
@@ -177,6 +183,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame
     joined = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b").join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("bagminhash", forget)
         held: tuple[str | None, tuple] = (None, ())
         for batch in batches:
             keep = []

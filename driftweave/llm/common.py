@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from ..plans.storage import removed, shared_dir, written  # noqa: F401
 
-#: Bytes of text that a Python worker handles at once.
+#: Rows of text that go to a Python worker at once, and bytes of text that it handles at once.
+ARROW_ROWS = 1000
 BATCH_BYTES = 2 << 20
 
 
@@ -39,6 +40,29 @@ def text_batches(batches: Iterator[pa.RecordBatch], text: str, limit: int = BATC
             yield batch.slice(start), texts[start:]
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Lets no more than ARROW_ROWS rows go to a Python worker at once: long texts make the usual 10,000 a large part of its memory."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= ARROW_ROWS:
+        spark.conf.set(key, str(ARROW_ROWS))
+
+
+#: What each operator keeps in its worker between tasks; workers are shared by the stages of a pipeline.
+_kept: dict[str, Callable[[], None]] = {}
+_owner: list[str] = []
+
+
+def claim(name: str, forget: Callable[[], None]) -> None:
+    """Tells that an operator's task begins in this worker: what other operators keep here is dropped."""
+    _kept[name] = forget
+    if _owner != [name]:
+        for other, drop in _kept.items():
+            if other != name:
+                drop()
+        _owner[:] = [name]
+        pa.default_memory_pool().release_unused()
+
+
 def narrow(df: DataFrame, **columns: str) -> DataFrame:
     """Only the named columns, under the names of the keywords, so that extra columns cannot clash."""
     return df.select(*(F.col(f"`{c}`").alias(k) for k, c in columns.items()))

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import narrow, text_batches
+from .common import narrow, small_batches, text_batches
 
 #: A comment, the raw text elements with their content, any other declaration, or a tag with its attributes.
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|title|svg|math|iframe|object|select)\b(?:[^>"']|"[^"]*"|'[^']*')*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>"']|"[^"]*"|'[^']*')*)(?:>|\Z)""", re.S | re.I)
@@ -211,6 +211,7 @@ def main_text(page: str, weights: dict[str, float]) -> str:
 
 def extract(pages: DataFrame, weights: dict[str, float] | None = None, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """page_id, url, text of every page. A null or empty page, or one without main text, has the text ''; repeated rows stay."""
+    small_batches(pages.sparkSession)
     weights = weights or fit_weights(labelled_pages())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

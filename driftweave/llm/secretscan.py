@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import narrow, text_batches, written
+from .common import claim, small_batches, text_batches, written
 
 #: The base patterns.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -156,9 +156,11 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", keep: tupl
     Offsets count code points; ends are exclusive. A null or empty text has no spans; repeated rows stay. The texts are
     read once: candidates go to the shared folder, the limit comes from their counts, and spans over it are dropped.
     """
+    small_batches(docs.sparkSession)
     schema = "array<struct<start:int,kind:int,end:int,bits:double>>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("secretscan", lambda: None)
         kind = pa.list_(pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32()), ("bits", pa.float64())]))
         for batch, texts in text_batches(batches, "text"):
             rows = []

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_batches
+from .common import small_batches, text_batches
 
 #: Texts of more characters than this are cut, at the first safe place behind each so many characters.
 CUT_CHARS = 16_384
@@ -90,6 +90,7 @@ def count_tokens(df: DataFrame, path: str, text: str = "text", n_tokens: str = "
 
     A null or empty text has 0 of both. Strings of special tokens inside a text count as the library's default has it.
     """
+    small_batches(df.sparkSession)
     rest = [c for c in df.columns if c not in (text, n_tokens, n_bytes)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
