@@ -2,8 +2,9 @@
 
 A neighbour graph starts from random-projection blocks and is refined by joins of neighbours with neighbours' neighbours.
 Links are the graph's edges of at least the threshold. Where a vector's list holds links only, the list was too short: the
-lists of its component are enlarged to all of the component's vectors, compared in blocks. An audit compares the links of
-a sample with brute force; while its recall is too low, more projections and refinements follow.
+lists of its component are enlarged to all vectors of all such components, compared in blocks, which may join components.
+An audit compares the links of a sample with brute force; while its recall is too low, more projections and refinements
+follow.
 """
 
 from __future__ import annotations
@@ -127,28 +128,104 @@ def _refine(graph: DataFrame, own: DataFrame) -> DataFrame:
     return written(_lists(graph.unionByName(found)), "graph")
 
 
-def _enlarged(edges: DataFrame, graph: DataFrame, roots: DataFrame, own: DataFrame, threshold: float) -> DataFrame:
-    """Node, n_links (with copies) of all nodes of components in which some list holds links only: all pairs, in blocks."""
+def _enlarged(graph: DataFrame, roots: DataFrame, own: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """Counts and links, as of `_compared`, of all nodes of components in which some list holds links only.
+
+    A node whose list has room names all its links itself, so that links between components that the lists miss have a full
+    list at both ends: these components are compared with one another, not with the rest.
+    """
     full = graph.where(F.col("cos") >= threshold).groupBy("u").agg(F.count("*").alias("n")).where(F.col("n") >= LIST).select(F.col("u").alias("node"))
     short = roots.join(full, "node").select("root").distinct()
-    held = written(roots.join(short, "root").join(own, "node").select("root", "node", "copies", "vec"), "held")
+    held = written(roots.join(short, "root").join(own, "node").select("label", "root", "node", "copies", "vec"), "held")
     sizes = held.groupBy("root").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    # a node's block meets every block once: m nodes make m * blocks rows, not m * m
-    placed = held.join(sizes, "root").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    others = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least(j, F.col("block")).alias("lo"), F.greatest(j, F.col("block")).alias("hi")))
-    dealt = placed.withColumn("pair", F.explode(others)).select("root", F.col("pair.lo").alias("lo"), F.col("pair.hi").alias("hi"), "block", "node", "copies", "vec")
+    cell = F.concat_ws(":", "root", F.pmod(F.xxhash64("node"), F.col("blocks")))
+    return _compared(held.join(sizes, "root").withColumn("cell", cell).drop("blocks"), threshold)
+
+
+def _pairs_of(rows: DataFrame, part: str, parts: str, *rest: str) -> DataFrame:
+    """Each row once for every part of its label that it meets: the pair's parts as lo and hi."""
+    others = F.transform(F.sequence(F.lit(0), F.col(parts) - 1), lambda j: F.struct(F.least(j, F.col(part)).alias("lo"), F.greatest(j, F.col(part)).alias("hi")))
+    return rows.withColumn("pair", F.explode(others)).select("label", F.col("pair.lo").alias("lo"), F.col("pair.hi").alias("hi"), part, *rest)
+
+
+def _compared(held: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """Of vectors in cells (label, root, cell, node, copies, vec): node, n (links, with copies); a, b (linked roots).
+
+    All pairs within a label, in blocks, but for pairs of cells that are too far apart to hold a link: a cell lies within
+    an angle of its mean, and angles obey the triangle inequality.
+    """
+
+    def ball(key: tuple, table: pa.Table) -> pa.Table:
+        vec = _matrix(table.column("vec"))
+        mean = vec.sum(axis=0)
+        size = np.sqrt(mean @ mean)
+        mean = mean / size if size > 1e-9 else vec[0]
+        angle = float(np.arccos(np.clip(vec @ mean, -1, 1)).max())
+        return pa.table({"label": table.column("label")[:1], "cell": table.column("cell")[:1], "mean": pa.array([mean.astype("<f8").tobytes()], pa.binary()), "angle": pa.array([angle])})
+
+    slim = held.select("label", "cell", "vec")
+    balls = written(slim.groupBy("label", "cell").applyInArrow(ball, slim.select("label", "cell", F.col("vec").alias("mean"), F.lit(0.0).alias("angle")).schema), "balls")
+    sizes = balls.groupBy("label").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
+    parted = balls.join(sizes, "label").withColumn("part", F.pmod(F.xxhash64("cell"), F.col("parts")).cast("int"))
+
+    def close(key: tuple, table: pa.Table) -> pa.Table:
+        _, lo, hi = (k.as_py() for k in key)
+        part, angle, mean = table.column("part").to_numpy(), table.column("angle").to_numpy(), _matrix(table.column("mean"))
+        a, b = np.flatnonzero(part == lo), np.flatnonzero(part == hi)
+        near = np.arccos(np.clip(mean[a] @ mean[b].T, -1, 1)) <= angle[a][:, None] + angle[b][None, :] + np.arccos(threshold) + 1e-6
+        if lo == hi:
+            np.fill_diagonal(near, True)
+            near = np.triu(near)
+        i, j = np.nonzero(near)
+        cells = table.column("cell")
+        return pa.table({"label": table.column("label").take(a[i]), "a": cells.take(a[i]), "b": cells.take(b[j])})
+
+    placed = _pairs_of(parted, "part", "parts", "cell", "mean", "angle")
+    meet = written(placed.groupBy("label", "lo", "hi").applyInArrow(close, placed.select("label", F.col("cell").alias("a"), F.col("cell").alias("b")).schema), "meet")
+    # a cell's vectors go once to every cell that it meets: m vectors make m * cells rows, not m * m
+    sides = meet.withColumn("cell", F.explode(F.array_distinct(F.array("a", "b"))))
+    dealt = sides.join(held, ["label", "cell"]).select("label", "a", "b", "cell", "root", "node", "copies", "vec")
 
     def count(key: tuple, table: pa.Table) -> pa.Table:
         _, lo, hi = (k.as_py() for k in key)
-        block, copies, ids, vec = table.column("block").to_numpy(), table.column("copies").to_numpy(), table.column("node").to_numpy(), _matrix(table.column("vec"))
-        a, b = block == lo, block == hi
+        cell = np.array(table.column("cell").to_pylist(), object)
+        copies, ids, roots, vec = table.column("copies").to_numpy(), table.column("node").to_numpy(), table.column("root").to_numpy(), _matrix(table.column("vec"))
+        a, b = cell == lo, cell == hi
         hit = vec[a] @ vec[b].T >= threshold
         if lo == hi:
             np.fill_diagonal(hit, False)
-            return pa.table({"node": pa.array(ids[a]), "n": pa.array((hit @ copies[b]).astype(np.int64))})
-        return pa.table({"node": pa.array(np.concatenate([ids[a], ids[b]])), "n": pa.array(np.concatenate([hit @ copies[b], hit.T @ copies[a]]).astype(np.int64))})
-
-    return dealt.groupBy("root", "lo", "hi").applyInArrow(count, "node long, n long").groupBy("node").agg(F.sum("n").alias("n"))
+            node, n = ids[a], hit @ copies[b]
+        else:
+            node, n = np.concatenate([ids[a], ids[b]]), np.concatenate([hit @ copies[b], hit.T @ copies[a]])
+        u, v = _forest(roots[a], roots[b], hit)
+        nothing = [None] * len(node)
+        return pa.table({"node": pa.array([*node, *[None] * len(u)], pa.int64()), "n": pa.array([*n, *[0] * len(u)], pa.int64()), "a": pa.array([*nothing, *u], pa.int64()), "b": pa.array([*nothing, *v], pa.int64())})
+
+    out = written(dealt.groupBy("label", "a", "b").applyInArrow(count, "node long, n long, a long, b long"), "compared")
+    return out.where("node is not null").groupBy("node").agg(F.sum("n").alias("n")), out.where("node is null").select("a", "b").distinct()
+
+
+def _forest(left: np.ndarray, right: np.ndarray, hit: np.ndarray) -> tuple[list[int], list[int]]:
+    """Pairs of different roots that join what the hits join: fewer than there are roots."""
+    if (left == left[0]).all() and (right == left[0]).all():
+        return [], []
+    i, j = np.nonzero(hit)
+    pairs = np.unique(np.stack([np.minimum(left[i], right[j]), np.maximum(left[i], right[j])], axis=1), axis=0)
+    top: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while x in top:
+            x = top[x]
+        return x
+
+    u, v = [], []
+    for a, b in pairs[pairs[:, 0] != pairs[:, 1]].tolist():
+        x, y = find(a), find(b)
+        if x != y:
+            top[max(x, y)] = min(x, y)
+            u.append(a)
+            v.append(b)
+    return u, v
 
 
 def audit(own: DataFrame, found: DataFrame, threshold: float, seed: int, rows: int = AUDIT_ROWS) -> float:
@@ -192,7 +269,9 @@ def classes(vectors: DataFrame, threshold: float = 0.98, vec_id: str = "vec_id",
         near = graph.where(F.col("cos") >= threshold)
         edges = written(near.select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).distinct(), "edges")
         roots = components(edges)
-        more = _enlarged(edges, graph, roots, own, threshold)
+        more, links = _enlarged(graph, roots, own, threshold)
+        if not links.isEmpty():
+            roots = components(edges.unionByName(links))
         copies = own.select("node", "copies")
         sides = edges.select(F.col("a").alias("node"), F.col("b").alias("other")).unionByName(edges.select(F.col("b").alias("node"), F.col("a").alias("other")))
         few = sides.join(copies.select(F.col("node").alias("other"), "copies"), "other").groupBy("node").agg(F.sum("copies").alias("few"))

@@ -96,6 +96,21 @@ def test_vector_classes(spark, monkeypatch, block):
     assert got == want
 
 
+@pytest.mark.parametrize("block", [512, 16])
+def test_groups_that_fill_each_others_lists_are_linked(spark, monkeypatch, block):
+    monkeypatch.setattr(nndescent, "BLOCK", block)
+    rs = np.random.RandomState(5)
+    base = np.eye(16)[0]
+    x = [base + 0.12 * np.eye(16)[1 + i // 20] + rs.normal(size=16) * 0.0005 for i in range(120)]  # 6 groups, all pairs linked
+    x += [10 * np.eye(16)[9] + 0.001 * rs.normal(size=16) for _ in range(20)] + list(rs.normal(size=(40, 16)))
+    x = [v.tolist() for v in x]
+    labels = [0] * len(x)
+    want = classes_by_hand(np.array(x, np.float32).tolist(), labels)
+    assert all(w[1:3] == (119, 0) for w in want[:120])
+    df = spark.createDataFrame(rows_of(x, labels), SCHEMA)
+    assert sorted(tuple(r) for r in nndescent.classes(df).select("vec_id", "n_links", "component_id", "kept").collect()) == want
+
+
 def test_vector_classes_of_nothing(spark):
     df = spark.createDataFrame([(1, None, 1)], SCHEMA)
     assert [tuple(r) for r in nndescent.classes(df).collect()] == [(1, 0, 1, True)]
