@@ -4,7 +4,7 @@ A neighbour graph starts from random-projection blocks and is refined by joins o
 Links are the graph's edges of at least the threshold. Where a vector's list holds links only, the list was too short: the
 lists of its component are enlarged to all vectors of all such components, compared in blocks, which may join components.
 An audit compares the links of a sample with brute force; while its recall is too low, more projections and refinements
-follow.
+follow, and after the last of them all pairs of each label, in blocks.
 """
 
 from __future__ import annotations
@@ -23,6 +23,8 @@ from .common import narrow, written
 #: Neighbours kept for a vector, and taken of those that name it; tables of projections; vectors of a block.
 LIST, BACK, TABLES, BLOCK = 8, 4, 10, 512
 ROUNDS, AUDIT_ROWS, AUDIT_RECALL, AUDITS = 2, 256, 0.999, 4
+#: Below the threshold by so much, a nearest neighbour makes its node one that the audit asks for.
+AUDIT_MARGIN = 0.05
 
 
 def nodes(vectors: DataFrame, vec_id: str = "vec_id", vec: str = "embedding", label: str = "label") -> DataFrame:
@@ -228,10 +230,16 @@ def _forest(left: np.ndarray, right: np.ndarray, hit: np.ndarray) -> tuple[list[
     return u, v
 
 
-def audit(own: DataFrame, found: DataFrame, threshold: float, seed: int, rows: int = AUDIT_ROWS) -> float:
-    """Recall of the links of a sample of nodes, against brute force over all nodes of their labels."""
-    picked = own.orderBy(F.xxhash64("node", F.lit(seed))).limit(rows).select("node", "label", "vec", "copies")
-    asked = picked.toArrow()  # AUDIT_ROWS vectors
+def audit(own: DataFrame, found: DataFrame, graph: DataFrame, threshold: float, seed: int, rows: int = AUDIT_ROWS) -> float:
+    """Mean share of a node's links that were found, over sampled nodes with links, against brute force over all nodes of their labels.
+
+    The sample has `rows` nodes of all, and `rows` of those whose nearest neighbour is linked or almost: where copies are
+    rare, few of the former have links. A node counts once, however many links it has.
+    """
+    at = F.xxhash64("node", F.lit(seed))
+    nearest = graph.groupBy(F.col("u").alias("node")).agg(F.max("cos").alias("cos")).where(F.col("cos") >= threshold - AUDIT_MARGIN).select("node")
+    picked = own.select("node").orderBy(at).limit(rows).unionByName(nearest.orderBy(at).limit(rows)).distinct()
+    asked = own.join(F.broadcast(picked), "node").select("node", "label", "vec", "copies").toArrow()  # at most 2 * AUDIT_ROWS vectors
     if not asked.num_rows:
         return 1.0
     ids, labels, vec = asked.column("node").to_numpy(), np.array(asked.column("label").to_pylist(), object), _matrix(asked.column("vec"))
@@ -248,8 +256,17 @@ def audit(own: DataFrame, found: DataFrame, threshold: float, seed: int, rows: i
         yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(total)], names=["node", "n"])
 
     true = own.select("node", "label", "vec", "copies").mapInArrow(run, "node long, n long").groupBy("node").agg(F.sum("n").alias("true"))
-    got = true.join(found.select("node", "n"), "node", "left").agg(F.sum("true").alias("true"), F.sum(F.least("true", F.coalesce("n", F.lit(0)))).alias("got")).first()
-    return 1.0 if not got["true"] else got["got"] / got["true"]
+    got = true.where(F.col("true") > 0).join(found.select("node", "n"), "node", "left").agg(F.avg(F.least("true", F.coalesce("n", F.lit(0))) / F.col("true")).alias("recall")).first()
+    return 1.0 if got["recall"] is None else got["recall"]
+
+
+def _exact(edges: DataFrame, roots: DataFrame, own: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """Counts and roots from all pairs of each label, in blocks."""
+    sizes = own.groupBy("label").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    cell = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("string")
+    held = own.join(roots, "node", "left").join(sizes, "label").select("label", F.coalesce("root", "node").alias("root"), cell.alias("cell"), "node", "copies", "vec")
+    counts, links = _compared(written(held, "held"), threshold)
+    return written(counts, "counts"), components(edges.unionByName(links))
 
 
 def classes(vectors: DataFrame, threshold: float = 0.98, vec_id: str = "vec_id", vec: str = "embedding", label: str = "label", seed: int = 7) -> DataFrame:
@@ -277,8 +294,10 @@ def classes(vectors: DataFrame, threshold: float = 0.98, vec_id: str = "vec_id",
         few = sides.join(copies.select(F.col("node").alias("other"), "copies"), "other").groupBy("node").agg(F.sum("copies").alias("few"))
         found = few.join(more, "node", "left").select("node", F.coalesce("n", "few").alias("n"))
         found = written(found, "counts")
-        if again + 1 == AUDITS or audit(own, found, threshold, seed + again) >= AUDIT_RECALL:
+        if audit(own, found, graph, threshold, seed + again) >= AUDIT_RECALL:
             break
+    else:
+        found, roots = _exact(edges, roots, own, threshold)
     by_node = own.select("node", "label", "copies").join(found, "node", "left").join(roots, "node", "left").select("node", "label", F.col("copies") - 1 + F.coalesce("n", F.lit(0)), F.coalesce("root", "node")).toDF("node", "label", "n_links", "component_id")
     # rows find their node by their vector
     rows = narrow(vectors, vec_id=vec_id, vec=vec, label=label).withColumn("vec", F.col("vec").cast("array<double>"))

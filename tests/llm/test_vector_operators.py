@@ -111,6 +111,26 @@ def test_groups_that_fill_each_others_lists_are_linked(spark, monkeypatch, block
     assert sorted(tuple(r) for r in nndescent.classes(df).select("vec_id", "n_links", "component_id", "kept").collect()) == want
 
 
+def test_all_pairs_are_compared_where_the_audits_fail(spark, monkeypatch):
+    blind = nndescent._start
+    monkeypatch.setattr(nndescent, "_start", lambda own, seed, tables: blind(own, seed, tables).where("false"))
+    monkeypatch.setattr(nndescent, "AUDITS", 1)
+    monkeypatch.setattr(nndescent, "BLOCK", 16)
+    x, labels = cloud()
+    df = spark.createDataFrame(rows_of(x, labels), SCHEMA)
+    assert sorted(tuple(r) for r in nndescent.classes(df).select("vec_id", "n_links", "component_id", "kept").collect()) == classes_by_hand(x, labels)
+
+
+def test_audit_asks_for_nodes_with_links_where_copies_are_rare(spark):
+    rs = np.random.RandomState(3)
+    x = rs.normal(size=(2000, 16))
+    x[1:40:2] = x[0:40:2] * 2 + rs.normal(size=(20, 16)) * 0.01  # 20 pairs
+    own = nndescent.nodes(spark.createDataFrame(rows_of(x, [0] * 2000), SCHEMA)).cache()
+    graph = spark.createDataFrame([(i, i ^ 1, 0.99) for i in range(40)], "u long, v long, cos double")
+    found = spark.createDataFrame([(i, 1 if i < 20 else 0) for i in range(40)], "node long, n long")
+    assert nndescent.audit(own, found, graph, 0.98, 7, rows=40) == pytest.approx(0.5)
+
+
 def test_vector_classes_of_nothing(spark):
     df = spark.createDataFrame([(1, None, 1)], SCHEMA)
     assert [tuple(r) for r in nndescent.classes(df).collect()] == [(1, 0, 1, True)]
