@@ -511,9 +511,9 @@ def scalar_fires(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def bench_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return summary.detail_table(benchmark.runs(spark, list(drivers.ALGORITHMS), streams.ALL, [42], 1000))
+    return summary.detail_table(benchmark.runs(spark, list(drivers.ALGORITHMS), streams.ALL, streams.SEEDS, 5000))
 
 
 @query()
 def bench_matrix_strict(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return benchmark.runs(spark, ["tight", "tight_drift"], streams.FULL, [42], 1000, strict=True).drop("quality_series", "drift_windows", "coverage_mean")
+    return benchmark.runs(spark, ["tight", "tight_drift"], streams.FULL, streams.SEEDS, 5000, strict=True).drop("quality_series", "drift_windows", "coverage_mean")

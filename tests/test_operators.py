@@ -132,3 +132,20 @@ def test_nearest_center_takes_the_nearest_only(spark):
     row = neighbors.nearest_center(points, centers, "radius").first()
     assert row["j"] == 1 and not row["accepted"]
     assert neighbors.nearest_center(points, centers.where(F.lit(False))).count() == 0
+
+
+@pytest.mark.parametrize("name", ["bench_matrix", "bench_matrix_strict"])
+def test_benchmark_queries_run_the_whole_benchmark(spark, monkeypatch, name):
+    from driftweave.plans import benchmark, catalog
+    from driftweave.sources import streams
+
+    asked = []
+
+    def runs(spark, algorithms, datasets, seeds, n, strict=False):
+        asked.append((list(seeds), n))
+        raise InterruptedError
+
+    monkeypatch.setattr(benchmark, "runs", runs)
+    with pytest.raises(InterruptedError):
+        catalog.QUERIES[name](spark, "")
+    assert asked == [(list(streams.SEEDS), 5000)]
