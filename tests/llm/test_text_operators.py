@@ -155,6 +155,12 @@ def test_scan_adds_random_keys_and_leaves_prose(spark):
     assert secretscan.scan(docs(spark, [])).count() == 0
 
 
+def test_keys_behind_a_name_are_candidates():
+    for x, at in ((f"AWS_KEY={KEY}", 8), (f"see https://x.org/a?sig={KEY}&b=1", 24), (f"a_rather_long_name_of_a_setting={KEY}", 32), (f"auth={KEY}==", 5)):
+        end = at + len(KEY) + 2 * x.endswith("==")
+        assert [c[:2] for c in secretscan.candidates(x, secretscan.base_spans(x))] == [(at, end)], x
+
+
 def test_battery_keeps_random_strings():
     draw = random.Random(4)
     for name, alphabet in secretscan.ENCODINGS.items():
