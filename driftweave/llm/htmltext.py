@@ -21,8 +21,11 @@ from pyspark.sql import functions as F
 from .common import narrow, small_batches, text_batches
 
 #: A comment, the raw text elements with their content, any other declaration, or a tag with its attributes.
-_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|title|svg|math|iframe|object|select)\b(?:[^>"']|"[^"]*"|'[^']*')*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>"']|"[^"]*"|'[^']*')*)(?:>|\Z)""", re.S | re.I)
-_ATTR = re.compile(r"""\b(class|id|role|style|hidden|aria-hidden|aria-label|data-[a-z-]+)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
+_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(script|style|noscript|textarea|title|iframe)\b(?:[^>"']|"[^"]*"|'[^']*')*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>"']|"[^"]*"|'[^']*')*)(?:>|\Z)""", re.S | re.I)
+#: An attribute, whatever its name, with its value; quoted text without a name is passed over.
+_ATTR = re.compile(r"""(?:"[^"]*"|'[^']*'|([^\s"'<>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?)""")
+#: Elements that hold no main text and end at their own end tag; without one, or closed in themselves, they hold nothing.
+_CLOSED = {k: re.compile(rf"</{k}\s*>", re.I) for k in ("svg", "math", "object", "select", "template")}
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 BLOCK = frozenset("p div h1 h2 h3 h4 h5 h6 li ul ol dl dt dd table tr caption thead tbody tfoot blockquote pre section article header footer nav aside figure figcaption hr main body html address details summary form fieldset center head".split())
 VOID = frozenset("br hr img input meta link area base col embed source track wbr param".split())
@@ -30,8 +33,10 @@ VOID = frozenset("br hr img input meta link area base col embed source track wbr
 SIDE = frozenset("nav footer aside form button menu dialog label input head option".split())
 #: Words in class, id or role that mark a side container.
 SIDE_WORDS = frozenset(
-    "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner sidebar side widget menu nav navbar navigation topbar breadcrumb breadcrumbs footer masthead cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup signin login share sharing social related recommended recommendations comment comments disqus reply replies respond responses discussion search toolbar pager pagination skip legal copyright tags tagcloud complementary contentinfo dialog form hidden outbrain taboola teaser trending popular".split()
+    "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner sidebar side menu nav navbar navigation topbar breadcrumb breadcrumbs footer masthead cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup signin login share sharing social related recommended recommendations comment comments disqus reply replies respond responses discussion search toolbar pager pagination skip legal copyright tags tagcloud complementary contentinfo dialog form outbrain taboola teaser trending popular".split()
 )
+#: Classes, ids and roles that mark one as a whole; as part of a longer name they say how a container looks or was built.
+_WHOLE = frozenset("hidden visually-hidden widget".split())
 #: Words that make a page header of a `header` mark, unless the mark also has one of the second set.
 _HEAD_WORDS, _OWN_WORDS = frozenset("header head top".split()), frozenset("article entry post story content main body text title page".split())
 
@@ -43,7 +48,7 @@ _ABOUT = frozenset("with without has have no not show hide is js".split())
 def _side(tag: str, attrs: str, in_article: bool, lenient: bool = False) -> bool:
     if tag in SIDE and not (lenient and tag == "form") or (tag == "header" and not in_article and not lenient):
         return True
-    if not attrs or "=" not in attrs and "hidden" not in attrs:
+    if not attrs or "=" not in attrs and "hidden" not in attrs.lower():
         return False
     for name, value in _ATTR.findall(attrs):
         name, value = name.lower(), value.strip("\"'")
@@ -53,6 +58,8 @@ def _side(tag: str, attrs: str, in_article: bool, lenient: bool = False) -> bool
             return True
         if name in ("class", "id", "role") and tag not in ("body", "html", "main") and not lenient:
             for part in value.split():
+                if part.lower() in _WHOLE:
+                    return True
                 words = {x.lower() for x in _WORDS.findall(part)}
                 if words & _ABOUT:
                     continue
@@ -73,13 +80,22 @@ def tokens(page: str, lenient: bool = False) -> Iterator[tuple[str, str, bool]]:
     def words(raw: str) -> tuple[str, str, bool]:
         return ("word:side" if side else "word:link" if links else "word:text"), _html.unescape(raw), side > 0
 
-    for m in _TOKEN.finditer(page):
+    unclosed: set[str] = set()  # elements without an end tag in the rest of the page
+    while m := _TOKEN.search(page, at):
         if m.start() > at:
             yield words(page[at : m.start()])
         at = m.end()
         tag = (m[3] or "").lower()
         if not tag:
             continue
+        if tag in _CLOSED and not m[2]:
+            if m[4].endswith("/"):
+                continue
+            end = None if tag in unclosed else _CLOSED[tag].search(page, at)
+            if end:
+                at = end.end()
+                continue
+            unclosed.add(tag)
         if m[2]:
             inside = side > 0  # the end of a side container belongs to it
             for i in range(len(stack) - 1, -1, -1):

@@ -224,6 +224,26 @@ def test_extract(spark):
     assert got[7].startswith("All of this page stands in a form.")
 
 
+@pytest.mark.parametrize(
+    "page,want",
+    [
+        ('<p>We went to <a href="/hidden/place">the mill</a> last year, and stayed there for a whole day and a night.</p>', "We went to the mill last year, and stayed there for a whole day and a night."),
+        ("<p>We went to <a href=/x?id=ad>the mill</a> last year, and stayed there for a whole day and a night.</p>", "We went to the mill last year, and stayed there for a whole day and a night."),
+        ('<div title="The hidden valley" data-x=\'class="ad"\'><p>Words of the page.</p></div>', "Words of the page."),
+        ('<div class="overflow-hidden"><p>Words of the page.</p></div><footer>bye</footer>', "Words of the page."),
+        ('<div class="elementor-widget-text"><p>Words of the page.</p></div><p>And more.</p>', "Words of the page.\n\nAnd more."),
+        ('<p>Before it.</p><svg width="1"/><p>Words behind.</p>', "Before it.\n\nWords behind."),
+        ("<p>Before it.</p><select name=x><p>Words behind.</p>", "Before it.\n\nWords behind."),
+        ("<p>Before it.</p><svg><path d='x'/><text>no</text></svg><p>Words behind.</p>", "Before it.\n\nWords behind."),
+        ('<p>Kept words here.</p><div hidden>not this</div><div class="hidden">nor this</div><p CLASS=ad>nor that</p><p>More words.</p>', "Kept words here.\n\nMore words."),
+    ],
+)
+def test_only_real_marks_leave_words_out(page, want):
+    # a second paragraph in front, so that a page whose every word is marked is not read leniently
+    weights = htmltext.fit_weights(htmltext.labelled_pages())
+    assert htmltext.main_text(f"<p>First of all.</p>{page}", weights) == f"First of all.\n\n{want}"
+
+
 def test_weights_give_back_the_labelled_pages():
     pages = htmltext.labelled_pages()
     weights = htmltext.fit_weights(pages)
