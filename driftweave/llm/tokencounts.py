@@ -64,7 +64,8 @@ class Counter:
             return [text]
         # sentencepiece puts a space before each part, which stands for the one that is cut away;
         # byte-level patterns start a token at a space between two ASCII letters, digits or marks
-        gap = re.compile("(?<=[^ ▁]) " if self.piece else "(?<=[!-~]) (?=[!-~])")
+        # a space that ends the text stays in its part, as a part of no characters would lose its token
+        gap = re.compile("(?s)(?<=[^ ▁]) (?=.)" if self.piece else "(?<=[!-~]) (?=[!-~])")
         out, start = [], 0
         while (m := gap.search(text, start + size)) is not None:
             out.append(text[start : m.start()])

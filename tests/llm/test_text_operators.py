@@ -70,6 +70,14 @@ def test_token_counts_of_cut_texts():
         assert [sum(c.count(c.parts(x, 500))) for x in long] == [c.count([x])[0] for x in long]
 
 
+def test_token_counts_of_a_long_text_that_ends_in_a_space():
+    c = tokencounts.Counter.at(PIECES)
+    for x in ("x" * 600 + " ", "ab cd " * 100, "x" * 600 + " \n"):
+        assert sum(c.count(c.parts(x, 500))) == c.count([x])[0]
+    x = "abcde" * 3278 + " "
+    assert c.counts([x])[0] == c.count([x])[0]
+
+
 def test_byte_encoding_is_the_librarys():
     tk = tokenizers.Tokenizer.from_file(BYTES)
     enc = idstore.ByteEncoder.at(BYTES)
