@@ -6,11 +6,13 @@ over all recipes of a file. Files are Parquet, written and read by Spark, so any
 
     kind=chunk/   key, data (ids as little-endian unsigned integers of 16 bits, or of 32 where the vocabulary needs them)
     recipe/       doc_id, place (MD5 of the text), chunks, root, n_tokens, file, start; in ascending doc_id order
-    format/       bytes of an id
-    manifest/     of each file of recipes: first and last id, rows, root over the rows' roots
+    manifest/     of each file (range) of recipes: first and last id, rows, root over its recipes
+    head/         bytes of an id, and the manifest's files, rows and root; written last
 
 Chunk bytes cross the network once, to meet their copies. Reading back joins only names with lengths and checksums, as
-the CRC-32 of a document follows from those of its chunks; `read_ids` gives the ids themselves.
+the CRC-32 of a document follows from those of its chunks; `read_ids` gives the ids themselves. Nothing is lost silently:
+readers compare recipes, manifest and head first and raise `StoreError` where they differ, and a document with a missing
+or changed chunk comes back with verified = false.
 """
 
 from __future__ import annotations
@@ -21,6 +23,7 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
@@ -32,9 +35,15 @@ from .common import claim, narrow, removed, small_batches, text_batches
 #: Rolling window in ids; a chunk ends where the low bits of its hash are zero, within these bounds.
 WINDOW, LEAST, MOST, BITS = 16, 128, 4096, 9
 CACHE_WORDS = 1_200_000
+#: Names of chunks that a writing task remembers, so that it sends a chunk with many copies once; it starts anew beyond this.
+SENT_KEYS = 100_000
+#: Rows of a range of recipes, and ranges at most; beyond that, ranges grow.
+RANGE_ROWS, RANGES = 20_000, 5_000
+#: One of so many recipes is looked at for chunks that very many share, of which there are at most HOT. Only how their rows
+#: are joined depends on it.
+HOT_SAMPLE, HOT = 64, 1_000
 #: Bytes of text that are encoded at once: the more, the fewer words are met again as new.
 ENCODE_BYTES = 4 << 20
-#: White space that byte-level patterns may join across a single space, and rare kinds of it.
 #: White space that byte-level patterns may join across a single space: texts with it are encoded whole.
 _JOINED = ("  ", *(f"{a} {b}" for a in "\n\t\r" for b in "\n\t\r"))
 _ODD = re.compile(r"[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200b\u2028\u2029\u202f\u205f\u3000\ufeff]")
@@ -43,6 +52,10 @@ _EDGE = re.compile(r"[\n\t\r] [\n\t\r]|^[\n\t\r]|[\n\t\r]$")
 _encoders: dict[str, "ByteEncoder"] = {}
 
 
+class StoreError(ValueError):
+    """Parts of a store are missing or were changed."""
+
+
 def gear(n: int) -> np.ndarray:
     """A fixed pseudo-random 64-bit number for each of n ids (the SplitMix64 sequence)."""
     z = (np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
@@ -109,7 +122,10 @@ class ByteEncoder:
         for group, ids in zip(groups, self._ids(joined)):
             flat = np.array(ids, np.int64)
             at = np.flatnonzero(self.starts[flat])
-            assert len(at) == len(group), "a word must have one id that begins with a space"
+            if len(at) != len(group):  # a vocabulary in which a word may have no or several ids that begin with a space
+                for w, own in zip(group, self._ids([" " + w for w in group])):
+                    self.cache[w] = self._raw(own)
+                continue
             raw, width = self._raw(flat), self.kind.itemsize
             a = 0
             for w, b in zip(group, [*(width * at[1:]).tolist(), len(raw)]):
@@ -252,6 +268,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, doc_i
         claim("idstore", encoder.cache.clear)
         width = encoder.kind.itemsize
         end = encoder._raw([end_id])
+        sent: set[bytes] = set()
         for batch, texts in text_batches(batches, "text", ENCODE_BYTES):
             raws = [x + end for x in encoder.encode(texts)]
             flat = np.frombuffer(b"".join(raws), encoder.kind)
@@ -261,10 +278,13 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, doc_i
             for raw, own in zip(raws, cuts(flat, ends, table)):
                 parts = [raw[width * a : width * b] for a, b in zip([0, *own], own)]
                 keys = [hashlib.sha256(p).digest() for p in parts]
-                chunks.update(zip(keys, parts))
+                chunks.update((k, x) for k, x in zip(keys, parts) if k not in sent)
                 names.append(keys)
                 sizes.append([b - a for a, b in zip([0, *own], own)])
                 roots.append(merkle(keys))
+            if len(sent) > SENT_KEYS:
+                sent.clear()
+            sent.update(chunks)
             n, m = len(texts), len(chunks)
             none = [None] * m
             keys = [b"%d:%d" % (task, row + i) for i in range(n)]  # a recipe has no copies: its key is its place in the input
@@ -275,41 +295,99 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, doc_i
             )
 
     rows = narrow(docs, doc_id=doc_id, text=text).withColumn("doc_id", F.col("doc_id").cast("long")).mapInArrow(run, STORE)
-    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    # as many partitions as the input has, at least: the names of a partition's chunks are held in memory
+    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), docs.rdd.getNumPartitions())
     unique = rows.repartition(parts, "key").mapInArrow(_once, STORE)
     # ids hardly compress, and chunks do not repeat: neither codec nor dictionary would help
     unique.write.partitionBy("kind").option("compression", "uncompressed").option("parquet.enable.dictionary", "false").parquet(path)
     none = spark.createDataFrame([], STORE)  # so that a store of no documents has files too
     none.select("key", "data", "doc_id", "place", "chunks", "sizes", "root").write.mode("append").parquet(f"{path}/kind=chunk")
     none.select("key", "data", "doc_id", "place", "chunks", "sizes", "root").write.mode("append").parquet(f"{path}/kind=staged")
-    spark.range(1).select(F.lit(ByteEncoder.at(tokenizer).kind.itemsize).alias("width")).write.parquet(f"{path}/format")
     staged = spark.read.schema("doc_id long, place string, chunks array<binary>, sizes array<int>, root binary").parquet(f"{path}/kind=staged")
     sized = staged.withColumn("n_tokens", F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + x)).drop("sizes")
-    with_starts(sized, ("doc_id", "place"), path=f"{path}/ranged").write.parquet(f"{path}/recipe")
+    with_starts(sized, "doc_id", "place", path=f"{path}/ranged").write.parquet(f"{path}/recipe")
     removed(spark, f"{path}/ranged")
     removed(spark, f"{path}/kind=staged")
+    _roots(read_recipes(spark, path)).write.parquet(f"{path}/manifest")
+    head = _head(spark.read.schema(MANIFEST).parquet(f"{path}/manifest"))
+    spark.createDataFrame([(ByteEncoder.at(tokenizer).kind.itemsize, *head)], HEAD).coalesce(1).write.parquet(f"{path}/head")
 
-    def manifest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
 
-        stack: list[tuple[int, bytes]] = []  # a Merkle tree in passing: one node for each height at most
-        first = last = None
-        n = 0
+MANIFEST = "file int, first_id long, last_id long, n_rows long, root binary"
+HEAD = "width int, files long, n_rows long, root binary"
+
+
+class _Tree:
+    """A Merkle root in passing: one node for each height at most."""
+
+    def __init__(self) -> None:
+        self.stack: list[tuple[int, bytes]] = []
+
+    def add(self, leaf: bytes) -> None:
+        node = (0, hashlib.sha256(b"\0" + leaf).digest())
+        while self.stack and self.stack[-1][0] == node[0]:
+            node = (node[0] + 1, hashlib.sha256(b"\1" + self.stack.pop()[1] + node[1]).digest())
+        self.stack.append(node)
+
+    def root(self) -> bytes:
+        out = b""
+        for _, x in reversed(self.stack):
+            out = hashlib.sha256(b"\1" + x + out).digest() if out else x
+        return out
+
+
+def _roots(recipes: DataFrame) -> DataFrame:
+    """The manifest's rows of recipes: a leaf is a recipe's id, start, length and root. Every document has a start of its own."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list = []
+        done: list[list] = []
         for batch in batches:
-            ids = batch.column("doc_id").to_pylist()
-            first, last, n = (ids[0] if n == 0 else first), ids[-1], n + len(ids)
-            for x in batch.column("root").to_pylist():
-                node = (0, hashlib.sha256(b"\0" + x).digest())
-                while stack and stack[-1][0] == node[0]:
-                    node = (node[0] + 1, hashlib.sha256(b"\1" + stack.pop()[1] + node[1]).digest())
-                stack.append(node)
-        if n:
-            root = stack.pop()[1]
-            while stack:
-                root = hashlib.sha256(b"\1" + stack.pop()[1] + root).digest()
-            yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([first], pa.int64()), pa.array([last], pa.int64()), pa.array([n], pa.int64()), pa.array([root], pa.binary())], names=["file", "first_id", "last_id", "n_rows", "root"])
-
-    read_recipes(spark, path).select("doc_id", "root").mapInArrow(manifest, "file int, first_id long, last_id long, n_rows long, root binary").write.parquet(f"{path}/manifest")
+            for file, i, start, n, root in zip(*(batch.column(c).to_pylist() for c in ("file", "doc_id", "start", "n_tokens", "root"))):
+                if not held or held[0] != file:
+                    if held:
+                        done.append([*held[:4], held[4].root()])
+                    held = [file, i, i, 0, _Tree()]
+                held[2], held[3] = i, held[3] + 1
+                held[4].add(b"%s:%d:%d:%s" % (b"null" if i is None else b"%d" % i, -1 if start is None else start, -1 if n is None else n, root or b""))
+        if held:
+            done.append([*held[:4], held[4].root()])
+        schema = pa.schema([("file", pa.int32()), ("first_id", pa.int64()), ("last_id", pa.int64()), ("n_rows", pa.int64()), ("root", pa.binary())])
+        yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in done], t) for c, t in enumerate(schema.types)], schema=schema)
+
+    ordered = recipes.select("file", "doc_id", "start", "n_tokens", "root").repartition("file").sortWithinPartitions("file", "start")
+    return ordered.mapInArrow(run, MANIFEST)
+
+
+def _head(manifest: DataFrame) -> tuple[int, int, bytes]:
+    """Files, rows and root of a manifest, which has RANGES rows at most."""
+    tree, files, rows = _Tree(), 0, 0
+    for r in manifest.orderBy("file").collect():
+        tree.add(b"%d:%d:%s" % (r["file"], r["n_rows"], bytes(r["root"])))
+        files, rows = files + 1, rows + r["n_rows"]
+    return files, rows, tree.root()
+
+
+def check(spark: SparkSession, path: str) -> int:
+    """Bytes of an id of a store whose recipes, manifest and head agree; raises `StoreError` that names the ranges which do not."""
+    from pyspark.errors import AnalysisException
+
+    try:
+        heads = spark.read.schema(HEAD).parquet(f"{path}/head").collect()
+        manifest = spark.read.schema(MANIFEST).parquet(f"{path}/manifest")
+        recipes = read_recipes(spark, path)
+        read_chunks(spark, path)
+    except AnalysisException as e:
+        raise StoreError(f"{path}: a part of the store is missing: {e}") from e
+    if len(heads) != 1 or (heads[0]["files"], heads[0]["n_rows"], bytes(heads[0]["root"])) != _head(manifest):
+        raise StoreError(f"{path}: the manifest is not the one that was written")
+    got = _roots(recipes).select(F.col("file").alias("own"), F.col("n_rows").alias("n"), F.col("root").alias("r"))
+    same = (F.col("n") == F.col("n_rows")) & (F.col("r") == F.col("root"))
+    wrong = manifest.join(got, F.col("file") == F.col("own"), "full").where(~F.coalesce(same, F.lit(False))).orderBy("first_id").limit(20).collect()
+    if wrong:
+        told = "; ".join(f"doc_id {r['first_id']} to {r['last_id']}: {r['n'] or 0} of {r['n_rows'] or 0} recipes" + (", changed" if r["n"] == r["n_rows"] else "") for r in wrong)
+        raise StoreError(f"{path}: recipes differ from the manifest: {told}")
+    return heads[0]["width"]
 
 
 def _once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -332,17 +410,20 @@ def read_chunks(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_ids(spark: SparkSession, path: str) -> DataFrame:
-    """doc_id, place and the ids of each document, put together from its recipe's chunks."""
-    recipes = read_recipes(spark, path).withColumn("row", F.monotonically_increasing_id())
-    joined = recipes.select("row", "doc_id", "place", "n_tokens", F.posexplode("chunks").alias("k", "key")).join(read_chunks(spark, path), "key")
+    """doc_id, place and the ids of each document, put together from its recipe's chunks; a missing or changed chunk is an error."""
+    width = check(spark, path)
+    joined = read_recipes(spark, path).select("start", "doc_id", "place", F.posexplode("chunks").alias("k", "key")).join(read_chunks(spark, path), "key", "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            raws = [b"".join(p["data"] for p in row) for row in batch.column("parts").to_pylist()]
-            ids = [np.frombuffer(x, f"<u{len(x) // n}").astype(np.int64) for x, n in zip(raws, batch.column("n_tokens").to_pylist())]
+            ids = []
+            for i, row in zip(batch.column("doc_id").to_pylist(), batch.column("parts").to_pylist()):
+                if any(p["data"] is None or hashlib.sha256(p["data"]).digest() != p["key"] for p in row):
+                    raise StoreError(f"{path}: a chunk of doc_id {i} is missing or was changed")
+                ids.append(np.frombuffer(b"".join(p["data"] for p in row), f"<u{width}").astype(np.int64))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("place"), pa.array(ids, pa.list_(pa.int64()))], names=["doc_id", "place", "ids"])
 
-    rows = joined.groupBy("row", "doc_id", "place", "n_tokens").agg(F.sort_array(F.collect_list(F.struct("k", "data"))).alias("parts"))
+    rows = joined.groupBy("start", "doc_id", "place").agg(F.sort_array(F.collect_list(F.struct("k", "key", "data"))).alias("parts"))
     return rows.mapInArrow(run, "doc_id long, place string, ids array<long>")
 
 
@@ -350,15 +431,16 @@ def read_digests(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, place, start, n_tokens, ids_crc32 and verified, from the files.
 
     Every chunk's bytes are read, checked against its name and summed as 32-bit integers; recipes then take lengths and
-    sums of their chunks, and are checked against their roots. No bytes of ids are shuffled.
+    sums of their chunks, and are checked against their roots and lengths. No bytes of ids are shuffled. A document with a
+    missing or changed chunk has verified = false, and counts without the missing ids; missing recipes raise (see `check`).
     """
-    width = spark.read.parquet(f"{path}/format").first()["width"]
+    width = check(spark, path)
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, keys = batch.column("data").to_pylist(), batch.column("key").to_pylist()
             good = [hashlib.sha256(x).digest() == k for x, k in zip(data, keys)]
-            crc = [zlib.crc32(np.frombuffer(x, f"<u{width}").astype("<u4")) for x in data]
+            crc = [zlib.crc32(np.frombuffer(x, f"<u{width}", len(x) // width).astype("<u4")) for x in data]
             yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array([len(x) // width for x in data], pa.int64()), pa.array(crc, pa.int64()), pa.array(good)], names=["key", "n", "crc", "good"])
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -368,44 +450,75 @@ def read_digests(spark: SparkSession, path: str) -> DataFrame:
             counts = pa.compute.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
             owner = np.repeat(np.arange(n), counts)
             flat = lists.flatten()
-            sizes, crc, good = (flat.field(c).to_numpy(zero_copy_only=False) for c in ("n", "crc", "good"))
+            sizes, crc = (flat.field(c).fill_null(0).to_numpy(zero_copy_only=False) for c in ("n", "crc"))
+            good = flat.field("good").fill_null(False).to_numpy(zero_copy_only=False)
             keys = flat.field("key").to_pylist()
             ends = np.cumsum(counts).tolist()
             bad = np.bincount(owner, ~good.astype(bool), n)
             same = [merkle(keys[a:b]) == r for a, b, r in zip([0, *ends], ends, batch.column("root").to_pylist())]
+            total = np.bincount(owner, sizes, n).astype(np.int64)
+            full = total == batch.column("n_tokens").to_numpy(zero_copy_only=False)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("place"), batch.column("start"), pa.array(np.bincount(owner, sizes, n).astype(np.int64)), pa.array(crc_whole(crc, 4 * sizes.astype(np.int64), owner, n)), pa.array((bad == 0) & np.array(same, bool))],
+                [batch.column("doc_id"), batch.column("place"), batch.column("start"), pa.array(total), pa.array(crc_whole(crc, 4 * sizes.astype(np.int64), owner, n)), pa.array((bad == 0) & full & np.array(same, bool))],
                 names=["doc_id", "place", "start", "n_tokens", "ids_crc32", "verified"],
             )
 
-    found = read_chunks(spark, path).mapInArrow(sums, "key binary, n long, crc long, good boolean")
-    recipes = read_recipes(spark, path).withColumn("row", F.monotonically_increasing_id())
-    refs = recipes.select("row", "doc_id", "place", "root", "start", F.posexplode("chunks").alias("k", "key"))
-    rows = refs.join(found, "key").groupBy("row", "doc_id", "place", "root", "start").agg(F.sort_array(F.collect_list(F.struct("k", "key", "n", "crc", "good"))).alias("parts"))
+    chunks, summed = read_chunks(spark, path), "key binary, n long, crc long, good boolean"
+    own = ["start", "doc_id", "place", "root", "n_tokens"]
+    refs = read_recipes(spark, path).select(*own, F.posexplode("chunks").alias("k", "key"))
+    # chunks that very many recipes share meet those in a broadcast of HOT rows at most, the others in a shuffle
+    some = refs.where(F.pmod(F.xxhash64("start"), F.lit(HOT_SAMPLE)) == 0)
+    counted = some.groupBy("key").agg(F.count("*").alias("c"))
+    least = max(8, (some.count() // HOT) + 1)
+    hot = [bytes(r["key"]) for r in counted.where(F.col("c") >= least).select("key").collect()]  # fewer than HOT names
+    joined = refs.join(chunks.mapInArrow(sums, summed), "key", "left")
+    if hot:
+        names = F.broadcast(spark.createDataFrame([(k,) for k in hot], "key binary"))
+        few = F.broadcast(chunks.join(names, "key", "left_semi").mapInArrow(sums, summed))
+        rest = refs.join(names, "key", "left_anti").join(chunks.join(names, "key", "left_anti").mapInArrow(sums, summed), "key", "left")
+        joined = rest.unionByName(refs.join(names, "key", "left_semi").join(few, "key", "left"))
+    rows = joined.groupBy(*own).agg(F.sort_array(F.collect_list(F.struct("k", "key", "n", "crc", "good"))).alias("parts"))
     return rows.mapInArrow(whole, "doc_id long, place string, start long, n_tokens long, ids_crc32 long, verified boolean")
 
 
-def with_starts(df: DataFrame, order: tuple[str, ...], path: str, size: str = "n_tokens") -> DataFrame:
-    """`df` in the order of `order`, with the running total `start` of `size` before each row and its range's number `file`.
+def with_starts(df: DataFrame, order: str, tie: str, path: str, size: str = "n_tokens") -> DataFrame:
+    """`df` in the order of the integer `order` and the hexadecimal digits `tie`, with the running total `start` of `size`
+    before each row and its range's number `file`.
 
+    Ranges are cut at quantiles of `order`; a value that fills several ranges is dealt out over them by `tie`, in order.
     Each range adds up its own rows in passing; only one total for each range is then summed in one place. The ranges
-    are written to `path` in between, so that both passes see the same ones.
+    are written to `path` in between, so that both passes see the same ones. The driver gets one number for each range.
     """
-    keys = [F.col(c).asc_nulls_first() for c in order]
+    from pyspark.sql.functions import pandas_udf
 
-    def inner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
+    spark = df.sparkSession
+    n = df.count()
+    ranges = max(1, min(RANGES, -(-n // RANGE_ROWS)))
+    bounds = np.zeros(0, np.int64)
+    value = F.coalesce(F.col(order), F.lit(-(2**63)))  # nulls come first
+    if ranges > 1:
+        shares = F.array(*(F.lit(i / ranges) for i in range(1, ranges)))
+        got = df.agg(F.percentile_approx(value, shares, F.lit(20 * ranges)).alias("q")).first()["q"]
+        bounds = np.array(got or [], np.int64)
+
+    @pandas_udf("int")
+    def range_of(value: pd.Series, tie: pd.Series) -> pd.Series:
+        v = value.to_numpy(np.int64)
+        lo, hi = np.searchsorted(bounds, v, "left"), np.searchsorted(bounds, v, "right")
+        part = np.fromiter((int(x[:8], 16) for x in tie), np.float64, len(tie)) / 2.0**32
+        return pd.Series((lo + np.floor(part * (hi - lo + 1))).astype(np.int32))
 
+    def inner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = 0
         for batch in batches:
             n = batch.column(size).to_numpy(zero_copy_only=False)
             ends = total + np.cumsum(n)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(len(n), TaskContext.get().partitionId(), np.int32)), pa.array(ends - n)], names=[*batch.schema.names, "file", "_inner"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ends - n)], names=[*batch.schema.names, "_inner"])
             total = int(ends[-1]) if len(n) else total
 
-    spark = df.sparkSession
-    schema = df.select("*", F.lit(0).alias("file"), F.lit(0).cast("long").alias("_inner")).schema
-    df.repartitionByRange(*keys).sortWithinPartitions(*keys).mapInArrow(inner, schema).write.parquet(path)
+    placed = df.withColumn("file", range_of(value, F.col(tie)))
+    schema = placed.select("*", F.lit(0).cast("long").alias("_inner")).schema
+    placed.repartitionById(ranges, F.col("file")).sortWithinPartitions(F.col(order).asc_nulls_first(), tie).mapInArrow(inner, schema).write.parquet(path)
     ranged = spark.read.schema(schema).parquet(path)
     totals = ranged.groupBy("file").agg(F.max(F.col("_inner") + F.col(size)).alias("_sum"))  # a row for each range
     before = totals.select("file", F.coalesce(F.sum("_sum").over(W.orderBy("file").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before"))

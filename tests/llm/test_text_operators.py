@@ -1,6 +1,8 @@
 """Text operators against the tokenizers' libraries, brute force and hand-made cases."""
 
+import glob
 import hashlib
+import os
 import random
 import re
 import zlib
@@ -112,6 +114,83 @@ def test_store_of_an_empty_table(spark, tmp_path):
     assert idstore.read_digests(spark, path).count() == 0
 
 
+@pytest.fixture
+def store(spark, tmp_path):
+    """A store in several files, and its path on disk."""
+    texts = [" ".join(rnd.choice(["alpha", "beta", "gamma", "delta", "epsilon"]) for _ in range(1500)) for _ in range(40)] + ["", "", None]
+    folder = str(tmp_path / "store")
+    idstore.write_ids(docs(spark, texts).repartition(3), f"file://{folder}", BYTES)
+    return folder, len(texts)
+
+
+def parts_of(folder):
+    """The data files of a folder, largest first; the checksums beside them go, so that Spark reads what stands there."""
+    for x in glob.glob(f"{folder}/.*.crc"):
+        os.remove(x)
+    return sorted(glob.glob(f"{folder}/part-*"), key=os.path.getsize, reverse=True)
+
+
+def test_a_lost_chunk_file_is_reported_for_every_document(spark, store):
+    folder, n = store
+    gone = parts_of(f"{folder}/kind=chunk")[0]
+    names = {bytes(r["key"]) for r in spark.read.parquet(gone).select("key").collect()}
+    hit = {r["doc_id"] for r in idstore.read_recipes(spark, folder).collect() if names & {bytes(k) for k in r["chunks"]}}
+    os.remove(gone)
+    rows = idstore.read_digests(spark, folder).collect()
+    assert hit and len(rows) == n and {r["doc_id"] for r in rows if not r["verified"]} == hit
+    with pytest.raises(Exception, match="missing or was changed"):
+        idstore.read_ids(spark, folder).collect()
+
+
+def test_a_flipped_byte_is_reported_for_every_document(spark, store):
+    folder, n = store
+    file = parts_of(f"{folder}/kind=chunk")[0]
+    row = max(spark.read.parquet(file).collect(), key=lambda r: len(r["data"]))
+    raw = bytearray(open(file, "rb").read())
+    raw[raw.index(bytes(row["data"])) + 7] ^= 1
+    open(file, "wb").write(raw)
+    hit = {r["doc_id"] for r in idstore.read_recipes(spark, folder).collect() if bytes(row["key"]) in map(bytes, r["chunks"])}
+    rows = idstore.read_digests(spark, folder).collect()
+    assert len(rows) == n and {r["doc_id"] for r in rows if not r["verified"]} == hit != set()
+
+
+@pytest.mark.parametrize("part", ["recipe", "manifest", "head"])
+def test_a_lost_file_of_recipes_or_names_is_an_error(spark, store, part):
+    folder, n = store
+    os.remove(parts_of(f"{folder}/{part}")[0])
+    for read in (idstore.read_digests, idstore.read_ids):
+        with pytest.raises(idstore.StoreError, match=f"doc_id 0 to 42: 0 of {n} recipes" if part == "recipe" else "manifest|missing"):
+            read(spark, folder)
+
+
+def test_chunks_that_many_recipes_share_and_ids_that_repeat(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(idstore, "HOT_SAMPLE", 1)
+    monkeypatch.setattr(idstore, "RANGE_ROWS", 7)
+    monkeypatch.setattr(idstore, "SENT_KEYS", 3)
+    texts = [None if i % 3 == 0 else "same words " * 9 if i % 3 == 1 else f"text number {i}" for i in range(90)]
+    df = docs(spark, texts).withColumn("doc_id", F.when(F.col("doc_id") % 5 == 0, None).when(F.col("doc_id") < 40, 8).otherwise(F.col("doc_id"))).repartition(3)
+    path = f"file://{tmp_path}/hot"
+    idstore.write_ids(df, path, BYTES)
+    tk = tokenizers.Tokenizer.from_file(BYTES)
+    key = lambda r: (r["doc_id"] is not None, r["doc_id"] or 0, hashlib.md5((r["text"] or "").encode()).hexdigest())
+    want, start = [], 0
+    for r in sorted(df.collect(), key=key):
+        ids = [*tk.encode(r["text"] or "", add_special_tokens=False).ids, 2]
+        want.append((r["doc_id"], start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()), True))
+        start += len(ids)
+    rows = idstore.read_digests(spark, path).select("doc_id", "start", "n_tokens", "ids_crc32", "verified").collect()
+    assert sorted((tuple(r) for r in rows), key=lambda r: r[1]) == want
+    files = [r["file"] for r in spark.read.parquet(f"{path}/manifest").orderBy("first_id", "file").collect()]
+    assert len(files) > 6 and files == sorted(files)
+
+
+def test_words_without_one_id_that_begins_with_a_space():
+    enc = idstore.ByteEncoder(BYTES)
+    enc.starts[:] = False
+    tk = tokenizers.Tokenizer.from_file(BYTES)
+    assert [np.frombuffer(x, enc.kind).tolist() for x in enc.encode(TEXTS)] == [tk.encode(x, add_special_tokens=False).ids for x in TEXTS]
+
+
 def test_chunks_follow_content():
     ids = np.random.RandomState(1).randint(0, 50_000, 40_000)
     table = idstore.gear(1 << 17)
