@@ -331,11 +331,66 @@ def test_only_real_marks_leave_words_out(page, want):
     assert htmltext.main_text(f"<p>First of all.</p>{page}", weights) == f"First of all.\n\n{want}"
 
 
-def test_weights_give_back_the_labelled_pages():
-    pages = htmltext.labelled_pages()
-    weights = htmltext.fit_weights(pages)
+HERE = "<p>Words of the article are here.</p>"
+SAID = "Words of the article are here."
+NUMBERS = [" ".join(str(i * j) for j in range(12)) for i in range(9)]
+
+
+@pytest.mark.parametrize(
+    "page,want",
+    [
+        (f'<article>{HERE}<ul><li>First<ul class="menu"><li>Home page here</li><li>Other</li></ul></li></ul>{HERE}</article>', [SAID, "First", SAID]),
+        (f'<article>{HERE}<ul><li><div class="ad"><ul><li>Sale now</li><li>And here</li></ul></div></li></ul>{HERE}</article>', [SAID, SAID]),
+        (f'<article>{HERE}<table><tr><td class="ad"><table><tr><td>Buy</td></tr><tr><td>now</td></tr></table></td></tr></table>{HERE}</article>', [SAID, SAID]),
+        ("<article><ul><li>One two three<li>four five</ul></article><header>Head of the site</header>", ["One two three", "four five"]),
+        ("<article><p>One two three<p>four five</article><header>Head of the site</header>", ["One two three", "four five"]),
+        (f'<article>{HERE}<div class="popular-science">{HERE}</div><p class="legal">Legal words.</p><div class="discussion">We discuss it.</div><p class="share-price">It rose.</p></article>', [SAID, SAID, "Legal words.", "We discuss it.", "It rose."]),
+        (f'<article>{HERE}<div class="related-posts">Read it</div><div class="ad-slot-3">Buy it</div><div id="comments-list">First!</div>{HERE}</article>', [SAID, SAID]),
+        (f"<article>{HERE}<table>" + "".join("<tr>" + "".join(f"<td>{c}</td>" for c in r.split()) + "</tr>" for r in NUMBERS) + f"</table>{HERE}</article>", [SAID, *NUMBERS, SAID]),
+        ('<p>See <a title="foo>the bar</a> there, and all of that is good to see again.</p>', ["See the bar there, and all of that is good to see again."]),
+        ("<p>Press <button>OK</button> to go on, and <label>never</label> look back.</p>", ["Press to go on, and look back."]),
+        ('<p>Read on <span class="ad">buy this</span> and on and <b>on</b>.</p>', ["Read on and on and on."]),
+        (f"<div>Some words in front of it.</div><article>{HERE}</article><div>Some other words behind the article, in a block without a name.</div>", [SAID]),
+        (f"<article><b>Bold <div>in a block</b> goes on.</div>{HERE}</article>", ["Bold", "in a block goes on.", SAID]),
+    ],
+)
+def test_structure_decides_what_is_beside_the_text(page, want):
+    assert htmltext.main_text(page, htmltext.fit_weights(htmltext.labelled_pages())) == "\n\n".join(want)
+
+
+@pytest.mark.parametrize("part", ["<div>", "</p>", "<li>", "<td>", "<a>", '<a title="', "<a '", "<script ", "<svg>", "<!--", "<ul><li>", "<b><div></b>"])
+def test_hostile_pages_take_linear_time(part):
+    import time
+
+    weights = htmltext.fit_weights(htmltext.labelled_pages())
+    for page in (part * 20_000, "<div>" * 20_000 + part * 20_000):
+        began = time.process_time()
+        htmltext.main_text(page, weights)
+        assert time.process_time() - began < 5  # twice as long a page takes about twice as long; quadratic ways take minutes
+
+
+def test_weights_give_back_labelled_pages_that_they_have_not_seen():
+    weights = htmltext.fit_weights(htmltext.labelled_pages())
     assert weights["word:text"] > 0 > weights["word:side"] and all(v <= 0 for k, v in weights.items() if k[:4] == "tag:")
-    assert all(htmltext.main_text(page, weights) == main for page, main in pages)
+    for first, count in ((0, 24), (24, 200)):
+        assert all(htmltext.main_text(page, weights) == main for page, main in htmltext.labelled_pages(first, count))
+
+
+def test_best_run_is_the_brute_force_maximum():
+    for _ in range(500):
+        scores = [rnd.choice([-3, -2, -1, -0.5, 0, 0.5, 1, 2]) for _ in range(rnd.randint(0, 12))]
+        runs = [(sum(scores[a:b]), -a, -b) for a in range(len(scores)) for b in range(a + 1, len(scores) + 1)]
+        first, end = htmltext.best_run(scores)
+        assert sum(scores[first:end]) == max([0, *(r[0] for r in runs)])
+        assert (first < end) == any(r[0] > 0 for r in runs)
+
+
+def test_extract_of_nothing_and_of_repeated_rows(spark):
+    page = f"<article>{HERE}</article>"
+    df = spark.createDataFrame([(1, "u", page, "x"), (1, "u", page, "x"), (None, None, None, None), (2, "u", f"<p>{'long text ' * 300_000}</p>", "y")], "page_id long, url string, html string, text string")
+    got = sorted(((r["page_id"] or 0, len(r["text"])) for r in htmltext.extract(df).collect()))
+    assert got == [(0, 0), (1, len(SAID)), (1, len(SAID)), (2, 2_999_999)]
+    assert htmltext.extract(df.where("page_id < 0")).count() == 0
 
 
 # near-duplicates
