@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.storage import written
+from ..plans.storage import Scratch, written
 
 #: Graphs of at most so many links are solved by one task; larger ones in rounds. Both give the same.
 ONE_TASK = 200_000
@@ -37,9 +37,11 @@ def _solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """node, root: for each node of a link, the least node of its component."""
     if dict(links.dtypes)[a] == "bigint" and dict(links.dtypes)[b] == "bigint":
-        links = written(links.select(a, b), "links")
-        if links.count() <= ONE_TASK:
-            return written(links.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u is not null and v is not null").coalesce(1).mapInArrow(_solve, "node long, root long"), "roots")
+        with Scratch(links.sparkSession) as scratch:
+            links = written(links.select(a, b), "links")
+            if links.count() <= ONE_TASK:
+                return scratch.keep(written(links.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u is not null and v is not null").coalesce(1).mapInArrow(_solve, "node long, root long"), "roots"))
+            return scratch.keep(in_rounds(links, a, b))
     return in_rounds(links, a, b)
 
 
@@ -49,18 +51,24 @@ def in_rounds(links: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) ->
     Each round gives a node the least root among its neighbours' and then that root's own root, so that the number of
     rounds grows with the logarithm of a component's diameter. Every round is written to the shared folder.
     """
-    both = written(links.select(F.col(a).alias("u"), F.col(b).alias("v")).unionByName(links.select(F.col(b).alias("u"), F.col(a).alias("v"))).distinct(), "links")
-    roots = written(both.groupBy("u").agg(F.min("v").alias("v")).select(F.col("u").alias("node"), F.least("u", "v").alias("root")), "roots")
-    for _ in range(rounds):
-        seen = both.join(roots.select(F.col("node").alias("v"), F.col("root").alias("r")), "v").groupBy("u").agg(F.min("r").alias("r"))
-        near = roots.join(seen.select(F.col("u").alias("node"), "r"), "node").select("node", "root", F.least("root", "r").alias("best"))
-        # what a node's neighbours have goes to the node's root too
-        told = near.where("best < root").groupBy(F.col("root").alias("node")).agg(F.min("best").alias("hook"))
-        hooked = near.join(told, "node", "left").select("node", "root", F.least("best", F.coalesce("hook", "best")).alias("best"))
-        jump = hooked.select(F.col("node").alias("best"), F.col("best").alias("over"))
-        least = F.least("best", F.coalesce("over", "best"))
-        new = written(hooked.join(jump, "best", "left").select("node", least.alias("root"), (least < F.col("root")).alias("moved")), "roots")
-        roots = new.select("node", "root")
-        if not new.where("moved").limit(1).count():
-            return roots
+    with Scratch(links.sparkSession) as scratch:
+        both = written(links.select(F.col(a).alias("u"), F.col(b).alias("v")).unionByName(links.select(F.col(b).alias("u"), F.col(a).alias("v"))).distinct(), "links")
+        roots = written(both.groupBy("u").agg(F.min("v").alias("v")).select(F.col("u").alias("node"), F.least("u", "v").alias("root")), "roots")
+        for _ in range(rounds):
+            seen = both.join(roots.select(F.col("node").alias("v"), F.col("root").alias("r")), "v").groupBy("u").agg(F.min("r").alias("r"))
+            near = roots.join(seen.select(F.col("u").alias("node"), "r"), "node").select("node", "root", F.least("root", "r").alias("best"))
+            # what a node's neighbours have goes to the node's root too
+            told = near.where("best < root").groupBy(F.col("root").alias("node")).agg(F.min("best").alias("hook"))
+            # written, so that both sides of the next join are plain shuffles: Spark splits a hot root's partition there
+            hooked = written(near.join(told, "node", "left").select("node", "root", F.least("best", F.coalesce("hook", "best")).alias("best")), "hooked")
+            jump = hooked.select(F.col("node").alias("best"), F.col("best").alias("over"))
+            least = F.least("best", F.coalesce("over", "best"))
+            new = written(hooked.join(jump, "best", "left").select("node", least.alias("root"), (least < F.col("root")).alias("moved")), "roots")
+            scratch.drop(hooked)
+            scratch.drop(roots)
+            roots = new
+            if not new.where("moved").limit(1).count():
+                out = scratch.keep(new).select("node", "root")
+                out._written_at = new._written_at
+                return out
     raise RuntimeError(f"components did not settle in {rounds} rounds")
