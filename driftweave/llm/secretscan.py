@@ -13,6 +13,7 @@ from __future__ import annotations
 import math
 import re
 import string
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import claim, small_batches, text_batches, written
+from .common import claim, narrow, numbered, text_batches, written
 
 #: The base patterns.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -127,57 +128,61 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
-def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, float]]:
-    """(start, end, bits) of strings that pass the battery and touch no base span."""
+def candidates(text: str, base: list[tuple[int, int, int]], tested: list[int] | None = None) -> list[tuple[int, int, float]]:
+    """(start, end, bits) of strings that pass the battery and touch no base span.
+
+    Every string with an encoding is a hypothesis of the false-discovery rule, whether it passes or not: `tested` counts
+    them by bins of length.
+    """
     out = []
     for m in _CANDIDATE.finditer(text):
         a, b = m.span()
-        x = m[0]
-        if x.isalpha() and (x.islower() or x[1:].islower()) and not _rare(x):
-            continue
         if any(s < b and a < e for s, _, e in base):
             continue
+        x = m[0]
         encoding = infer(x)
         if encoding is None or len(x.rstrip("=")) < 20:
             continue
+        if tested is not None:
+            tested[bisect_right(BINS, b - a) - 1] += 1
         bits = writing_bits(x, encoding)
         if bits > 0 and min(battery(x, encoding)) >= BATTERY:
             out.append((a, b, bits))
     return out
 
 
-def _rare(x: str) -> bool:
-    """A quick look at a word of small letters: could it be uniform?"""
-    return sum(x.count(c) for c in "jkqvwxyz") * 26 >= 5 * len(x)
+def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """Per row: doc_id and spans, an array of (start, kind, end) in order of start, then kind.
 
+    Offsets count code points; ends are exclusive. A null or empty text has no spans; repeated rows stay, an empty table
+    gives an empty table, and extra columns are left out. The texts are read once, whole: candidates go to the shared folder,
+    the limit comes from their counts, and spans under it are dropped.
+    """
+    return _tested(narrow(docs, doc_id=doc_id, text=text), "text", ["doc_id"])
 
-def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """Per row: doc_id, the columns of `keep`, and spans, an array of (start, kind, end) in order of start, then kind.
 
-    Offsets count code points; ends are exclusive. A null or empty text has no spans; repeated rows stay. The texts are
-    read once: candidates go to the shared folder, the limit comes from their counts, and spans over it are dropped.
-    """
-    small_batches(docs.sparkSession)
+def _tested(own: DataFrame, text: str, keep: list[str]) -> DataFrame:
+    """The columns of `keep` and spans, of a table without columns named found, tested and spans."""
     schema = "array<struct<start:int,kind:int,end:int,bits:double>>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         claim("secretscan", lambda: None)
         kind = pa.list_(pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32()), ("bits", pa.float64())]))
-        for batch, texts in text_batches(batches, "text"):
-            rows = []
+        for batch, texts in text_batches(batches, text):
+            rows, counts = [], []
             for x in texts:
-                base = base_spans(x)
-                own = [(s, k, e, None) for s, k, e in base] + [(a, 3, b, bits) for a, b, bits in candidates(x, base)]
-                rows.append([{"start": s, "kind": k, "end": e, "bits": z} for s, k, e, z in sorted(own, key=lambda v: v[:2])])
-            yield pa.RecordBatch.from_arrays([*batch.select(["doc_id", *keep]).columns, pa.array(rows, kind)], names=["doc_id", *keep, "found"])
-
-    slim = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), *(F.col(f"`{c}`") for c in keep if c != doc_id and c != "text"), F.col(f"`{text}`").alias("text"))
-    keep = tuple(c for c in slim.columns if c not in ("doc_id", "text")) + (("text",) if "text" in keep else ())
-    found = slim.mapInArrow(run, slim.select("doc_id", *keep).withColumn("found", F.lit(None).cast(schema)).schema)
+                base, tested = base_spans(x), [0] * len(BINS)
+                found = [(s, k, e, None) for s, k, e in base] + [(a, 3, b, bits) for a, b, bits in candidates(x, base, tested)]
+                rows.append([{"start": s, "kind": k, "end": e, "bits": z} for s, k, e, z in sorted(found, key=lambda v: v[:2])])
+                counts.append(tested if any(tested) else None)
+            yield pa.RecordBatch.from_arrays([*batch.select(keep).columns, pa.array(rows, kind), pa.array(counts, pa.list_(pa.int32()))], names=[*keep, "found", "tested"])
+
+    slim = own.select(*dict.fromkeys([*keep, text]))
+    found = slim.mapInArrow(run, slim.select(*keep, F.lit(None).cast(schema).alias("found"), F.lit(None).cast("array<int>").alias("tested")).schema)
     found = written(found, "secrets")
     limits = _limits(found)
-    tested = F.filter("found", lambda s: s["bits"].isNull() | (s["bits"] >= _limit_of(s, limits)))
-    return found.select("doc_id", *keep, F.transform(tested, lambda s: F.struct(s["start"], s["kind"], s["end"])).alias("spans"))
+    passed = F.filter("found", lambda s: s["bits"].isNull() | (s["bits"] >= _limit_of(s, limits)))
+    return found.select(*keep, F.transform(passed, lambda s: F.struct(s["start"], s["kind"], s["end"])).alias("spans"))
 
 
 def _bin(length):
@@ -198,20 +203,23 @@ def _limit_of(s, limits: dict[int, float]):
 def _limits(found: DataFrame) -> dict[int, float]:
     """For each bin of length, the least bits that the Benjamini-Hochberg rule lets through.
 
-    Counts by bin and by tenths of a bit up to 400 bits: at most 6 x 4001 rows, however large the corpus.
+    The hypotheses are all strings that were tested; those that passed the battery are counted by bin and by tenths of a
+    bit up to 400 bits: at most 6 x 4001 rows, however large the corpus.
     """
     s = F.explode(F.filter("found", lambda s: s["bits"].isNotNull())).alias("s")
     rows = found.select(s).groupBy(_bin(F.col("s.end") - F.col("s.start")).alias("bin"), F.least(F.lit(4000), F.floor(F.col("s.bits") * 10)).cast("int").alias("tenth")).count().collect()
-    out = {}
-    for b in range(len(BINS)):
-        own = sorted(((r["tenth"], r["count"]) for r in rows if r["bin"] == b), reverse=True)
-        m, rank, limit = sum(n for _, n in own), 0, float("inf")
-        for tenth, n in own:
-            rank += n
-            if tenth / 10 >= math.log2(m * len(BINS) / (FDR * rank)):
-                limit = tenth / 10
-        out[b] = limit
-    return out
+    sums = found.where("tested is not null").agg(*(F.sum(F.col("tested")[b].cast("long")).alias(f"n{b}") for b in range(len(BINS)))).first()
+    return {b: least_bits(sums[b] or 0, [(r["tenth"], r["count"]) for r in rows if r["bin"] == b]) for b in range(len(BINS))}
+
+
+def least_bits(tested: int, passed: list[tuple[int, int]]) -> float:
+    """The limit of a bin with `tested` hypotheses, of which `passed` has (tenths of a bit, how many)."""
+    rank, limit = 0, float("inf")
+    for tenth, n in sorted(passed, reverse=True):
+        rank += n
+        if tenth / 10 >= math.log2(tested * len(BINS) / (FDR * rank)):
+            limit = tenth / 10
+    return limit
 
 
 def spans_text(spans, kinds: tuple[int, ...] = (0, 1, 2, 3)):
@@ -226,28 +234,32 @@ def count_kind(spans, kind: int):
 
 
 def redact(docs: DataFrame, mark: str = "[secret]", doc_id: str = "doc_id", text: str = "text", n_chars: str = "n_chars") -> DataFrame:
-    """`docs` with each span that `scan` finds replaced by `mark`; overlapping spans become one. Null texts stay null."""
-    rest = [c for c in docs.columns if c not in (doc_id, text)]
+    """`docs` with each span that `scan` finds replaced by `mark`; overlapping spans become one.
+
+    Null texts stay null, repeated rows stay repeated, an empty table stays empty. Extra columns of any name pass through;
+    `n_chars`, where there is such a column, counts the new text's characters (and stays as it is where the text is null).
+    """
+    own, at = numbered(docs)
+    body, names = at[text], own.columns
     # the spans of a row travel with its text, so that rows with equal ids stay apart
-    found = scan(docs.withColumn("_text_is_null", F.col(f"`{text}`").isNull()), doc_id, text, keep=(*rest, "_text_is_null", "text"))
+    found = _tested(own, body, names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch, texts in text_batches(batches, body):
             out = []
-            for x, spans, null in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist(), batch.column("_text_is_null").to_pylist()):
-                x, parts, at = x or "", [], 0
+            for x, null, spans in zip(texts, batch.column(body).is_null().to_pylist(), batch.column("spans").to_pylist()):
+                parts, end = [], 0
                 for s in spans:
-                    if s["end"] <= at:
+                    if s["end"] <= end:
                         continue
-                    if s["start"] >= at:
-                        parts += [x[at : s["start"]], mark]
-                    at = s["end"]
-                out.append(None if null else "".join([*parts, x[at:]]))
-            yield pa.RecordBatch.from_arrays([*batch.select(["doc_id", *rest]).columns, pa.array(out, pa.string())], names=["doc_id", *rest, "text"])
-
-    slim = found.select("doc_id", *rest, "text")
-    changed = found.select("doc_id", *rest, "text", "spans", "_text_is_null").mapInArrow(run, slim.schema)
-    changed = changed.withColumnsRenamed({"doc_id": doc_id, "text": text})
-    if n_chars in docs.columns:
-        changed = changed.withColumn(n_chars, F.when(F.col(f"`{text}`").isNull(), F.col(n_chars)).otherwise(F.length(text).cast("long")))
-    return changed.select(*(F.col(f"`{c}`") for c in docs.columns))
+                    if s["start"] >= end:
+                        parts += [x[end : s["start"]], mark]
+                    end = s["end"]
+                out.append(None if null else "".join([*parts, x[end:]]))
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()) if c == body else batch.column(c) for c in names], names=names)
+
+    changed = found.mapInArrow(run, own.schema)
+    if n_chars in at:
+        kind = dict(own.dtypes)[at[n_chars]]
+        changed = changed.withColumn(at[n_chars], F.when(F.col(body).isNull(), F.col(at[n_chars])).otherwise(F.length(body).cast(kind)))
+    return changed.toDF(*docs.columns)
