@@ -1,8 +1,9 @@
 """Near-duplicate vectors by NN-descent.
 
 A neighbour graph starts from random-projection blocks and is refined by joins of neighbours with neighbours' neighbours.
-Links are the graph's edges of at least the threshold. Where a vector's list holds links only, the list was too short: the
-lists of its component are enlarged to all vectors of all such components, compared in blocks, which may join components.
+Links are the graph's edges of at least the threshold. Where a vector's list holds links only, the list was too short: it is
+doubled and refined again, ENLARGE times. Vectors whose lists are still full then belong to groups that no list of fixed
+size can hold: all vectors of their components are compared in blocks, which counts their links and may join components.
 An audit compares the links of a sample with brute force; while its recall is too low, more projections and refinements
 follow, and after the last of them all pairs of each label, in blocks.
 """
@@ -18,11 +19,13 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..operators.components import in_rounds as components
-from .common import narrow, written
+from .common import Scratch, narrow, written
 
 #: Neighbours kept for a vector, and taken of those that name it; tables of projections; vectors of a block.
 LIST, BACK, TABLES, BLOCK = 8, 4, 10, 512
 ROUNDS, AUDIT_ROWS, AUDIT_RECALL, AUDITS = 2, 256, 0.999, 4
+#: How often the lists that hold links only are doubled.
+ENLARGE = 2
 #: Below the threshold by so much, a nearest neighbour makes its node one that the audit asks for.
 AUDIT_MARGIN = 0.05
 
@@ -104,17 +107,49 @@ def _start(own: DataFrame, seed: int, tables: int) -> DataFrame:
     return dealt.select("label", "t", "key", "block", "node", "vec").groupBy("label", "t", "key", "block").applyInArrow(near, "u long, v long, cos double")
 
 
-def _lists(edges: DataFrame, k: int = LIST) -> DataFrame:
-    """The k best distinct neighbours of each node."""
+def _lists(edges: DataFrame, k: int = LIST, wide: DataFrame | None = None) -> DataFrame:
+    """The k best distinct neighbours of each node; `wide` has other numbers (u, k) for some nodes."""
     one = edges.groupBy("u", "v").agg(F.max("cos").alias("cos"))
-    return one.withColumn("r", F.row_number().over(W.partitionBy("u").orderBy(F.desc("cos"), "v"))).where(F.col("r") <= k).drop("r")
+    ranked = one.withColumn("r", F.row_number().over(W.partitionBy("u").orderBy(F.desc("cos"), "v")))
+    if wide is None:
+        return ranked.where(F.col("r") <= k).drop("r")
+    return ranked.join(wide, "u", "left").where(F.col("r") <= F.coalesce("k", F.lit(k))).drop("r", "k")
 
 
-def _refine(graph: DataFrame, own: DataFrame) -> DataFrame:
-    """One round: each node shows its neighbours, and the nearest of those that name it, to one another."""
+def _full(graph: DataFrame, threshold: float, wide: DataFrame | None) -> DataFrame:
+    """u, k: nodes whose list of k neighbours holds links only."""
+    n = graph.where(F.col("cos") >= threshold).groupBy("u").agg(F.count("*").alias("n"))
+    sized = n.withColumn("k", F.lit(LIST)) if wide is None else n.join(wide, "u", "left").withColumn("k", F.coalesce("k", F.lit(LIST)))
+    return sized.where(F.col("n") >= F.col("k")).select("u", "k")
+
+
+def _widened(graph: DataFrame, own: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame | None]:
+    """The graph after full lists have been doubled and refined, and the sizes (u, k) of enlarged lists."""
+    wide = None
+    for _ in range(ENLARGE):
+        full = _full(graph, threshold, wide)
+        if full.isEmpty():
+            break
+        more = full.select("u", (2 * F.col("k")).alias("k"))
+        wide = written(more if wide is None else more.unionByName(wide.join(full, "u", "left_anti")), "wide")
+        graph = _refine(graph, own, wide)
+    return graph, wide
+
+
+def _refine(graph: DataFrame, own: DataFrame, wide: DataFrame | None = None) -> DataFrame:
+    """One round: each node shows its neighbours, and the nearest of those that name it, to one another.
+
+    With `wide`, lists of other sizes (u, k), only nodes show that have one of its nodes around them.
+    """
     back = _lists(graph.select(F.col("v").alias("u"), F.col("u").alias("v"), "cos"), BACK)
     around = graph.select("u", "v").unionByName(back.select("u", "v")).distinct()
-    last = graph.groupBy("u").agg(F.when(F.count("*") < LIST, F.lit(-2.0)).otherwise(F.min("cos")).alias("last"))
+    size = F.lit(LIST)
+    held = graph
+    if wide is not None:
+        asked = around.join(wide.select(F.col("u").alias("v")), "v", "left_semi").select("u").distinct()
+        around = around.join(asked, "u", "left_semi")
+        held, size = graph.join(wide, "u", "left"), F.coalesce(F.max("k"), F.lit(LIST))
+    last = held.groupBy("u").agg(F.when(F.count("*") < size, F.lit(-2.0)).otherwise(F.min("cos")).alias("last"))
     vecs = own.select(F.col("node").alias("v"), "vec").join(last.withColumnRenamed("u", "v"), "v", "left").withColumn("last", F.coalesce("last", F.lit(-2.0)))
     shown = around.join(vecs, "v").select("u", "v", "last", "vec")
 
@@ -127,16 +162,16 @@ def _refine(graph: DataFrame, own: DataFrame) -> DataFrame:
         return pa.table({"u": pa.array(ids[a]), "v": pa.array(ids[b]), "cos": pa.array(dots[a, b])})
 
     found = shown.groupBy("u").applyInArrow(lambda t: meet(t), "u long, v long, cos double")
-    return written(_lists(graph.unionByName(found)), "graph")
+    return written(_lists(graph.unionByName(found), LIST, wide), "graph")
 
 
-def _enlarged(graph: DataFrame, roots: DataFrame, own: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+def _enlarged(graph: DataFrame, wide: DataFrame | None, roots: DataFrame, own: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
     """Counts and links, as of `_compared`, of all nodes of components in which some list holds links only.
 
     A node whose list has room names all its links itself, so that links between components that the lists miss have a full
     list at both ends: these components are compared with one another, not with the rest.
     """
-    full = graph.where(F.col("cos") >= threshold).groupBy("u").agg(F.count("*").alias("n")).where(F.col("n") >= LIST).select(F.col("u").alias("node"))
+    full = _full(graph, threshold, wide).select(F.col("u").alias("node"))
     short = roots.join(full, "node").select("root").distinct()
     held = written(roots.join(short, "root").join(own, "node").select("label", "root", "node", "copies", "vec"), "held")
     sizes = held.groupBy("root").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
@@ -266,7 +301,8 @@ def _exact(edges: DataFrame, roots: DataFrame, own: DataFrame, threshold: float)
     cell = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("string")
     held = own.join(roots, "node", "left").join(sizes, "label").select("label", F.coalesce("root", "node").alias("root"), cell.alias("cell"), "node", "copies", "vec")
     counts, links = _compared(written(held, "held"), threshold)
-    return written(counts, "counts"), components(edges.unionByName(links))
+    counts = written(counts, "counts")
+    return counts, components(edges.unionByName(links))
 
 
 def classes(vectors: DataFrame, threshold: float = 0.98, vec_id: str = "vec_id", vec: str = "embedding", label: str = "label", seed: int = 7) -> DataFrame:
@@ -275,29 +311,31 @@ def classes(vectors: DataFrame, threshold: float = 0.98, vec_id: str = "vec_id",
     n_links counts other vectors linked directly, equal ones too; component_id is the least vec_id that links reach, the
     row's own included. Vectors without a node (see `nodes`) have no links. Repeated rows of one id give one row each.
     """
-    spark = vectors.sparkSession
-    own = written(nodes(vectors, vec_id, vec, label), "nodes")
-    graph = None
-    for again in range(AUDITS):
-        start = _start(own, seed + again, TABLES)
-        graph = written(_lists(start if graph is None else graph.unionByName(start)), "graph")
-        for _ in range(ROUNDS):
-            graph = _refine(graph, own)
-        near = graph.where(F.col("cos") >= threshold)
-        edges = written(near.select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).distinct(), "edges")
-        roots = components(edges)
-        more, links = _enlarged(graph, roots, own, threshold)
-        if not links.isEmpty():
-            roots = components(edges.unionByName(links))
-        copies = own.select("node", "copies")
-        sides = edges.select(F.col("a").alias("node"), F.col("b").alias("other")).unionByName(edges.select(F.col("b").alias("node"), F.col("a").alias("other")))
-        few = sides.join(copies.select(F.col("node").alias("other"), "copies"), "other").groupBy("node").agg(F.sum("copies").alias("few"))
-        found = few.join(more, "node", "left").select("node", F.coalesce("n", "few").alias("n"))
-        found = written(found, "counts")
-        if audit(own, found, graph, threshold, seed + again) >= AUDIT_RECALL:
-            break
-    else:
-        found, roots = _exact(edges, roots, own, threshold)
+    with Scratch(vectors.sparkSession) as scratch:
+        own = scratch.keep(written(nodes(vectors, vec_id, vec, label), "nodes"))
+        graph = None
+        for again in range(AUDITS):
+            start = _start(own, seed + again, TABLES)
+            graph = written(_lists(start if graph is None else graph.unionByName(start)), "graph")
+            for _ in range(ROUNDS):
+                graph = _refine(graph, own)
+            graph, wide = _widened(graph, own, threshold)
+            near = graph.where(F.col("cos") >= threshold)
+            edges = written(near.select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).distinct(), "edges")
+            roots = components(edges)
+            more, links = _enlarged(graph, wide, roots, own, threshold)
+            if not links.isEmpty():
+                roots = components(edges.unionByName(links))
+            copies = own.select("node", "copies")
+            sides = edges.select(F.col("a").alias("node"), F.col("b").alias("other")).unionByName(edges.select(F.col("b").alias("node"), F.col("a").alias("other")))
+            few = sides.join(copies.select(F.col("node").alias("other"), "copies"), "other").groupBy("node").agg(F.sum("copies").alias("few"))
+            found = written(few.join(more, "node", "left").select("node", F.coalesce("n", "few").alias("n")), "counts")
+            if audit(own, found, graph, threshold, seed + again) >= AUDIT_RECALL:
+                break
+        else:
+            found, roots = _exact(edges, roots, own, threshold)
+        scratch.keep(found)
+        scratch.keep(roots)
     by_node = own.select("node", "label", "copies").join(found, "node", "left").join(roots, "node", "left").select("node", "label", F.col("copies") - 1 + F.coalesce("n", F.lit(0)), F.coalesce("root", "node")).toDF("node", "label", "n_links", "component_id")
     # rows find their node by their vector
     rows = narrow(vectors, vec_id=vec_id, vec=vec, label=label).withColumn("vec", F.col("vec").cast("array<double>"))
