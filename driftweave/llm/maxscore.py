@@ -25,7 +25,10 @@ LEAD, PROBE = 256, 8
 
 
 def quantized(vectors: DataFrame, factor: int = 64, vec_id: str = "vec_id", vec: str = "embedding") -> DataFrame:
-    """vec_id, v: floor(factor * x) of the components as longs; rows with a null id, a null vector or a null or non-finite component are left out."""
+    """vec_id, v: floor(factor * x) of the components as longs, which end where longs do.
+
+    Rows with a null id, a null vector or a null or non-finite component are left out; extra columns of any name too.
+    """
     own = narrow(vectors, vec_id=vec_id, v=vec).select("vec_id", F.col("v").cast("array<double>").alias("v")).where("vec_id is not null and v is not null")
     finite = F.forall("v", lambda x: F.coalesce(~F.isnan(x) & (F.abs(x) < float("inf")), F.lit(False)))
     return own.where(finite).select("vec_id", F.transform("v", lambda x: F.floor(x * factor).cast("long")).alias("v"))
@@ -61,6 +64,8 @@ def _blocks(rows: DataFrame, n: int) -> DataFrame:
 def search(terms: np.ndarray, ids: np.ndarray, query: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
     """The k best (ids, scores) of a shard for one query, ties to the smaller id; `own` is left out. `ids` ascend."""
     width, n = terms.shape
+    if n and len(query) and width * max(-float(terms.min()), float(terms.max()), 1.0) * max(-float(query.min()), float(query.max()), 1.0) >= 2.0**62:
+        return _search_wide(terms, ids, query, own, k)
     q = np.zeros(width, np.int64)
     q[: min(width, len(query))] = query[:width]
     hi, lo = (terms.max(axis=1), terms.min(axis=1)) if n else (q, q)
@@ -100,16 +105,28 @@ def search(terms: np.ndarray, ids: np.ndarray, query: np.ndarray, own: int, k: i
     return ids[at[best]], scores[best]
 
 
+def _search_wide(terms: np.ndarray, ids: np.ndarray, query: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """As `search`, for values whose products may leave the range of a long: exact sums, which end where longs do."""
+    width = min(len(terms), len(query))
+    sums = query[:width].astype(object) @ terms[:width].astype(object)
+    scores = np.array([min(max(int(s), -(2**63)), 2**63 - 1) for s in sums], np.int64)
+    at = np.flatnonzero(ids != own)
+    best = np.array(sorted(at.tolist(), key=lambda i: (-int(scores[i]), int(ids[i])))[:k], np.int64)
+    return ids[best], scores[best]
+
+
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
     """query_id, rank, vec_id, score: the k highest inner products of each query with all vectors but those of its own id.
 
     Both inputs have vec_id and v (see `quantized`). Ties go to the smaller vec_id; with fewer than k vectors all come. An
-    empty input gives no rows. Blocks of queries meet blocks of vectors; each pair of blocks is a task's work of fixed size.
+    empty input gives no rows. Of rows that share an id each is a candidate of the others, and each is a query of its own,
+    with k rows of its own. Scores beyond a long end where longs do. Blocks of queries meet blocks of vectors; each pair of
+    blocks is a task's work of fixed size.
     """
     n, m = vectors.count(), queries.count()
     shards, asked = max(1, -(-n // SHARD_ROWS)), max(1, -(-m // QUERY_ROWS))
     left = written(_blocks(vectors, shards), "shards")
-    right = _blocks(queries, asked).select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("block"), F.col("block").alias("asked"), F.col("ids").alias("q_ids"), F.col("width").alias("q_width"), F.col("terms").alias("q_terms"))
+    right = written(_blocks(queries, asked), "queries").select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("block"), F.col("block").alias("asked"), F.col("ids").alias("q_ids"), F.col("width").alias("q_width"), F.col("terms").alias("q_terms"))
     pairs = right.join(left, "block").repartition(max(1, min(shards * asked, 4 * int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions")))), "block", "asked")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -121,8 +138,9 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
                 asked_terms = _opened(x["q_terms"], x["q_width"], len(q_ids))
                 found = [search(terms, ids, asked_terms[:, i], int(q), k) for i, q in enumerate(q_ids)]
                 sizes = [len(f[0]) for f in found]
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(q_ids, sizes)), pa.array(np.concatenate([f[0] for f in found])), pa.array(np.concatenate([f[1] for f in found]).astype(np.int64))], names=["query_id", "vec_id", "score"])
+                place = (x["asked"] << 32) + np.arange(len(q_ids))
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(place, sizes)), pa.array(np.repeat(q_ids, sizes)), pa.array(np.concatenate([f[0] for f in found])), pa.array(np.concatenate([f[1] for f in found]).astype(np.int64))], names=["query", "query_id", "vec_id", "score"])
 
-    found = pairs.select("ids", "width", "terms", "q_ids", "q_width", "q_terms").mapInArrow(run, "query_id long, vec_id long, score long")
-    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    found = pairs.select("asked", "ids", "width", "terms", "q_ids", "q_width", "q_terms").mapInArrow(run, "query long, query_id long, vec_id long, score long")
+    rank = F.row_number().over(W.partitionBy("query").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
