@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import in_rounds as components
-from .common import claim, narrow, small_batches, text_batches, written
+from .common import Scratch, claim, narrow, numbered, slices, text_batches, written
 
 SHINGLE, SIMILARITY = 5, 0.8
 #: At similarity 0.8 a pair shares no band with chance (1 - 0.8^4)^24, three in a million.
@@ -164,7 +164,6 @@ def sketch(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
             bands = pa.ListArray.from_arrays(pa.array(np.arange(len(parts) + 1, dtype=np.int32) * BANDS), pa.array(keys.ravel()))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), pa.array(nodes, pa.binary()), pa.array([r.tobytes() for r in sig], pa.binary()), bands], names=["doc_id", "text_hash", "node", "sig", "bands"])
 
-    small_batches(docs.sparkSession)
     slim = narrow(docs, doc_id=doc_id, text=text).select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
     schema = slim.select("doc_id", "text_hash", F.lit(None).cast("binary").alias("node"), F.lit(None).cast("binary").alias("sig"), F.lit(None).cast("array<long>").alias("bands")).schema
     return slim.mapInArrow(run, schema)
@@ -185,7 +184,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         claim("bagminhash", forget)
         held: tuple[str | None, tuple] = (None, ())
-        for batch in batches:
+        for batch in slices(batches, "ta", "tb"):
             keep = []
             for ta, tb in zip(batch.column("ta").to_pylist(), batch.column("tb").to_pylist()):
                 if held[0] != ta:
@@ -215,12 +214,13 @@ def links(docs: DataFrame, rows: DataFrame, threshold: float = SIMILARITY) -> Da
     """Verified links a, b between nodes whose transitive closure is that of all similar pairs that share a band."""
     nodes = written(rows.where("node is not null").select("node", "sig", "bands").dropDuplicates(["node"]), "nodes")
     members = nodes.select("node", F.explode("bands").alias("key"))
-    counts = members.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    # what is joined by a bucket's key is written first: where both sides of a join are plain shuffles, Spark splits a hot bucket
+    counts = written(members.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "counts")
     members = written(members.join(counts, "key"), "members")
     texts = _texts(members.select("node").distinct(), docs, rows)
     # a bucket's leader is the member with the most company over all its buckets: it stands in the middle of its group
     company = members.groupBy("node").agg(F.sum("n").alias("c"))
-    leaders = members.join(company, "node").groupBy("key").agg(F.max(F.struct("c", "node")).alias("m")).select("key", F.col("m.node").alias("a"))
+    leaders = written(members.join(company, "node").groupBy("key").agg(F.max(F.struct("c", "node")).alias("m")).select("key", F.col("m.node").alias("a")), "leaders")
     pairs = members.join(leaders, "key").where("node != a").select("a", F.col("node").alias("b")).distinct()
     found = _verified(written(_likely(pairs, nodes), "pairs"), texts, threshold)
     roots = components(found)
@@ -229,6 +229,7 @@ def links(docs: DataFrame, rows: DataFrame, threshold: float = SIMILARITY) -> Da
     shared = written(shared, "shared")
     parts = shared.groupBy("key", "root").agg(F.count("*").alias("c")).groupBy("key").agg(F.max(F.struct("c", "root")).alias("top"), F.sum("c").alias("n"), F.count("*").alias("parts"))
     mixed = parts.where("parts > 1").select("key", F.col("top.root").alias("major"), F.ceil((F.col("n") - F.col("top.c")) / BLOCK).cast("int").alias("asks"), F.ceil(F.col("n") / BLOCK).cast("int").alias("answers"))
+    mixed = written(mixed, "mixed")
     # nodes outside a bucket's largest component ask all of its nodes, block by block: a * n / 256 rows for a that ask n
     dealt = written(shared.join(mixed, "key").withColumn("minor", F.col("root") != F.col("major")), "dealt")
     place = F.xxhash64("node")
@@ -297,25 +298,32 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", thresho
     or through others. A null or empty text, or one without words, is a class of its own. Repeated rows share a class.
     """
     own = narrow(docs, doc_id=doc_id, text=text)
-    rows = written(sketch(own), "sketch")
-    roots = components(links(own, rows, threshold))
+    with Scratch(docs.sparkSession) as scratch:
+        rows = scratch.keep(written(sketch(own), "sketch"))
+        roots = scratch.keep(components(links(own, rows, threshold)))
     held = rows.select("doc_id", "text_hash", "node").join(roots, "node", "left").withColumn("class_root", F.coalesce("root", "node"))
     sizes = held.where("class_root is not null").groupBy("class_root").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_rows"))
     return held.join(sizes, "class_root", "left").select("doc_id", "text_hash", F.coalesce("class_id", "doc_id").alias("class_id"), "class_root", F.coalesce("class_rows", F.lit(1)).alias("class_rows"))
 
 
-def keep_one(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
-    """The rows of `docs` that stand for their class: the least doc_id stays, texts without words all stay."""
-    found = written(classes(docs, threshold=threshold), "classes")
+def keep_one(docs: DataFrame, threshold: float = SIMILARITY, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of `docs` that stand for their class: the least doc_id stays, texts without words all stay.
+
+    Of equal rows with the least id one stays. An empty table stays empty; extra columns of any name pass through.
+    """
+    plain, at = numbered(docs)
+    i, t = at[doc_id], at[text]
+    own = plain.select(F.col(i).alias("doc_id"), F.col(t).alias("text"))
+    found = written(classes(own, threshold=threshold), "classes")
     # a row goes if its id is not the least of its class; equal rows with the least id are told apart below
-    gone = found.where("class_id is not null and not (doc_id <=> class_id)").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_own")).distinct()
-    hashed = docs.withColumn("_hash", F.xxhash64("text"))
-    left = hashed.join(gone, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_own")), "left_anti")
-    twice = found.where("class_rows > 1 and doc_id <=> class_id").groupBy("class_root").agg(F.count("*").alias("n"), F.first("doc_id").alias("doc_id"), F.min("text_hash").alias("_keep")).where("n > 1").select("class_root", "doc_id", "_keep")
+    gone = found.where("class_id is not null and not (doc_id <=> class_id)").select(F.col("doc_id").alias("gone_id"), F.col("text_hash").alias("gone_hash")).distinct()
+    hashed = plain.withColumn("hash", F.xxhash64(t))
+    left = hashed.join(gone, F.col(i).eqNullSafe(F.col("gone_id")) & (F.col("hash") == F.col("gone_hash")), "left_anti")
+    twice = found.where("class_rows > 1 and doc_id <=> class_id").groupBy("class_root").agg(F.count("*").alias("n"), F.min("text_hash").alias("stays")).where("n > 1").select("class_root", "stays")
     if twice.limit(1).count():
-        names = found.join(twice.select("class_root", "_keep"), "class_root").where("doc_id <=> class_id").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_own"), "_keep").distinct()
-        marked = left.join(names, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_own")), "left").drop("_id", "_own")
-        single = marked.where("_keep is null")
-        first = marked.where("_keep is not null and _hash = _keep").dropDuplicates(["doc_id", "_hash"])
-        left = single.unionByName(first).drop("_keep")
-    return left.select(*(F.col(f"`{c}`") for c in docs.columns))
+        names = found.join(twice, "class_root").where("doc_id <=> class_id").select(F.col("doc_id").alias("own_id"), F.col("text_hash").alias("own_hash"), "stays").distinct()
+        marked = left.join(names, F.col(i).eqNullSafe(F.col("own_id")) & (F.col("hash") == F.col("own_hash")), "left").drop("own_id", "own_hash")
+        single = marked.where("stays is null")
+        first = marked.where("stays is not null and hash = stays").dropDuplicates([i, "hash"])
+        left = single.unionByName(first)
+    return left.select(*plain.columns).toDF(*docs.columns)

@@ -4,14 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..plans.storage import removed, shared_dir, written  # noqa: F401
+from ..plans.storage import Scratch, removed, shared_dir, written  # noqa: F401
 
-#: Rows of text that go to a Python worker at once, and bytes of text that it handles at once.
-ARROW_ROWS = 1000
+#: Bytes of text that a Python worker handles at once.
 BATCH_BYTES = 2 << 20
 
 
@@ -27,24 +28,34 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def text_batches(batches: Iterator[pa.RecordBatch], text: str, limit: int = BATCH_BYTES) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
-    """Each batch cut into slices of about `limit` bytes of text, with the slice's texts; null texts are empty."""
-    for batch in batches:
-        texts = ["" if x is None else x for x in batch.column(text).to_pylist()]
-        start, held = 0, 0
-        for i, x in enumerate(texts):
-            held += len(x)
-            if held >= limit:
-                yield batch.slice(start, i + 1 - start), texts[start : i + 1]
-                start, held = i + 1, 0
-        if start < len(texts):
-            yield batch.slice(start), texts[start:]
-
+    """Each batch cut into slices of about `limit` bytes of text, with the slice's texts; null texts are empty.
 
-def small_batches(spark: SparkSession) -> None:
-    """Lets no more than ARROW_ROWS rows go to a Python worker at once: long texts make the usual 10,000 a large part of its memory."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key)) <= ARROW_ROWS:
-        spark.conf.set(key, str(ARROW_ROWS))
+    Slices share the batch's memory, and only one slice's texts are Python strings at a time. Spark itself bounds a batch
+    by rows and by bytes (spark.sql.execution.arrow.maxBytesPerBatch).
+    """
+    for batch in batches:
+        column = batch.column(text)
+        ends = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+        start = 0
+        while start < len(ends):
+            held = int(ends[start - 1]) if start else 0
+            end = min(len(ends), int(np.searchsorted(ends, held + limit)) + 1)
+            part = batch.slice(start, end - start)
+            yield part, ["" if x is None else x for x in part.column(text).to_pylist()]
+            start = end
+
+
+def slices(batches: Iterator[pa.RecordBatch], *columns: str, limit: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
+    """Each batch cut into slices of about `limit` bytes in the named columns of strings or bytes."""
+    for batch in batches:
+        sizes = sum(pc.fill_null(pc.binary_length(batch.column(c)), 0).to_numpy(zero_copy_only=False).astype(np.int64) for c in columns)
+        ends = np.cumsum(sizes)
+        start = 0
+        while start < batch.num_rows:
+            held = int(ends[start - 1]) if start else 0
+            end = min(len(ends), int(np.searchsorted(ends, held + limit)) + 1)
+            yield batch.slice(start, end - start)
+            start = end
 
 
 #: What each operator keeps in its worker between tasks; workers are shared by the stages of a pipeline.
@@ -66,3 +77,12 @@ def claim(name: str, forget: Callable[[], None]) -> None:
 def narrow(df: DataFrame, **columns: str) -> DataFrame:
     """Only the named columns, under the names of the keywords, so that extra columns cannot clash."""
     return df.select(*(F.col(f"`{c}`").alias(k) for k, c in columns.items()))
+
+
+def numbered(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """`df` with its columns named by their places, and which place each name has, so that no name can clash with one of ours.
+
+    `toDF(*df.columns)` gives the names back.
+    """
+    names = [f"_{i}" for i in range(len(df.columns))]
+    return df.toDF(*names), dict(zip(reversed(df.columns), reversed(names)))

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import claim, narrow, removed, small_batches, text_batches
+from .common import claim, narrow, removed, text_batches
 
 #: Rolling window in ids; a chunk ends where the low bits of its hash are zero, within these bounds.
 WINDOW, LEAST, MOST, BITS = 16, 128, 4096, 9
@@ -259,7 +259,6 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, doc_i
     their texts.
     """
     spark = docs.sparkSession
-    small_batches(spark)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext

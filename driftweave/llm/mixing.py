@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import numbered
+
 #: Means beyond this are sums of several equal Poisson numbers, each from a hash of its own, so that exp(-mean) stays exact.
 PART = 16.0
 #: Above a mean of at most PART the chance of a number beyond this is under 1e-16.
@@ -47,12 +49,13 @@ def rates(docs: DataFrame, weights: dict[str, float] | None = None, size: Column
     the target sum of sizes (that of the input by default). A null source counts as one source of its own.
     """
     size = F.col("n_chars") if size is None else size
-    own = docs.groupBy(F.col(source).alias("source")).agg(F.sum(F.coalesce(size, F.lit(0)).cast("double")).alias("own"))
+    own = docs.groupBy(F.col(f"`{source}`").alias("source")).agg(F.sum(F.coalesce(size, F.lit(0)).cast("double")).alias("own"))
     if weights is None:
         goal = F.pow("own", F.lit(power))
     else:
         table = docs.sparkSession.createDataFrame(list(weights.items()) or [("", 0.0)], "name string, weight double")
-        own = own.join(F.broadcast(table), F.col("source").eqNullSafe(F.col("name")), "left")  # one row for each weight given
+        table = F.broadcast(table) if len(weights) <= BROADCAST_SOURCES else table
+        own = own.join(table, F.col("source").eqNullSafe(F.col("name")), "left")
         goal = F.coalesce("weight", F.lit(0.0))
     sums = own.withColumn("goal", F.when(F.col("own") > 0, goal).otherwise(0.0))
     over = sums.agg(F.sum("goal").alias("goals"), F.sum("own").alias("owns")).first()
@@ -62,23 +65,29 @@ def rates(docs: DataFrame, weights: dict[str, float] | None = None, size: Column
     return sums.select("source", F.round(F.when(F.col("own") > 0, F.col("goal") / F.lit(goals) * F.lit(whole) / F.col("own")).otherwise(0.0), 9).alias("rate"))
 
 
-def mix(docs: DataFrame, seed: int = 1, doc_id: str = "doc_id", source: str = "source", shuffle: bool = True, **target) -> DataFrame:
-    """`docs` with each row as often as its Poisson number says, plus copy (from 0) and order_key, in the order of order_key.
+def mix(docs: DataFrame, seed: int = 1, doc_id: str = "doc_id", source: str = "source", shuffle: bool = True, marks: bool = True, **target) -> DataFrame:
+    """`docs` with each row as often as its Poisson number says, in the order of a hash of id, copy and seed.
 
-    Repeated rows with one id have one number of copies and each is repeated so. A null id has the key 'null'. An empty
-    table gives an empty table. The order is a global sort by a hash of id, copy and seed: it has no hot keys.
+    With `marks` the columns copy (from 0) and order_key (that hash) are added, and take the place of columns of these
+    names; without, the columns are those of `docs`. Extra columns of any name pass through. Repeated rows with one id have
+    one number of copies and each is repeated so. A null id has the key 'null'; a null text is a row like others. An empty
+    table gives an empty table. The global order has no hot keys.
     """
     rate = rates(docs, source=source, **target)
     bounded = rate.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES
     rate = F.broadcast(rate) if bounded else rate  # Spark splits the partitions of hot sources in that join
-    key = F.coalesce(F.col(f"`{doc_id}`").cast("string"), F.lit("null"))
-    joined = docs.alias("d").join(rate.alias("r"), F.col(f"d.{source}").eqNullSafe(F.col("r.source"))).select("d.*", F.col("r.rate").alias("_rate"))
-    copies = joined.withColumn("_n", poisson(F.col("_rate"), key, F.lit(str(seed)))).where("_n > 0")
-    out = copies.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1))).drop("_n", "_rate")
+    own, at = numbered(docs)
+    key = F.coalesce(F.col(at[doc_id]).cast("string"), F.lit("null"))
+    joined = own.join(rate.toDF("rate_source", "rate"), F.col(at[source]).eqNullSafe(F.col("rate_source"))).drop("rate_source")
+    copies = joined.withColumn("n", poisson(F.col("rate"), key, F.lit(str(seed)))).where("n > 0")
+    out = copies.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1))).drop("n", "rate")
     out = out.withColumn("order_key", F.md5(F.concat_ws(":", key, F.col("copy").cast("string"), F.lit(f"order{seed}")).cast("binary")))
-    if not shuffle:
-        return out
-    # MD5 is uniform, so equal ranges of its first 24 bits need no sampling pass
-    parts = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    place = F.floor(F.conv(F.substring("order_key", 1, 6), 16, 10).cast("long") * parts / F.lit(2**24)).cast("int")
-    return out.repartitionById(parts, place).sortWithinPartitions("order_key")
+    if shuffle:
+        # MD5 is uniform, so equal ranges of its first 24 bits need no sampling pass
+        parts = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+        place = F.floor(F.conv(F.substring("order_key", 1, 6), 16, 10).cast("long") * parts / F.lit(2**24)).cast("int")
+        out = out.repartitionById(parts, place).sortWithinPartitions("order_key")
+    if not marks:
+        return out.select(*own.columns).toDF(*docs.columns)
+    kept = [(n, c) for n, c in zip(own.columns, docs.columns) if c.lower() not in ("copy", "order_key")]
+    return out.select(*(n for n, _ in kept), "copy", "order_key").toDF(*(c for _, c in kept), "copy", "order_key")

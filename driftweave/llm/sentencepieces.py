@@ -19,7 +19,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import claim, small_batches, text_batches
+from .common import claim, text_batches
 
 MARK = "▁"
 NONE = np.int32(2**31 - 1)
@@ -223,7 +223,6 @@ def encode(df: DataFrame, model: str, text: str = "text", ids: str = "ids") -> D
     Repeated rows stay repeated; other columns pass through. Each batch of about 2 MB of text is encoded on its own, so
     memory does not depend on the number of rows.
     """
-    small_batches(df.sparkSession)
     rest = [c for c in df.columns if c not in (text, ids)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -239,7 +238,6 @@ def encode(df: DataFrame, model: str, text: str = "text", ids: str = "ids") -> D
 
 def decode(df: DataFrame, model: str, ids: str = "ids", text: str = "text") -> DataFrame:
     """`df` with the text of each list of ids, as the library's decode(ids) has it; null or empty lists give ''."""
-    small_batches(df.sparkSession)
     rest = [c for c in df.columns if c != text]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, text_batches
+from .common import text_batches
 
 #: Texts of more characters than this are cut, at the first safe place behind each so many characters.
 CUT_CHARS = 16_384
@@ -23,6 +23,10 @@ CALL_BYTES = 1 << 20
 _counters: dict[str, "Counter"] = {}
 
 
+def utf8_size(x: str) -> int:
+    return len(x) if x.isascii() else len(x.encode())
+
+
 class Counter:
     """Counts the tokens that a tokenizer file's library gives: tokenizers for .json, sentencepiece for .model."""
 
@@ -79,7 +83,7 @@ class Counter:
         got: list[int] = []
         at = held = 0
         for i, x in enumerate(flat):
-            held += len(x)
+            held += utf8_size(x)
             if held >= CALL_BYTES or i + 1 == len(flat):
                 got += self.count(flat[at : i + 1])
                 at, held = i + 1, 0
@@ -89,15 +93,16 @@ class Counter:
 def count_tokens(df: DataFrame, path: str, text: str = "text", n_tokens: str = "n_tokens", n_bytes: str = "n_bytes") -> DataFrame:
     """`df` without its text and with the tokens and UTF-8 bytes of each whole text, without begin, end or padding ids.
 
-    A null or empty text has 0 of both. Strings of special tokens inside a text count as the library's default has it.
+    A null or empty text has 0 of both; repeated rows stay repeated, and an empty table gives an empty table. Other columns
+    pass through, but for ones named as the two new ones. Strings of special tokens inside a text count as the library's
+    default has it. Texts of any length count whole.
     """
-    small_batches(df.sparkSession)
     rest = [c for c in df.columns if c not in (text, n_tokens, n_bytes)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = Counter.at(path)
         for batch, texts in text_batches(batches, text):
-            sizes = np.fromiter((len(x) if x.isascii() else len(x.encode()) for x in texts), np.int64, len(texts))
+            sizes = np.fromiter(map(utf8_size, texts), np.int64, len(texts))
             yield pa.RecordBatch.from_arrays([*batch.select(rest).columns, pa.array(counter.counts(texts)), pa.array(sizes)], names=[*rest, n_tokens, n_bytes])
 
     slim = df.select(*(F.col(f"`{c}`") for c in [*rest, text]))
