@@ -28,7 +28,7 @@ def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document comes as often as its source's rate draws it, in a global shuffle."""
-    return mixing.mix(docs, seed=1, power=0.5).select(*docs.columns)
+    return mixing.mix(docs, seed=1, power=0.5, marks=False)
 
 
 def tokens_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
