@@ -4,6 +4,10 @@ Words are turned into one flat array of symbols. Each round finds, for every wor
 neighbouring symbols, merges that pair wherever it stands (leftmost first, without overlap), and compacts the arrays,
 until no word has a pair left. Characters outside the vocabulary become byte pieces.
 
+Long words, as texts without spaces have them, are encoded in parts. No merge crosses a place between two parts if the
+token before it and the token behind it, encoded together, stay these two: up to the first merge that crosses, both tokens'
+own merges come in the same order whatever stands around them. So parts are joined where that holds, and else encoded as one.
+
 Cutting a text before each run of spaces is exact as long as no piece holds a space mark behind another character;
 `Pieces` checks this and else keeps texts whole.
 """
@@ -25,6 +29,8 @@ MARK = "▁"
 NONE = np.int32(2**31 - 1)
 #: Distinct words whose ids a worker keeps; the cache starts anew beyond this.
 CACHE_WORDS = 300_000
+#: Words of more characters are encoded in parts of about so many, so many parts at a time.
+PART, PARTS = 64, 4096
 
 _loaded: dict[str, "Pieces"] = {}
 
@@ -36,6 +42,8 @@ class Pieces:
         import sentencepiece
 
         self.sp = sp = sentencepiece.SentencePieceProcessor(model_file=path)
+        if "".join(sp.encode("  a  b ", out_type=str)) != "▁▁▁a▁▁b▁" or any(sp.decode(sp.encode(x)) != x for x in ("\ufb01 \u2460", "A\u030a\u3000b", "\tx\n")):
+            raise ValueError(f"{path} maps characters, drops spaces or puts none in front: this encoder does not know such models")
         n = sp.get_piece_size()
         names = [sp.id_to_piece(i) for i in range(n)]
         own = [i for i in range(n) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i))]
@@ -67,6 +75,11 @@ class Pieces:
         self.chars = np.array([ord(c) for c in chars], np.uint32)
         self.char_symbols = np.array([symbols[c] for c in chars], np.int32)
         self.size = n
+        self.code = np.zeros(max(symbols.values()) + 1, np.int64)  # code points of symbols of one character
+        self.code[self.char_symbols] = self.chars
+        self.width = np.ones(max(symbols.values()) + 1, np.int64)  # characters of each symbol
+        for p, i in ids.items():
+            self.width[i] = len(p)
         # decoding: the bytes of each piece
         shown: list[bytes] = []
         byte_of = {int(i): b for b, i in enumerate(self.byte_ids)}
@@ -93,6 +106,60 @@ class Pieces:
 
     def encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all words, flat, and the number of ids of each word. Words hold marks for spaces."""
+        return self._bytes(*self._symbols(words), len(words))
+
+    def encode_long(self, word: str) -> np.ndarray:
+        """Ids of a long word, in time and memory that grow with its length."""
+        ends = np.cumsum(self._widths(self._parts([word[i : i + PART] for i in range(0, len(word), PART)])))
+        # first parts end at any character; the second ones end at tokens' ends in the middle of the first ones
+        middle = np.minimum(np.arange(0, len(word), PART) + PART // 2, len(word))
+        bounds = np.unique(np.concatenate(([0], ends[np.searchsorted(ends, middle)], [len(word)]))).tolist()
+        found: dict[tuple[int, int], np.ndarray] = {}
+        sound: set[int] = set()
+        grown: dict[int, int] = {}
+        while True:
+            spans = list(zip(bounds, bounds[1:]))
+            new = [s for s in spans if s not in found]
+            for i in range(0, len(new), PARTS):
+                some = new[i : i + PARTS]
+                sym, wid = self._symbols([word[a:b] for a, b in some])
+                found.update(zip(some, np.split(sym, np.cumsum(np.bincount(wid, minlength=len(some)))[:-1])))
+            asked = [(at, found[left][-1], found[right][0]) for left, right in zip(spans, spans[1:]) if (at := left[1]) not in sound or left in new or right in new]
+            left, right = (self._widths(np.array([x[c] for x in asked], np.int32)) for c in (1, 2))
+            bad = set()
+            for i in range(0, len(asked), PARTS):
+                some = asked[i : i + PARTS]
+                sym, wid = self._symbols([word[at - a : at + b] for (at, _, _), a, b in zip(some, left[i:].tolist(), right[i:].tolist())])
+                two = np.bincount(wid, minlength=len(some)) == 2
+                first = np.searchsorted(wid, np.arange(len(some)))
+                for (at, l, r), k, ok in zip(some, first.tolist(), two.tolist()):
+                    (sound if ok and sym[k] == l and sym[k + 1] == r else bad).add(at)
+            if not bad:
+                break
+            # a part whose end is bad takes in the part behind it, and twice as many each time that this does not do
+            sound -= bad
+            left, kept, skip = 0, [0], 0
+            for b in bounds[1:-1]:
+                if b in bad and not skip:
+                    skip = grown[left] = 2 * grown.get(left, 0) or 1
+                if skip:
+                    skip -= 1
+                    sound.discard(b)
+                else:
+                    kept.append(b)
+                    left = b
+            bounds = [*kept, bounds[-1]]
+        whole = np.concatenate([found[s] for s in spans])
+        return self._bytes(whole, np.zeros(len(whole), np.int32), 1)[0]
+
+    def _parts(self, words: list[str]) -> np.ndarray:
+        return np.concatenate([self._symbols(words[i : i + PARTS])[0] for i in range(0, len(words), PARTS)])
+
+    def _widths(self, sym: np.ndarray) -> np.ndarray:
+        return np.where(sym < 0, 1, self.width[np.maximum(sym, 0)])
+
+    def _symbols(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Symbols of all words, flat, and each one's word."""
         lengths = np.fromiter(map(len, words), np.int64, len(words))
         cps = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32)
         at = np.minimum(np.searchsorted(self.chars, cps), len(self.chars) - 1)
@@ -135,10 +202,10 @@ class Pieces:
             again = np.flatnonzero(stale | np.concatenate((stale[1:], [False])))
             rank[again], into[again] = self._pairs(sym, wid, again)
         if not done_s:
-            return np.zeros(0, np.int32), np.zeros(len(words), np.int64)
+            return np.zeros(0, np.int32), np.zeros(0, np.int32)
         wid, sym = np.concatenate(done_w), np.concatenate(done_s)
         order = np.argsort(wid, kind="stable")
-        return self._bytes(sym[order], wid[order], len(words))
+        return sym[order], wid[order]
 
     def _pairs(self, sym: np.ndarray, wid: np.ndarray, at: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         at = np.arange(len(sym)) if at is None else at
@@ -152,15 +219,16 @@ class Pieces:
         """Byte pieces in place of symbols outside the vocabulary."""
         odd = np.flatnonzero((sym < 0) | (sym >= self.size))
         if len(odd):
-            code = {int(s): int(c) for s, c in zip(self.char_symbols, self.chars)}
-            parts, last = [], 0
+            own = sym[odd]
+            code = np.where(own < 0, -1 - own, self.code[np.maximum(own, 0)])
+            size = 1 + (code >= 0x80) + (code >= 0x800) + (code >= 0x10000)
             count = np.ones(len(sym), np.int64)
-            for i in odd.tolist():
-                s = int(sym[i])
-                raw = np.frombuffer(chr(-1 - s if s < 0 else code[s]).encode("utf-8"), np.uint8)
-                parts += [sym[last:i], self.byte_ids[raw]]
-                count[i], last = len(raw), i + 1
-            sym, wid = np.concatenate([*parts, sym[last:]]), np.repeat(wid, count)
+            count[odd] = size
+            sym, wid = np.repeat(sym, count), np.repeat(wid, count)
+            at = np.repeat(np.cumsum(count)[odd] - size, size) + (place := np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size))
+            size, code = np.repeat(size, size), np.repeat(code, size)
+            rest = code >> 6 * (size - 1 - place)  # UTF-8: the first byte tells the length, the others hold six bits each
+            sym[at] = self.byte_ids[np.where(size == 1, code, np.where(place == 0, (0xF00 >> size & 0xFF) | rest, 0x80 | rest & 0x3F))]
         return sym, np.bincount(wid, minlength=n)
 
     def words(self, text: str) -> list[str]:
@@ -182,11 +250,14 @@ class Pieces:
             self.cache.clear()
         cache = self.cache
         new = list(set().union(*parts).difference(cache)) if parts else []
+        long = {w: self.encode_long((MARK + w).replace(" ", MARK)).astype("<i4").tobytes() for w in new if len(w) >= 2 * PART}  # not kept: they are large and seldom come again
+        new = [w for w in new if w not in long]
         if new:
             ids, counts = self.encode_words([(MARK + w).replace(" ", MARK) for w in new])
             raw, ends = ids.astype("<i4").tobytes(), (4 * np.cumsum(counts)).tolist()
             cache.update(zip(new, (raw[a:b] for a, b in zip([0, *ends], ends))))
-        docs = [b"".join([cache[w] for w in p]) for p in parts]
+        known = cache if not long else {**{w: cache[w] for p in parts for w in p if w in cache}, **long}
+        docs = [b"".join([known[w] for w in p]) for p in parts]
         offsets = np.concatenate(([0], np.cumsum(np.fromiter(map(len, docs), np.int64, len(docs)) // 4))).astype(np.int32)
         return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(docs), np.int32)))
 
@@ -220,8 +291,8 @@ def _append(batch: pa.RecordBatch, name: str, values: pa.Array) -> pa.RecordBatc
 def encode(df: DataFrame, model: str, text: str = "text", ids: str = "ids") -> DataFrame:
     """`df` without its text and with the ids of each whole text; a null or empty text has no ids.
 
-    Repeated rows stay repeated; other columns pass through. Each batch of about 2 MB of text is encoded on its own, so
-    memory does not depend on the number of rows.
+    Repeated rows stay repeated, an empty table gives an empty table, and other columns pass through, but for one named
+    `ids`. Each batch of about 2 MB of text is encoded on its own, so memory does not depend on the number of rows.
     """
     rest = [c for c in df.columns if c not in (text, ids)]
 
@@ -237,7 +308,10 @@ def encode(df: DataFrame, model: str, text: str = "text", ids: str = "ids") -> D
 
 
 def decode(df: DataFrame, model: str, ids: str = "ids", text: str = "text") -> DataFrame:
-    """`df` with the text of each list of ids, as the library's decode(ids) has it; null or empty lists give ''."""
+    """`df` with the text of each list of ids, as the library's decode(ids) has it; null or empty lists give ''.
+
+    Other columns pass through, but for one named `text`; repeated rows stay repeated.
+    """
     rest = [c for c in df.columns if c != text]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,5 +1,6 @@
 """Text operators against the tokenizers' libraries, brute force and hand-made cases."""
 
+import base64
 import glob
 import hashlib
 import os
@@ -42,6 +43,39 @@ def test_piece_encoding_is_the_librarys():
         assert pieces.decode(np.array(ids, np.int64), np.array([0, len(ids)])).to_pylist() == [sp.decode(ids)]
 
 
+UNSPACED = {
+    "pieces": lambda n: "".join(rnd.choice(["tion", "the", "er", "and", "in", "ity", "ment"]) for _ in range(n))[:n],
+    "letters": lambda n: "".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n)),
+    "hex": lambda n: rnd.randbytes(n // 2).hex(),
+    "base64": lambda n: base64.b64encode(rnd.randbytes(3 * n // 4)).decode(),
+    "ideographs": lambda n: "".join(chr(rnd.randint(0x4E00, 0x9FA5)) for _ in range(n)),
+    "one letter": lambda n: "a" * n,
+    "marks": lambda n: "".join(rnd.choice("=-*") for _ in range(n)),
+    "spaces": lambda n: "a" + " " * n + "b",
+}
+
+
+@pytest.mark.parametrize("kind", UNSPACED)
+def test_long_words_are_the_librarys_in_linear_time(kind):
+    import time
+
+    sp, pieces = sentencepiece.SentencePieceProcessor(model_file=PIECES), sentencepieces.Pieces.at(PIECES)
+    for n in [*range(100, 400, 7), 5000]:
+        x = UNSPACED[kind](n)
+        assert pieces.encode([x]).to_pylist()[0] == sp.encode(x)
+    x = UNSPACED[kind](200_000)
+    began = time.process_time()
+    got = pieces.encode([x])
+    took = time.process_time() - began
+    assert got.to_pylist()[0] == sp.encode(x) and took < 1.5 and x not in pieces.cache
+
+
+def test_models_that_change_their_text_are_refused(monkeypatch):
+    monkeypatch.setattr(sentencepiece.SentencePieceProcessor, "encode", lambda self, x, **_: ["▁a", "▁b"])
+    with pytest.raises(ValueError, match="does not know such models"):
+        sentencepieces.Pieces(PIECES)
+
+
 def test_encode_and_decode_frames(spark):
     df = docs(spark, [None, "", "a b", "a b"]).withColumn("ids", F.lit(7)).withColumn("n_tokens", F.lit("clash"))
     out = sentencepieces.decode(sentencepieces.encode(df, PIECES), PIECES)
