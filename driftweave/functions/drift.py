@@ -70,9 +70,10 @@ def lagged_ema(df: DataFrame, x: str, by: str, order: str, alpha: float = 0.05)
     """`df` with mu: the exponential mean of the values before each row; the first row's own value there.
 
     The recursion runs over a stream's rows in order, so they are folded in one task per stream, in Arrow batches of which
-    only the last mean is carried.
+    only the last mean is carried. Step by step, so that means are those of the detector to the last bit.
     """
     from collections.abc import Iterator
+    from itertools import accumulate
 
     import numpy as np
     import pyarrow as pa
@@ -84,12 +85,12 @@ def lagged_ema(df: DataFrame, x: str, by: str, order: str, alpha: float = 0.05)
         held, mean = None, 0.0
         for batch in batches:
             keys, values = batch.column(by_at).to_pylist(), batch.column(x_at).to_pylist()
+            turns = [i for i in range(len(keys)) if i == 0 or keys[i] != keys[i - 1]]
             out = np.empty(len(keys))
-            for i, (k, v) in enumerate(zip(keys, values)):
-                if i == 0 and held is None or k != held:
-                    held, mean = k, v
-                out[i] = mean
-                mean = alpha * v + (1.0 - alpha) * mean
+            for a, b in zip(turns, [*turns[1:], len(keys)]):
+                if held is None or keys[a] != held[0]:
+                    held, mean = (keys[a],), values[a]
+                *out[a:b], mean = accumulate(values[a:b], lambda m, v: alpha * v + (1.0 - alpha) * m, initial=mean)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out)], names=[*columns, "mu"])
 
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))

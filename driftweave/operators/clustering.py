@@ -53,6 +53,13 @@ def cluster_summary(points: DataFrame, label: str = "label", vec: str = "vec", d
     return means.join(wide, "label")
 
 
+def largest_group(labels: DataFrame, label: str = "label") -> DataFrame:
+    """label, n: the cluster with the most members, the lower label of equal ones; no row without clusters. -1 is none."""
+    sizes = labels.where(F.col(label) >= 0).groupBy(label).agg(F.count("*").alias("n"))
+    best = sizes.agg(F.max(F.struct(F.col("n"), (-F.col(label)).alias("back"))).alias("m")).where("m is not null")
+    return best.select((-F.col("m.back")).cast("long").alias("label"), F.col("m.n").alias("n"))
+
+
 def greedy_cover(points: DataFrame, radius: float | None = None, least: int = 5, group: str = "stream", order: str = "seq", vec: str = "vec", r_max: float = 0.15, snn_k: int = 5, tk: int = 3, mk: int = 2) -> DataFrame:
     """group, seq, cover: points in order claim all unclaimed points within the radius if there are enough; others have -1.
 

@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.vectors import clip_radius, l2_distance
+from ..plans.storage import written
 from .blocks import distances, meet
 
 EDGE = "i long, j long, dist double"
@@ -70,7 +71,7 @@ def shared_neighbors(edges: DataFrame, least: int) -> DataFrame:
 
 def shared_radius(points: DataFrame, k: int = 5, r_max: float = 0.5, tk: int = 5, mk: int = 4, id: str = "id", vec: str = "vec") -> DataFrame:
     """One row: n_pairs, max_dist, radius. The greatest distance to a shared neighbour, or r_max with too few qualifying pairs."""
-    edges = knn(points, k, id, vec).cache()
+    edges = written(knn(points, k, id, vec), "knn")
     pairs = shared_neighbors(edges, tk)
     steps = pairs.select("i", F.explode("shared").alias("j")).join(edges.select("i", "j", "dist"), ["i", "j"])  # a shared neighbour is a neighbour
     longest = steps.agg(F.max("dist").alias("max_dist"))
@@ -186,7 +187,7 @@ def lsh_knn(points: DataFrame, queries: DataFrame, k: int, normal: np.ndarray, i
     number of points at most; with fewer neighbours than k there are fewer rows.
     """
     k = min(k, max(0, points.count() - 1))
-    found = lsh_candidates(lsh_keys(points, normal, id, vec), queries, normal, id, vec).cache()
+    found = written(lsh_candidates(lsh_keys(points, normal, id, vec), queries, normal, id, vec), "candidates")
     enough = found.groupBy("q").agg(F.count("*").alias("n")).where(F.col("n") >= k).select("q")
     near = _measured(found.join(enough, "q", "left_semi"), points, queries, id, vec).where("not same").select("q", "j", "dist")
     few = queries.join(enough.select(F.col("q").alias(id)), id, "left_anti")

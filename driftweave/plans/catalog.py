@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import numpy as np
@@ -13,7 +14,8 @@ from ..functions import drift, vectors
 from ..operators import clustering, metrics, neighbors, recovery, summary, timing
 from ..sources import streams
 from ..streaming import drivers
-from . import benchmark
+from . import benchmark, state_sql
+from .storage import shared_dir, written
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -169,6 +171,14 @@ def lsh_range(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(neighbors.lsh_range(points, points, RADIUS, PLANES), "dist")
 
 
+@query(f"WITH {LSH} SELECT id AS idx, tbl::INT AS tbl, key FROM keys")
+def lsh_insert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An index of half of the points, into which the other half is put."""
+    points = _points(spark, sf_dir)
+    index = neighbors.lsh_keys(points.where("id % 2 = 0"), PLANES)
+    return neighbors.lsh_insert(index, points.where("id % 2 <> 0"), PLANES)
+
+
 @query(f"WITH {LSH}, many AS (SELECT q FROM cand GROUP BY q HAVING count(*) >= 3), full_d AS (SELECT q, j, dist FROM near WHERE q IN (FROM many) AND dist > 0 UNION ALL SELECT a.id, b.id, list_distance(a.vec, b.vec) FROM e a JOIN e b ON a.vec <> b.vec WHERE a.id NOT IN (FROM many)), r AS (SELECT q, j, row_number() OVER (PARTITION BY q ORDER BY dist, j)::INT AS rank, dist FROM full_d) SELECT q, j, rank, round(dist, 6) AS dist FROM r WHERE rank <= 3")
 def lsh_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
     points = _points(spark, sf_dir)
@@ -209,7 +219,34 @@ def cluster_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("label", "n", F.round(F.col("center")[0], 6).alias("c0"), F.round(F.col("center")[63], 6).alias("c63"), F.round("radius", 6).alias("radius"))
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {MARKED}, good AS (SELECT i FROM marked WHERE NOT is_outlier),
+    links AS (SELECT i, j FROM mutual WHERE i IN (FROM good) AND j IN (FROM good) UNION SELECT i, i FROM good),
+    reach AS (SELECT i, j FROM links UNION SELECT r.i, l.j FROM reach r JOIN links l ON r.j = l.i),
+    roots AS (SELECT i, min(j) AS root FROM reach GROUP BY i),
+    named AS (SELECT i, dense_rank() OVER (ORDER BY root) - 1 AS label FROM roots)
+    SELECT label::BIGINT AS label, count(*) AS n FROM named GROUP BY label ORDER BY n DESC, label LIMIT 1"""
+)
+def largest_group(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clustering.largest_group(clustering.tight_clusters(_points(spark, sf_dir), K, ALPHA))
+
+
+@query(f"WITH {CENTERS}, d AS (SELECT e.id AS i, list_distance(e.vec, c.center) AS dist FROM e, c) SELECT i, round(min(dist) / 0.95, 6) AS surprise FROM d GROUP BY i")
+def surprise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    points = _points(spark, sf_dir)
+    centers = points.groupBy(F.col("label").cast("long").alias("id")).agg(vectors.centroid(F.col("vec"), 64).alias("vec"))
+    near = neighbors.nearest_center(points, centers, 0.95)
+    return near.select("i", F.round(vectors.surprise(F.col("dist"), F.lit(0.95)), 6).alias("surprise"))
+
+
+@query(f"WITH {CENTERS} SELECT e.id AS i, list_distance(e.vec, c.center) <= 0.95 AS held FROM e JOIN c USING (label)")
+def ball_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    points = _points(spark, sf_dir)
+    centers = points.groupBy("label").agg(vectors.centroid(F.col("vec"), 64).alias("center"))
+    return points.join(centers, "label").select(F.col("id").alias("i"), vectors.within(F.col("vec"), F.col("center"), F.lit(0.95)).alias("held"))
+
+
+@query(f"WITH {E}, pts AS (SELECT label AS stream, id AS seq, vec FROM e) SELECT * FROM (WITH RECURSIVE {state_sql.greedy_cover('pts', 1.05, 5)})")
 def greedy_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
     points = _points(spark, sf_dir).select(F.col("label").alias("stream"), F.col("id").alias("seq"), "vec")
     return clustering.greedy_cover(points, 1.05, 5)
@@ -327,13 +364,46 @@ def timing_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return timing.timing_scores(timing.match_drifts(events, drifts, 125), drifts)
 
 
-@query()
+_LOG = {"k_lambda": 1.0, "k_slope": 1.0, "confirm_steps": 1, "accel_floor": 0.01}
+
+
+@query(
+    f"""WITH RECURSIVE {SEQ}, {state_sql.detector("s", "event_type", "value", **_LOG)},
+    f AS (SELECT event_type, seq AS t, direction, score, acceleration FROM det WHERE fired),
+    tr AS (SELECT event_type, unnest(generate_series(400, greatest(400, max(seq)), 400)) AS drift FROM s GROUP BY event_type),
+    hit AS (SELECT f.event_type, t, drift, t - drift AS lag, row_number() OVER (PARTITION BY f.event_type, t ORDER BY abs(t - drift), drift) AS r FROM f JOIN tr ON tr.event_type = f.event_type AND abs(t - drift) <= 100),
+    m AS (SELECT f.*, drift, lag, CASE WHEN drift IS NULL THEN 'false_positive' WHEN lag < 0 THEN 'early' ELSE 'true_positive' END AS verdict FROM f LEFT JOIN hit ON hit.event_type = f.event_type AND hit.t = f.t AND r = 1),
+    counts AS (SELECT event_type, count(*) AS n, count(*) FILTER (verdict = 'true_positive') AS tp, count(*) FILTER (verdict = 'false_positive') AS fp, count(*) FILTER (verdict = 'early') AS ea, count(DISTINCT drift) AS found FROM m GROUP BY event_type),
+    scores AS (SELECT c.*, t.n_true, round(tp / n, 3) AS p, round(tp / n_true, 3) AS r FROM counts c JOIN (SELECT event_type, count(*) AS n_true FROM tr GROUP BY event_type) t USING (event_type))
+    SELECT event_type, 0::BIGINT AS place, '{timing.LOG_HEAD}' AS line FROM counts
+    UNION ALL SELECT event_type, 1, '  {"-" * (len(timing.LOG_HEAD) - 2)}' FROM counts
+    UNION ALL SELECT event_type, row_number() OVER (PARTITION BY event_type ORDER BY t) + 1, printf('  %6d  %-5s %6.2f  %6.3f  %4d  %6d  %-16s  %s', t, direction, score, acceleration, 0, 0, verdict, coalesce(CASE WHEN lag >= 0 THEN '+' || lag ELSE lag::VARCHAR END, 'n/a')) FROM m
+    UNION ALL SELECT event_type, n + 2, '' FROM counts
+    UNION ALL SELECT event_type, n + 3, printf('  TP=%d  FP=%d  early=%d  missed=%d  precision=%s  recall=%s', tp, fp, ea, n_true - found, p::VARCHAR, r::VARCHAR) FROM scores
+    UNION ALL SELECT DISTINCT event_type, 0, '{timing.LOG_NONE}' FROM tr WHERE event_type NOT IN (SELECT event_type FROM counts)"""
+)
 def drift_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = drivers.detect(_events(spark, sf_dir), "event_type", "seq", "value", k_lambda=1.0, k_slope=1.0, confirm_steps=1, accel_floor=0.01).where("fired")
+    own = drivers.detect(_events(spark, sf_dir), "event_type", "seq", "value", **_LOG).where("fired")
     events = own.select("event_type", F.col("seq").alias("t"), "direction", F.col("abruptness_score").alias("score"), "acceleration", F.lit(0).alias("n_mcs"), F.lit(0).alias("n_macros"))
     drifts = _events(spark, sf_dir).groupBy("event_type").agg(F.max("seq").alias("last")).select("event_type", F.explode(F.expr("sequence(400L, greatest(400L, last), 400L)")).alias("drift"))
-    matched = timing.match_drifts(events, drifts, 100, ["event_type"])
-    return timing.drift_log(matched).join(matched.select("t", "verdict"), "t").distinct()
+    matched = written(timing.match_drifts(events, drifts, 100, ["event_type"]), "matched")
+    return timing.drift_log(matched, drifts, ["event_type"])
+
+
+@query("SELECT event_id, greatest(0, ceil(event_id / 50.0)::INT - 1) AS window_before, (event_id // 50)::INT AS window_at, round(value * pow(0.998, event_id % 500), 6) AS faded FROM events")
+def point_scalars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The evaluation window of each event by both rules, and its value after fading for some points."""
+    own = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "value")
+    faded = vectors.decayed(F.col("value"), 0.998, F.col("event_id") % 500)
+    return own.select("event_id", vectors.drift_window_before(F.col("event_id")).alias("window_before"), vectors.drift_window_at(F.col("event_id")).alias("window_at"), F.round(faded, 6).alias("faded"))
+
+
+@query("WITH g AS (SELECT event_id // 100 AS grp, list({'t': event_id, 'v': value} ORDER BY event_id) AS l, max(event_id) - 30 AS cutoff FROM events GROUP BY 1), k AS (SELECT grp, unnest(list_filter(l, lambda p: p.t > cutoff)) AS p FROM g) SELECT grp, count(*) AS n, min(p.t) AS oldest, round(sum(p.v), 6) AS total FROM k GROUP BY grp")
+def window_expiry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = spark.read.parquet(f"{sf_dir}/events.parquet").groupBy(F.floor(F.col("event_id") / 100).cast("long").alias("grp"))
+    held = own.agg(F.collect_list(F.struct(F.col("event_id").alias("t"), F.col("value").alias("v"))).alias("l"), (F.max("event_id") - 30).alias("cutoff"))
+    left = held.select("grp", F.explode(vectors.unexpired(F.col("l"), F.col("cutoff"))).alias("p"))
+    return left.groupBy("grp").agg(F.count("*").alias("n"), F.min("p.t").alias("oldest"), F.round(F.sum("p.v"), 6).alias("total"))
 
 
 # Rolling statistics --------------------------------------------------------------------------------------------------
@@ -405,7 +475,26 @@ def ema_lagged(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(drift.lagged_ema(own, "value", "event_type", "seq").select("event_type", "seq", "mu"), "mu")
 
 
-@query()
+def _slope_sql(x: str, n: int) -> str:
+    return f"CASE WHEN count(*) OVER {_frame(n)} >= 2 THEN regr_slope({x}, seq) OVER {_frame(n)} ELSE 0 END"
+
+
+_WIDE = _frame(150)
+SIGNALS = f"""{SEQ}, r AS (SELECT event_type, seq, value AS mu, 0.05 * value + 0.95 * value AS ema FROM s WHERE seq = 1 UNION ALL SELECT s.event_type, s.seq, r.ema, 0.05 * s.value + (1.0::DOUBLE - 0.05::DOUBLE) * r.ema FROM r JOIN s ON s.event_type = r.event_type AND s.seq = r.seq + 1),
+    w AS (SELECT event_type, seq, value, list(value) OVER {_frame(50)} AS l, median(value) OVER {_frame(50)} AS c FROM s),
+    z AS (SELECT event_type, seq, value, mu, greatest(-2.5, least(2.5, (value - mu) / CASE WHEN len(l) < 4 THEN 1 ELSE greatest(1.4826 * list_sort(list_transform(l, lambda v: abs(v - c)))[len(l) // 2 + 1], 1e-6) END)) AS z FROM w JOIN r USING (event_type, seq)),
+    c AS (SELECT *, sum(z - 0.01) OVER a AS u, sum(-z - 0.01) OVER a AS l FROM z WINDOW a AS (PARTITION BY event_type ORDER BY seq ROWS UNBOUNDED PRECEDING)),
+    arms AS (SELECT event_type, seq, value, mu, u - least(0, min(u) OVER a) AS up, l - least(0, min(l) OVER a) AS low FROM c WINDOW a AS (PARTITION BY event_type ORDER BY seq ROWS UNBOUNDED PRECEDING)),
+    sl AS (SELECT *, {_slope_sql("up", 10)} AS su, {_slope_sql("low", 10)} AS sl FROM arms),
+    sig AS (SELECT *, su >= sl AS rises, count(*) OVER {_WIDE} AS n, CASE WHEN count(*) OVER {_WIDE} < 20 THEN 13.5 ELSE greatest(4.5 * stddev_samp(greatest(up, low)) OVER {_WIDE}, 6.75) END AS level,
+        abs({_slope_sql("su", 8)}) AS au, abs({_slope_sql("sl", 8)}) AS al, avg(su) OVER {_WIDE} AS mu_u, avg(sl) OVER {_WIDE} AS mu_l, stddev_samp(su) OVER {_WIDE} AS sd_u, stddev_samp(sl) OVER {_WIDE} AS sd_l FROM sl),
+    pick AS (SELECT *, CASE WHEN rises THEN up ELSE low END AS arm, CASE WHEN rises THEN au ELSE al END AS acc, CASE WHEN rises THEN su ELSE sl END AS slope, CASE WHEN rises THEN mu_u ELSE mu_l END AS m, CASE WHEN rises THEN sd_u ELSE sd_l END AS sd FROM sig),
+    val AS (SELECT *, CASE WHEN n < 5 THEN slope ELSE (slope - m) / (sd + 1e-9) END AS score, CASE WHEN n < 10 THEN 7.0 ELSE m + 3.5 * sd END AS lim FROM pick),
+    met AS (SELECT *, (seq >= 50 AND arm > level AND score > lim AND acc > 0.12)::INT AS met, sum((NOT (seq >= 50 AND arm > level AND score > lim AND acc > 0.12))::INT) OVER (PARTITION BY event_type ORDER BY seq ROWS UNBOUNDED PRECEDING) AS island FROM val),
+    runs AS (SELECT *, (sum(met) OVER (PARTITION BY event_type, island ORDER BY seq ROWS UNBOUNDED PRECEDING))::BIGINT AS run FROM met)"""
+
+
+@query(f'WITH RECURSIVE {SIGNALS} SELECT event_type, seq, value, round(mu, 6) AS mu, round(up, 6) AS up, round(low, 6) AS low, round(level, 6) AS "lambda", CASE WHEN rises THEN \'up\' ELSE \'down\' END AS direction, round(score, 6) AS score, round(lim, 6) AS "limit", round(acc, 6) AS acceleration, run, run >= 3 AS fired FROM runs')
 def detector_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = drift.detector_signals(_events(spark, sf_dir).select("event_type", "seq", "value"), "value", "event_type", "seq")
     return _rounded(out, "up", "low", "lambda", "score", "limit", "acceleration", "mu")
@@ -423,6 +512,23 @@ def seed_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("Algorithm", "Dataset", *(F.col(f"`{k}`").alias(v) for k, v in names.items()))
 
 
+def _through_csv(df: DataFrame, name: str) -> DataFrame:
+    """A table written as CSV and read back."""
+    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    summary.write_csv(df, path)
+    return df.sparkSession.read.schema(df.schema).option("header", True).csv(path)
+
+
+@query(f'WITH {_DETAIL_SQL} SELECT algorithm AS "Algorithm", dataset AS "Dataset", seed AS "Seed", quality AS "Quality", qdrop AS "QualityDrop", resp AS "ResponseLag_w", rec AS "Recovery_w" FROM detail')
+def detail_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _through_csv(summary.detail_table(_runs(spark, sf_dir)), "detail").select("Algorithm", "Dataset", "Seed", "Quality", "QualityDrop", "ResponseLag_w", "Recovery_w")
+
+
+@query(f'WITH {_DETAIL_SQL} SELECT algorithm AS "Algorithm", dataset AS "Dataset", count(*) AS "Runs", round(avg(quality), 4) AS "Quality mean", round(avg(rec), 4) AS "Recovery_w mean" FROM detail GROUP BY ALL')
+def summary_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _through_csv(summary.seed_summary(summary.detail_table(_runs(spark, sf_dir))), "summary").select("Algorithm", "Dataset", "Runs", "Quality mean", "Recovery_w mean")
+
+
 @query(f"WITH {RUNS}, v AS (SELECT algorithm, dataset, q, CASE WHEN n % 4 <> 0 THEN q END AS d, CASE WHEN n % 7 <> 0 THEN q * 8 END AS r FROM b) SELECT algorithm, dataset, round(avg(q), 6) AS quality_mean_avg, round(CASE WHEN count(q) > 1 THEN stddev_pop(q) ELSE 0 END, 6) AS quality_mean_std, round(avg(d), 6) AS quality_drop_avg, round(CASE WHEN count(d) > 1 THEN stddev_pop(d) ELSE 0 END, 6) AS quality_drop_std, round(avg(r), 6) AS recovery_w_avg, round(CASE WHEN count(r) > 1 THEN stddev_pop(r) ELSE 0 END, 6) AS recovery_w_std FROM v GROUP BY ALL")
 def seed_summary_population(spark: SparkSession, sf_dir: str) -> DataFrame:
     columns = ("quality_mean", "quality_drop", "recovery_w")
@@ -464,7 +570,7 @@ def plot_series(spark: SparkSession, sf_dir: str) -> DataFrame:
 # State machines ------------------------------------------------------------------------------------------------------
 
 
-@query()
+@query(f"WITH RECURSIVE {SEQ}, {state_sql.detector('s', 'event_type', 'value')} SELECT event_type, seq, {state_sql.SNAPSHOT} FROM det WHERE seq > 0")
 def change_detector(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = drivers.detect(_events(spark, sf_dir), "event_type", "seq", "value")
     return _rounded(out, "ema_mean", "U_t", "L_t", "abruptness_score", "acceleration", "lambda_current", "slope_thresh_current")
@@ -474,9 +580,13 @@ def _clusterer(name: str) -> None:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         return _rounded(drivers.cluster(_planar(spark, sf_dir), name), "surprise", "score", "acceleration")
 
-    QUERIES[{"tight": "stream_cluster", "tight_drift": "stream_cluster_drift"}.get(name, name)] = run
+    key = {"tight": "stream_cluster", "tight_drift": "stream_cluster_drift"}.get(name, name)
+    QUERIES[key] = run
+    if sql := {"dbstream": state_sql.dbstream, "denstream": state_sql.denstream, "adaptive_radius": state_sql.adaptive_radius}.get(name):
+        ORACLES[key] = f"WITH RECURSIVE {PLANAR}, {sql('p')}"
 
 
+PLANAR = "p AS (SELECT event_type AS stream, row_number() OVER (PARTITION BY event_type ORDER BY event_id)::BIGINT AS seq, value / 600 AS x, hour(ts) / 24.0::DOUBLE AS y FROM events)"
 for _name in drivers.ALGORITHMS:
     _clusterer(_name)
 
@@ -497,12 +607,22 @@ for _name in streams.DATASETS:
     _source(_name)
 
 
-@query()
+def _drifts_sql(n: int) -> str:
+    quarters, thirds = [n // 4 * i for i in (1, 2, 3)], [n // 3, 2 * n // 3]
+    own = {"AbruptSplit": [n // 2], "AbruptMerge": [n // 2], "SpeedVariant": thirds, "DimensionShift": [n // 4, n // 2, 3 * n // 4]}
+    rows = ", ".join(f"('{k}', {i}, {d})" for k in streams.DATASETS for i, d in enumerate(own.get(k, quarters)))
+    return f"SELECT stream, 42::INT AS seed, drift_ord::INT AS drift_ord, drift_idx::BIGINT AS drift_idx FROM (VALUES {rows}) AS v(stream, drift_ord, drift_idx)"
+
+
+@query(_drifts_sql(5000))
 def source_drifts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return benchmark.points(spark, list(streams.DATASETS), [42], 5000, "drifts")
 
 
-@query()
+_SCALARS = ", ".join(f"('smoke', {i}, '{s}', {x!r}::DOUBLE)" for i, s, x in streams.scalar_stream())
+
+
+@query(f"WITH RECURSIVE smoke AS (SELECT stream, seq::BIGINT AS seq, segment, x FROM (VALUES {_SCALARS}) AS v(stream, seq, segment, x)), {state_sql.detector('smoke', 'stream', 'x')}, f AS (SELECT segment FROM det JOIN smoke USING (stream, seq) WHERE fired) SELECT count(*) FILTER (segment LIKE '%ABRUPT%') AS abrupt, count(*) FILTER (segment LIKE '%gradual%') AS gradual, count(*) FILTER (segment NOT LIKE '%ABRUPT%' AND segment NOT LIKE '%gradual%') AS false_alarms FROM f")
 def scalar_fires(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.createDataFrame([("smoke", i, s, x) for i, s, x in streams.scalar_stream()], "stream string, seq long, segment string, x double")
     fires = drivers.detect(rows).where("fired").join(rows.select("stream", "seq", "segment"), ["stream", "seq"])

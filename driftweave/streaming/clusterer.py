@@ -11,6 +11,10 @@ from dataclasses import dataclass, field
 import numpy as np
 
 
+#: How near points are found: by all distances, whatever kind of tree is named, or among points of equal hashes only.
+BACKENDS = ("exact", "auto", "kd", "ball", "lsh")
+
+
 def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.sqrt(((a[:, None, :] - b[None, :, :]) ** 2).sum(axis=2))
 
@@ -135,6 +139,8 @@ class Ball:
 class StreamClusterer:
     def __init__(self, W: int = 500, N: int = 5, r_max: float = 0.15, k: int = 4, n_micro: int = 2, snn_k: int = 5, alpha: float = 1.6, tk: int = 3, mk: int = 2, backend: str = "exact", n_hashes: int = 10, n_tables: int = 3):
         self.W, self.N, self.r_max, self.k, self.n_micro, self.snn_k, self.alpha, self.tk, self.mk = W, N, r_max, k, n_micro, snn_k, alpha, tk, mk
+        if backend not in BACKENDS:
+            raise ValueError(f"unknown backend {backend!r}: one of {', '.join(BACKENDS)}")
         self.backend, self.n_hashes, self.n_tables = backend, n_hashes, n_tables
         self.t = 0
         self.pool: list[tuple[int, np.ndarray]] = []

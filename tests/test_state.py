@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import plain_models
 from driftweave.functions import drift
 from driftweave.sources import streams
 from driftweave.streaming import baselines, clusterer, drivers
@@ -210,3 +211,86 @@ def test_every_algorithm_evaluates(spark):
     for name in drivers.ALGORITHMS:
         out = drivers.evaluate(own, name)
         assert out.count() == 200 and out.select("window").distinct().count() == 2, name
+
+
+# against second models
+
+
+@pytest.mark.parametrize("name", streams.DATASETS)
+def test_clusterers_are_those_of_second_models(name):
+    x, _, _ = streams.generate(name, 42, 700)
+    fired = []
+    for plain, own, n in ((plain_models.Plain(150), StreamClusterer(W=150), 700), (plain_models.PlainAware(150), DriftAwareClusterer(W=150), 700), (plain_models.PlainDbscan(), baselines.WindowedDbscan(), 300)):
+        for i, p in enumerate(x[:n]):
+            plain.update(p.tolist())
+            own.update(p)
+            assert plain.label(p.tolist()) == own.labels([p])[0], i
+            if hasattr(plain, "balls"):
+                assert (len(plain.balls), len(plain.groups), len(plain.pool)) == (len(own.balls), len(own.macros), len(own.pool)), i
+                assert plain.surprise(p.tolist()) == pytest.approx(own.surprise(p))
+                assert len(plain.pool) / 150 == own.pending_ratio(150)
+            fired += [(e["t"], e["direction"]) for e in own.events()]
+    assert fired == plain_models_fires(x)
+
+
+def plain_models_fires(x):
+    aware = plain_models.PlainAware(150)
+    for p in x:
+        aware.update(p.tolist())
+    return aware.fires
+
+
+def test_batch_rows_are_those_of_a_second_model(spark):
+    own = points_frame(spark, 200)
+    for algorithm, make in (("tight", plain_models.Plain), ("tight_drift", plain_models.PlainAware)):
+        got = {(r["stream"], r["seq"]): r for r in drivers.cluster(own, algorithm, W=80).collect()}
+        models = {}
+        for r in sorted(own.collect(), key=lambda r: (r["stream"], r["seq"])):
+            m = models.setdefault(r["stream"], make(80))
+            x = list(r["vec"])
+            m.update(x)
+            out = got[r["stream"], r["seq"]]
+            assert (out["label"], out["n_micro"], out["n_macro"], out["pending"]) == (m.label(x), len(m.balls), len(m.groups), len(m.pool))
+            assert out["surprise"] == pytest.approx(m.surprise(x))
+        balls = drivers.micro_clusters(own, algorithm, W=80).collect()
+        for stream, m in models.items():
+            mine = sorted((b["n"], b["macro_id"], round(b["radius"], 9), *(round(c, 9) for c in b["center"])) for b in balls if b["stream"] == stream)
+            assert mine == sorted((len(b["points"]), b["macro"], round(b["radius"], 9), *(round(c, 9) for c in b["center"])) for b in m.balls)
+
+
+def test_detector_is_that_of_a_second_model():
+    rs = np.random.RandomState(5)
+    xs = np.concatenate([rs.normal(0, 1, 200), rs.normal(5, 1, 150), rs.normal(-2, 2, 150), rs.standard_t(2, 200)])
+    settings = {"k_lambda": 3.0, "k_slope": 2.0, "ema_alpha": 0.1, "delta": 0.02, "confirm_steps": 2, "min_samples": 30}
+    plain, got = plain_models.PlainDetector(*settings.values()), []
+    for i, x in enumerate(xs.tolist(), 1):
+        if plain.update(x):
+            got.append(i)
+            plain.reset()
+    assert got == fires(xs.tolist(), **settings) and len(got) > 2
+
+
+def test_backdating_ages_balls_without_new_points():
+    m = DriftAwareClusterer(W=40, detect=False)
+    rs = np.random.RandomState(1)
+    for _ in range(30):
+        m.update(rs.normal((0.2, 0.2), 0.02))
+    for _ in range(15):
+        m.update(rs.normal((0.8, 0.8), 0.02))
+    before = [list(b.times) for b in m.balls]
+    m.backdate()
+    for b, times in zip(m.balls, before):
+        assert b.times == ([t - 20 for t in times] if times[-1] < m.t - 10 else times)
+    assert any(b.times != t for b, t in zip(m.balls, before)) and any(b.times == t for b, t in zip(m.balls, before))
+    aged = [b for b, t in zip(m.balls, before) if b.times != t]
+    for _ in range(10):
+        m.update(rs.normal((0.8, 0.8), 0.02))
+    assert not any(b in m.balls for b in aged if max(b.times, default=-99) <= m.t - 40)
+
+
+def test_backends_have_names():
+    with pytest.raises(ValueError, match="unknown backend 'balltree'"):
+        StreamClusterer(backend="balltree")
+    x, _, _ = streams.generate("AbruptSplit", 42, 200)
+    kinds = [StreamClusterer(backend=b).fit(x).labels(x).tolist() for b in ("exact", "auto", "kd", "ball")]
+    assert all(k == kinds[0] for k in kinds)
