@@ -25,7 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.compute  # noqa: F401
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -64,6 +64,13 @@ def gear(n: int) -> np.ndarray:
     return z ^ (z >> np.uint64(31))
 
 
+class _Places(dict):
+    """The place of each word; -2 for words that have none."""
+
+    def __missing__(self, word: str) -> int:
+        return -2
+
+
 class ByteEncoder:
     """Ids of whole texts by a byte-level tokenizers file; words are encoded once and kept."""
 
@@ -87,7 +94,13 @@ class ByteEncoder:
             self.starts[i] = x[:1] == "Ġ"
         #: ids are stored in two bytes where all of the vocabulary fits
         self.kind = np.dtype("<u2" if len(self.starts) <= 1 << 16 else "<u4")
-        self.cache: dict[str, bytes | None] = {}
+        self.forget()
+
+    def forget(self) -> None:
+        """Drops the words met so far: the place of each in the pool of ids, -1 for words with rare white space."""
+        self.places = _Places()
+        self.pool, self.used = np.zeros(1 << 16, self.kind), 0
+        self.spans, self.known = np.zeros((2, 1 << 14), np.int64), 1  # start and length in the pool; place 0 holds no ids
 
     @classmethod
     def at(cls, path: str) -> "ByteEncoder":
@@ -98,13 +111,26 @@ class ByteEncoder:
     def _ids(self, texts: list[str]) -> list[list[int]]:
         return [x.ids for x in self.tk.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _raw(self, ids: list[int] | np.ndarray) -> bytes:
-        return np.asarray(ids, self.kind).tobytes()
+    def _put(self, words: list[str], ids: np.ndarray, lengths: np.ndarray) -> None:
+        """Gives the words places; `ids` are those of all of them, in order."""
+        n, k = self.used + len(ids), self.known + len(words)
+        if n > len(self.pool):
+            self.pool = np.concatenate([self.pool[: self.used], np.zeros(max(n, len(self.pool)), self.kind)])
+        if k > self.spans.shape[1]:
+            self.spans = np.concatenate([self.spans[:, : self.known], np.zeros((2, max(k, self.known)), np.int64)], axis=1)
+        self.pool[self.used : n] = ids
+        self.spans[:, self.known : k] = self.used + np.cumsum(lengths) - lengths, lengths
+        self.places.update(zip(words, range(self.known, k)))
+        self.used, self.known = n, k
+
+    def _put_lists(self, words: list[str], ids: list[list[int]]) -> None:
+        lengths = np.fromiter(map(len, ids), np.int64, len(ids))
+        self._put(words, np.fromiter((i for x in ids for i in x), self.kind, int(lengths.sum())), lengths)
 
     def _learn(self, words: list[str]) -> None:
         """Ids of each word behind a space. Many words go into one call: only a word's first id begins with a space.
 
-        None for words with rare white space: their texts are encoded whole.
+        Words with rare white space have none: their texts are encoded whole.
         """
         groups = [words[i : i + 500] for i in range(0, len(words), 500)]
         joined = [" " + " ".join(g) for g in groups]
@@ -113,48 +139,59 @@ class ByteEncoder:
             if _ODD.search(x) or _EDGE.search(x) or "  " in x:
                 for w in groups[i]:
                     if _ODD.search(w):
-                        self.cache[w] = None
+                        self.places[w] = -1
                     else:
                         single.append(w)
                 groups[i], joined[i] = [], ""
-        for w, ids in zip(single, self._ids([" " + w for w in single])):
-            self.cache[w] = self._raw(ids)
         for group, ids in zip(groups, self._ids(joined)):
             flat = np.array(ids, np.int64)
             at = np.flatnonzero(self.starts[flat])
-            if len(at) != len(group):  # a vocabulary in which a word may have no or several ids that begin with a space
-                for w, own in zip(group, self._ids([" " + w for w in group])):
-                    self.cache[w] = self._raw(own)
-                continue
-            raw, width = self._raw(flat), self.kind.itemsize
-            a = 0
-            for w, b in zip(group, [*(width * at[1:]).tolist(), len(raw)]):
-                self.cache[w] = raw[a:b]
-                a = b
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian integers of the type `kind`, as the library's encode(text, add_special_tokens=False) has them."""
-        whole = [not self.words or x[-1:] == " " or any(s in x for s in self.special) or any(s in x for s in _JOINED) for x in texts]
-        parts = [[""] if w else x.split(" ") for x, w in zip(texts, whole)]
-        if len(self.cache) > CACHE_WORDS:
-            self.cache.clear()
-        cache = self.cache
-        heads = [p[0] for p in parts]
-        for p in parts:
-            p[0] = p[-1]  # a text's first word has no space before it, so it is not looked up
-        new = list(set().union(*parts).difference(cache)) if parts else []
-        if new:
+            if len(at) == len(group):
+                self._put(group, flat, np.diff(np.concatenate((at, [len(flat)]))))
+            else:  # a vocabulary in which a word may have no or several ids that begin with a space
+                single += group
+        self._put_lists(single, self._ids([" " + w for w in single]))
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, flat, of the type `kind`, and how many each has, as the library's encode(text, add_special_tokens=False) has them."""
+        n = len(texts)
+        whole = np.fromiter((not self.words or x[-1:] == " " or any(s in x for s in self.special) or any(s in x for s in _JOINED) for x in texts), bool, n)
+        column = pa.array(["" if w else x for x, w in zip(texts, whole.tolist())], pa.string())
+        parts = pc.split_pattern(column, " ")
+        count = pc.list_value_length(parts).to_numpy(zero_copy_only=False).astype(np.int64)
+        first = np.cumsum(count) - count  # a text's first word has no space before it, so it is not looked up
+        coded = parts.flatten().dictionary_encode()
+        codes = coded.indices.to_numpy(zero_copy_only=False)
+        if len(self.places) > CACHE_WORDS:
+            self.forget()
+        # words that only begin texts need no place
+        behind = np.ones(len(codes), bool)
+        behind[first] = False
+        asked = np.zeros(len(coded.dictionary), bool)
+        asked[codes[behind]] = True
+        words = coded.dictionary.filter(pa.array(asked)).to_pylist()
+        found = np.fromiter(map(self.places.__getitem__, words), np.int64, len(words))
+        if len(lost := np.flatnonzero(found == -2)):
+            new = [words[i] for i in lost.tolist()]
             self._learn(new)
-        find, rest = cache.__getitem__, []
-        for i, p in enumerate(parts):
-            try:
-                rest.append(b"" if whole[i] or len(p) < 2 else b"".join([*map(find, p)][1:]))
-                whole[i] = whole[i] or len(p) < 2 or _ODD.search(heads[i]) is not None
-            except TypeError:  # None: a word with rare white space
-                rest.append(b"")
-                whole[i] = True
-        first = self._ids([x if w else h for x, w, h in zip(texts, whole, heads)])
-        return [self._raw(f) + (b"" if w else r) for f, w, r in zip(first, whole, rest)]
+            found[lost] = np.fromiter(map(self.places.__getitem__, new), np.int64, len(new))
+        place = np.zeros(len(asked), np.int64)
+        place[asked] = found
+        own = place[codes]
+        own[first] = 0
+        heads = coded.dictionary.take(pa.array(codes[first])).to_pylist()
+        odd = np.logical_or.reduceat(own < 0, first) if n else np.zeros(0, bool)
+        whole |= odd | np.fromiter((_ODD.search(h) is not None for h in heads), bool, n)
+        own[np.repeat(whole, count)] = 0
+        # each text's first word, or the whole text, stands behind the pool
+        more = self._ids([x if w else h for x, w, h in zip(texts, whole.tolist(), heads)])
+        sizes = np.fromiter(map(len, more), np.int64, n)
+        pool = np.concatenate([self.pool[: self.used], np.fromiter((i for x in more for i in x), self.kind, int(sizes.sum()))])
+        start, length = self.spans[:, own]
+        start[first], length[first] = self.used + np.cumsum(sizes) - sizes, sizes
+        ends = np.cumsum(length)
+        flat = pool[np.arange(ends[-1] if len(ends) else 0) + np.repeat(start - ends + length, length)]
+        return flat, np.add.reduceat(length, first) if n else sizes
 
 
 def cuts(ids: np.ndarray, ends: np.ndarray, table: np.ndarray) -> list[list[int]]:
@@ -264,17 +301,18 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, doc_i
         from pyspark import TaskContext
 
         encoder, table, task, row = ByteEncoder.at(tokenizer), gear(1 << 17), TaskContext.get().partitionId(), 0
-        claim("idstore", encoder.cache.clear)
+        claim("idstore", encoder.forget)
         width = encoder.kind.itemsize
-        end = encoder._raw([end_id])
         sent: set[bytes] = set()
         for batch, texts in text_batches(batches, "text", ENCODE_BYTES):
-            raws = [x + end for x in encoder.encode(texts)]
-            flat = np.frombuffer(b"".join(raws), encoder.kind)
-            ends = np.cumsum(np.fromiter(map(len, raws), np.int64, len(raws)) // width)
+            flat, count = encoder.encode(texts)
+            flat = np.insert(flat, np.cumsum(count), end_id)
+            ends = np.cumsum(count + 1)
             chunks: dict[bytes, bytes] = {}
             names, sizes, roots = [], [], []
-            for raw, own in zip(raws, cuts(flat, ends, table)):
+            data = flat.tobytes()
+            for end, own in zip((width * ends).tolist(), cuts(flat, ends, table)):
+                raw = data[end - width * own[-1] : end]
                 parts = [raw[width * a : width * b] for a, b in zip([0, *own], own)]
                 keys = [hashlib.sha256(p).digest() for p in parts]
                 chunks.update((k, x) for k, x in zip(keys, parts) if k not in sent)
@@ -446,7 +484,7 @@ def read_digests(spark: SparkSession, path: str) -> DataFrame:
         for batch in batches:
             lists = batch.column("parts")
             n = len(lists)
-            counts = pa.compute.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+            counts = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
             owner = np.repeat(np.arange(n), counts)
             flat = lists.flatten()
             sizes, crc = (flat.field(c).fill_null(0).to_numpy(zero_copy_only=False) for c in ("n", "crc"))
