@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import in_rounds as components
-from .common import Scratch, claim, narrow, numbered, slices, text_batches, written
+from .common import Scratch, claim, narrow, numbered, slices, small_batches, text_batches, written
 
 SHINGLE, SIMILARITY = 5, 0.8
 #: At similarity 0.8 a pair shares no band with chance (1 - 0.8^4)^24, three in a million.
@@ -298,11 +298,14 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", thresho
     or through others. A null or empty text, or one without words, is a class of its own. Repeated rows share a class.
     """
     own = narrow(docs, doc_id=doc_id, text=text)
-    with Scratch(docs.sparkSession) as scratch:
-        rows = scratch.keep(written(sketch(own), "sketch"))
-        roots = scratch.keep(components(links(own, rows, threshold)))
-    held = rows.select("doc_id", "text_hash", "node").join(roots, "node", "left").withColumn("class_root", F.coalesce("root", "node"))
-    sizes = held.where("class_root is not null").groupBy("class_root").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_rows"))
+    with Scratch(docs.sparkSession) as scratch, small_batches(docs.sparkSession):
+        rows = written(sketch(own), "sketch")
+        roots = components(links(own, rows, threshold))
+        # both written, so that Spark splits a hot class in their join
+        held = rows.join(roots, "node", "left").select("doc_id", "text_hash", F.coalesce("root", "node").alias("class_root"))
+        held = scratch.keep(written(held, "rows"))
+        sizes = held.where("class_root is not null").groupBy("class_root").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_rows")).where("class_rows > 1")
+        sizes = scratch.keep(written(sizes, "sizes"))
     return held.join(sizes, "class_root", "left").select("doc_id", "text_hash", F.coalesce("class_id", "doc_id").alias("class_id"), "class_root", F.coalesce("class_rows", F.lit(1)).alias("class_rows"))
 
 
