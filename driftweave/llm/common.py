@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -58,6 +59,18 @@ def slices(batches: Iterator[pa.RecordBatch], *columns: str, limit: int = BATCH_
             start = end
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
+    """For actions inside the block, no more than so many rows go to a Python worker at once, so that little waits on both sides; the setting is restored."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(min(rows, int(before)) if int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 #: What each operator keeps in its worker between tasks; workers are shared by the stages of a pipeline.
 _kept: dict[str, Callable[[], None]] = {}
 _owner: list[str] = []

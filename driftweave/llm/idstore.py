@@ -30,11 +30,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import claim, narrow, removed, text_batches
+from .common import claim, narrow, removed, small_batches, text_batches
 
 #: Rolling window in ids; a chunk ends where the low bits of its hash are zero, within these bounds.
 WINDOW, LEAST, MOST, BITS = 16, 128, 4096, 9
-CACHE_WORDS = 1_200_000
+#: Words whose ids a worker keeps; beyond this, those that came in one batch only go.
+CACHE_WORDS = 1_000_000
 #: Names of chunks that a writing task remembers, so that it sends a chunk with many copies once; it starts anew beyond this.
 SENT_KEYS = 100_000
 #: Rows of a range of recipes, and ranges at most; beyond that, ranges grow.
@@ -100,7 +101,21 @@ class ByteEncoder:
         """Drops the words met so far: the place of each in the pool of ids, -1 for words with rare white space."""
         self.places = _Places()
         self.pool, self.used = np.zeros(1 << 16, self.kind), 0
-        self.spans, self.known = np.zeros((2, 1 << 14), np.int64), 1  # start and length in the pool; place 0 holds no ids
+        self.spans, self.known = np.zeros((3, 1 << 14), np.int64), 1  # start and length in the pool, and batches with it; place 0 holds no ids
+
+    def _trim(self) -> None:
+        """Keeps the words that came in most batches: half of CACHE_WORDS at most, and none of one batch only."""
+        words = [w for w, k in self.places.items() if k > 0]
+        places = np.fromiter((k for k in self.places.values() if k > 0), np.int64, len(words))
+        start, length, uses = self.spans[:, places]
+        least = max(2, int(np.partition(uses, -(CACHE_WORDS // 2))[-(CACHE_WORDS // 2)]) + 1 if len(uses) > CACHE_WORDS // 2 else 0)
+        keep = np.flatnonzero(uses >= least)
+        words, start, length = [words[i] for i in keep.tolist()], start[keep], length[keep]
+        ends = np.cumsum(length)
+        ids = self.pool[np.arange(ends[-1] if len(ends) else 0) + np.repeat(start - ends + length, length)]
+        self.forget()
+        self._put(words, ids, length)
+        self.spans[2, 1 : self.known] = 1
 
     @classmethod
     def at(cls, path: str) -> "ByteEncoder":
@@ -117,9 +132,9 @@ class ByteEncoder:
         if n > len(self.pool):
             self.pool = np.concatenate([self.pool[: self.used], np.zeros(max(n, len(self.pool)), self.kind)])
         if k > self.spans.shape[1]:
-            self.spans = np.concatenate([self.spans[:, : self.known], np.zeros((2, max(k, self.known)), np.int64)], axis=1)
+            self.spans = np.concatenate([self.spans[:, : self.known], np.zeros((3, max(k, self.known)), np.int64)], axis=1)
         self.pool[self.used : n] = ids
-        self.spans[:, self.known : k] = self.used + np.cumsum(lengths) - lengths, lengths
+        self.spans[:2, self.known : k] = self.used + np.cumsum(lengths) - lengths, lengths
         self.places.update(zip(words, range(self.known, k)))
         self.used, self.known = n, k
 
@@ -163,7 +178,7 @@ class ByteEncoder:
         coded = parts.flatten().dictionary_encode()
         codes = coded.indices.to_numpy(zero_copy_only=False)
         if len(self.places) > CACHE_WORDS:
-            self.forget()
+            self._trim()
         # words that only begin texts need no place
         behind = np.ones(len(codes), bool)
         behind[first] = False
@@ -175,6 +190,7 @@ class ByteEncoder:
             new = [words[i] for i in lost.tolist()]
             self._learn(new)
             found[lost] = np.fromiter(map(self.places.__getitem__, new), np.int64, len(new))
+        self.spans[2, found[found > 0]] += 1
         place = np.zeros(len(asked), np.int64)
         place[asked] = found
         own = place[codes]
@@ -187,7 +203,7 @@ class ByteEncoder:
         more = self._ids([x if w else h for x, w, h in zip(texts, whole.tolist(), heads)])
         sizes = np.fromiter(map(len, more), np.int64, n)
         pool = np.concatenate([self.pool[: self.used], np.fromiter((i for x in more for i in x), self.kind, int(sizes.sum()))])
-        start, length = self.spans[:, own]
+        start, length = self.spans[:2, own]
         start[first], length[first] = self.used + np.cumsum(sizes) - sizes, sizes
         ends = np.cumsum(length)
         flat = pool[np.arange(ends[-1] if len(ends) else 0) + np.repeat(start - ends + length, length)]
@@ -336,7 +352,8 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, doc_i
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), docs.rdd.getNumPartitions())
     unique = rows.repartition(parts, "key").mapInArrow(_once, STORE)
     # ids hardly compress, and chunks do not repeat: neither codec nor dictionary would help
-    unique.write.partitionBy("kind").option("compression", "uncompressed").option("parquet.enable.dictionary", "false").parquet(path)
+    with small_batches(spark):
+        unique.write.partitionBy("kind").option("compression", "uncompressed").option("parquet.enable.dictionary", "false").parquet(path)
     none = spark.createDataFrame([], STORE)  # so that a store of no documents has files too
     none.select("key", "data", "doc_id", "place", "chunks", "sizes", "root").write.mode("append").parquet(f"{path}/kind=chunk")
     none.select("key", "data", "doc_id", "place", "chunks", "sizes", "root").write.mode("append").parquet(f"{path}/kind=staged")

@@ -19,7 +19,8 @@ from pyspark.sql import functions as F
 
 from .common import narrow, written
 
-SHARD_ROWS, QUERY_ROWS = 4096, 256
+#: Vectors of a shard. Queries of a block: so few that there are tasks enough, and at least so many where shards are.
+SHARD_ROWS, QUERY_ROWS, QUERY_MOST = 4096, 256, 8192
 #: Vectors that a shard scores in full first, for a threshold; terms that are probed at a time.
 LEAD, PROBE = 256, 8
 
@@ -124,7 +125,9 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
     blocks is a task's work of fixed size.
     """
     n, m = vectors.count(), queries.count()
-    shards, asked = max(1, -(-n // SHARD_ROWS)), max(1, -(-m // QUERY_ROWS))
+    shards, tasks = max(1, -(-n // SHARD_ROWS)), 4 * int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # a shard travels once for each block of queries: with shards enough for all tasks, the blocks are few and large
+    asked = max(1, -(-m // QUERY_MOST), min(-(-m // QUERY_ROWS), -(-tasks // shards)))
     left = written(_blocks(vectors, shards), "shards")
     right = written(_blocks(queries, asked), "queries").select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("block"), F.col("block").alias("asked"), F.col("ids").alias("q_ids"), F.col("width").alias("q_width"), F.col("terms").alias("q_terms"))
     pairs = right.join(left, "block").repartition(max(1, min(shards * asked, 4 * int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions")))), "block", "asked")

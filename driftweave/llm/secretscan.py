@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import claim, narrow, numbered, text_batches, written
+from .common import claim, narrow, numbered, small_batches, text_batches, written
 
 #: The base patterns.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -179,7 +179,8 @@ def _tested(own: DataFrame, text: str, keep: list[str]) -> DataFrame:
 
     slim = own.select(*dict.fromkeys([*keep, text]))
     found = slim.mapInArrow(run, slim.select(*keep, F.lit(None).cast(schema).alias("found"), F.lit(None).cast("array<int>").alias("tested")).schema)
-    found = written(found, "secrets")
+    with small_batches(own.sparkSession):
+        found = written(found, "secrets")
     limits = _limits(found)
     passed = F.filter("found", lambda s: s["bits"].isNull() | (s["bits"] >= _limit_of(s, limits)))
     return found.select(*keep, F.transform(passed, lambda s: F.struct(s["start"], s["kind"], s["end"])).alias("spans"))

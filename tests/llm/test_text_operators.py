@@ -559,3 +559,14 @@ def test_score_does_not_depend_on_batches():
 
 def test_sql_is_there_where_sql_can_express_it():
     assert set(ORACLES) == {"op4_top_k", "op5_vector_classes", "op6_mixing"}
+
+
+def test_trimmed_words_are_learnt_again(monkeypatch):
+    monkeypatch.setattr(idstore, "CACHE_WORDS", 40)
+    tk = tokenizers.Tokenizer.from_file(BYTES)
+    enc = idstore.ByteEncoder(BYTES)
+    for k in range(30):
+        texts = [" ".join(rnd.choice(["the", "a", "of", f"w{k}{rnd.random()}"]) for _ in range(60)), *TEXTS[k : k + 3]]
+        assert lists_of(enc, texts) == [tk.encode(x, add_special_tokens=False).ids for x in texts]
+    enc._trim()
+    assert {"the", "a", "of"} <= set(enc.places) and len(enc.places) <= 20
