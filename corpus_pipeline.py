@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftweave.llm import bagminhash, mixing, secretscan, sentencepieces, toxicity
-from driftweave.llm.common import shared_dir, table, vocabulary
+from driftweave.llm.common import removed, shared_dir, table, vocabulary
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,8 +57,12 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = table(spark, sf_dir, "documents")
     base = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    before = None
     for name, stage in STAGES[:-1]:
         path = os.path.join(base, name)
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if before:
+            removed(spark, before)  # what the stage after the next one reads is written
+        before = path
     return STAGES[-1][1](spark, docs, sf_dir)
