@@ -1,12 +1,15 @@
-"""Work on all pairs of two sets of vectors, in blocks of fixed size.
+"""Work on all pairs of two sets of vectors, in blocks and tiles of fixed size.
 
-Vectors are dealt into blocks by a hash and packed into one row each. Every left block meets every right block once, and
-a kernel in numpy returns the few rows that matter of each meeting. No pair of vectors is ever a row of its own, and the
-work of a task does not depend on how the vectors are distributed.
+Vectors are dealt into blocks by a hash and packed into one row each. Blocks of both sides are dealt into groups, and every
+group of the left meets every group of the right in one task, a tile: with g groups a vector travels g times, not once for
+every block of the other side. Within a tile a kernel in numpy returns the few rows that matter of each pair of blocks, of
+which only the best for each vector need leave the task. No pair of vectors is ever a row of its own, and the work of a task
+does not depend on how the vectors are distributed.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -14,7 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-BLOCK = 512
+#: Vectors of a block, and blocks of a group at most: a task holds a group of each side.
+BLOCK, GROUP = 512, 32
 
 
 def _pack(table: pa.Table) -> pa.Table:
@@ -32,35 +36,83 @@ def packed(points: DataFrame, id: str, vec: str, extra: str | None, blocks: int)
     return keyed.groupBy("block").applyInArrow(_pack, "block int, ids binary, vecs binary, extras binary")
 
 
-def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Euclidean distances, added up dimension by dimension, so that equal vectors have distance zero."""
-    out = np.zeros((len(a), len(b)))
+def exact(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Euclidean distances of rows to rows, added up dimension by dimension, so that equal vectors have distance zero."""
+    out = np.zeros(len(a))
     for d in range(a.shape[1] if a.ndim == 2 else 0):
-        diff = a[:, d, None] - b[None, :, d]
+        diff = a[:, d] - b[:, d]
         out += diff * diff
     return np.sqrt(out)
 
 
+def squares(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, float]:
+    """All squared distances from one matrix product, and a bound of their rounding error; infinite where there is none."""
+    if not len(a) or not len(b) or a.ndim < 2 or not a.shape[1]:
+        return np.zeros((len(a), len(b))), 0.0
+    with np.errstate(invalid="ignore", over="ignore"):
+        middle = np.where(np.isfinite(b), b, 0.0).mean(axis=0)  # near the points' middle, squares cancel least
+        a, b = a - middle, b - middle
+        u, v = np.einsum("id,id->i", a, a), np.einsum("id,id->i", b, b)
+        out = u[:, None] + v[None, :] - 2.0 * (a @ b.T)
+    finite = np.isfinite(out)
+    slack = 1e-14 * a.shape[1] * (np.max(u[np.isfinite(u)], initial=0.0) + np.max(v[np.isfinite(v)], initial=0.0))
+    return np.where(finite, np.maximum(out, 0.0), np.inf), float(slack)
+
+
+def nearest(a: np.ndarray, ids: np.ndarray, b: np.ndarray, sq: np.ndarray, slack: float, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows, their k nearest columns of finite `sq` and the exact distances; equal distances go to the smaller id of `ids`."""
+    k = min(k, sq.shape[1])
+    if k < 1 or not len(sq):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+    limit = np.partition(sq, k - 1, axis=1)[:, k - 1]
+    x, y = np.nonzero((sq <= limit[:, None] + 2 * slack) & np.isfinite(sq))
+    d = exact(a[x], b[y])
+    order = np.lexsort((ids[y], d, x))
+    x, y, d = x[order], y[order], d[order]
+    rank = np.arange(len(x)) - np.searchsorted(x, x)
+    keep = (rank < k) & np.isfinite(d)
+    return x[keep], y[keep], d[keep]
+
+
+def least(table: pa.Table, k: int) -> pa.Table:
+    """Of rows i, j, dist, ... the k least of each i, by distance and then j."""
+    if not table.num_rows:
+        return table
+    i, j, d = (table.column(c).to_numpy() for c in ("i", "j", "dist"))
+    order = np.lexsort((j, d, i))
+    i = i[order]
+    return table.take(pa.array(order[np.arange(len(i)) - np.searchsorted(i, i) < k]))
+
+
 Kernel = Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray], pa.Table]
 
 
-def meet(left: DataFrame, right: DataFrame, kernel: Kernel, schema: str, id: str = "id", vec: str = "vec", extra: str | None = None, right_id: str | None = None, right_vec: str | None = None) -> DataFrame:
-    """Rows that kernel(left ids, left vectors, right ids, right vectors, right extras) gives for each pair of blocks."""
+def meet(left: DataFrame, right: DataFrame, kernel: Kernel, schema: str, id: str = "id", vec: str = "vec", extra: str | None = None, right_id: str | None = None, right_vec: str | None = None, best: Callable[[pa.Table], pa.Table] | None = None) -> DataFrame:
+    """Rows that kernel(left ids, left vectors, right ids, right vectors, right extras) gives for each pair of blocks.
+
+    With `best`, only what it keeps of all rows of a left block in a tile leaves the task.
+    """
     n, m = left.count(), right.count()
     x, y = max(1, -(-n // BLOCK)), max(1, -(-m // BLOCK))
-    a = packed(left, id, vec, None, x)
-    b = packed(right, right_id or id, right_vec or vec, extra, y)
-    dealt = a.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(y - 1)))).drop("block", "extras")
-    pairs = dealt.join(b.select(F.col("block").alias("other"), F.col("ids").alias("r_ids"), F.col("vecs").alias("r_vecs"), "extras"), "other").drop("other")
-    parts = max(1, min(x * y, 4 * int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
-    if parts > 1:
-        pairs = pairs.repartition(parts)
+    side = math.isqrt(4 * int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    rows, cols = (max(-(-v // GROUP), min(v, side), 1) for v in (x, y))
+    a = packed(left, id, vec, None, x).withColumn("tile", F.explode(F.transform(F.sequence(F.lit(0), F.lit(cols - 1)), lambda c: F.pmod("block", F.lit(rows)) * cols + c)))
+    b = packed(right, right_id or id, right_vec or vec, extra, y).withColumn("tile", F.explode(F.transform(F.sequence(F.lit(0), F.lit(rows - 1)), lambda r: r * cols + F.pmod("block", F.lit(cols)))))
+    dealt = a.withColumn("asks", F.lit(True)).unionByName(b.withColumn("asks", F.lit(False)))
+    tiles = dealt.select("tile", "asks", "ids", "vecs", "extras").repartitionById(rows * cols, F.col("tile").cast("int"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[bool, list] = {True: [], False: []}
         for batch in batches:
             for row in batch.to_pylist():
-                ids, r_ids = np.frombuffer(row["ids"], "<i8"), np.frombuffer(row["r_ids"], "<i8")
-                vecs, r_vecs = np.frombuffer(row["vecs"], "<f8").reshape(len(ids), -1), np.frombuffer(row["r_vecs"], "<f8").reshape(len(r_ids), -1)
-                yield from kernel(ids, vecs, r_ids, r_vecs, np.frombuffer(row["extras"], "<f8")).to_batches()
-
-    return pairs.mapInArrow(run, schema)
+                ids = np.frombuffer(row["ids"], "<i8")
+                held[row["asks"]].append((ids, np.frombuffer(row["vecs"], "<f8").reshape(len(ids), -1), np.frombuffer(row["extras"], "<f8")))
+        for ids, vecs, _ in held[True]:
+            found = (kernel(ids, vecs, *other) for other in held[False])
+            if best is not None:
+                own = list(found)
+                found = iter([best(pa.concat_tables(own))] if own else [])
+            for part in found:
+                yield from part.to_batches()
+
+    return tiles.drop("tile").mapInArrow(run, schema)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.vectors import clip_radius, l2_distance
 from ..plans.storage import written
-from .blocks import distances, meet
+from .blocks import exact, least, meet, nearest, squares
 
 EDGE = "i long, j long, dist double"
 
@@ -28,15 +28,12 @@ def knn(points: DataFrame, k: int, id: str = "id", vec: str = "vec") -> DataFram
     """
 
     def kernel(ids: np.ndarray, a: np.ndarray, r_ids: np.ndarray, b: np.ndarray, _: np.ndarray) -> pa.Table:
-        d = distances(a, b)
-        d[ids[:, None] == r_ids[None, :]] = np.inf
-        n = min(k, len(r_ids))
-        at = np.argsort(d, axis=1, kind="stable")[:, :n]  # ids ascend within a block
-        best = np.take_along_axis(d, at, 1)
-        keep = np.isfinite(best)
-        return _edges(np.repeat(ids, n)[keep.ravel()], r_ids[at][keep], best[keep])
-
-    near = meet(points, points, kernel, EDGE, id, vec)
+        sq, slack = squares(a, b)
+        sq[ids[:, None] == r_ids[None, :]] = np.inf
+        x, y, d = nearest(a, r_ids, b, sq, slack, k)
+        return _edges(ids[x], r_ids[y], d)
+
+    near = meet(points, points, kernel, EDGE, id, vec, best=lambda t: least(t, k))
     rank = F.row_number().over(W.partitionBy("i").orderBy("dist", "j"))
     return near.withColumn("rank", rank).where(F.col("rank") <= k).select("i", "j", "rank", "dist")
 
@@ -84,9 +81,11 @@ def range_join(points: DataFrame, radius: float, others: DataFrame | None = None
     """i, j, dist of all pairs within the radius, its border and a point with itself included."""
 
     def kernel(ids: np.ndarray, a: np.ndarray, r_ids: np.ndarray, b: np.ndarray, _: np.ndarray) -> pa.Table:
-        d = distances(a, b)
-        x, y = np.nonzero(d <= radius)
-        return _edges(ids[x], r_ids[y], d[x, y])
+        sq, slack = squares(a, b)
+        x, y = np.nonzero(sq <= radius * radius * (1 + 1e-12) + slack)
+        d = exact(a[x], b[y])
+        keep = d <= radius
+        return _edges(ids[x[keep]], r_ids[y[keep]], d[keep])
 
     return meet(points, points if others is None else others, kernel, EDGE, id, vec)
 
@@ -113,11 +112,11 @@ def nearest_center(points: DataFrame, centers: DataFrame, bound: str | float | N
     def kernel(ids: np.ndarray, a: np.ndarray, r_ids: np.ndarray, b: np.ndarray, extra: np.ndarray) -> pa.Table:
         if not len(r_ids) or not len(ids):
             return pa.table({"i": pa.array([], pa.int64()), "j": pa.array([], pa.int64()), "dist": pa.array([], pa.float64()), "bound": pa.array([], pa.float64())})
-        d = distances(a, b)
-        at = d.argmin(axis=1)
-        return pa.table({"i": pa.array(ids), "j": pa.array(r_ids[at]), "dist": pa.array(d[np.arange(len(ids)), at]), "bound": pa.array(extra[at])})
+        sq, slack = squares(a, b)
+        x, y, d = nearest(a, r_ids, b, sq, slack, 1)
+        return pa.table({"i": pa.array(ids[x]), "j": pa.array(r_ids[y]), "dist": pa.array(d), "bound": pa.array(extra[y])})
 
-    near = meet(points, centers, kernel, "i long, j long, dist double, bound double", id, vec, bound if isinstance(bound, str) else None, center_id, center_vec)
+    near = meet(points, centers, kernel, "i long, j long, dist double, bound double", id, vec, bound if isinstance(bound, str) else None, center_id, center_vec, lambda t: least(t, 1))
     best = near.groupBy("i").agg(F.min(F.struct("dist", "j", "bound")).alias("m")).select("i", "m.j", "m.dist", "m.bound")
     limit = F.col("bound") if isinstance(bound, str) else F.lit(float("inf") if bound is None else float(bound))
     return best.select("i", "j", "dist", (F.col("dist") <= limit).alias("accepted"))
@@ -193,13 +192,13 @@ def lsh_knn(points: DataFrame, queries: DataFrame, k: int, normal: np.ndarray, i
     few = queries.join(enough.select(F.col("q").alias(id)), id, "left_anti")
 
     def kernel(ids: np.ndarray, a: np.ndarray, r_ids: np.ndarray, b: np.ndarray, _: np.ndarray) -> pa.Table:
-        d = distances(a, b)
-        d[d == 0] = np.inf
-        at = np.argsort(d, axis=1, kind="stable")[:, :k]
-        best = np.take_along_axis(d, at, 1)
-        keep = np.isfinite(best)
-        return _edges(np.repeat(ids, at.shape[1])[keep.ravel()], r_ids[at][keep], best[keep])
-
-    all_of = meet(few, points, kernel, EDGE, id, vec).toDF("q", "j", "dist")
+        sq, slack = squares(a, b)
+        x, y = np.nonzero(sq <= 4 * slack)
+        same = exact(a[x], b[y]) == 0
+        sq[x[same], y[same]] = np.inf
+        x, y, d = nearest(a, r_ids, b, sq, slack, k)
+        return _edges(ids[x], r_ids[y], d)
+
+    all_of = meet(few, points, kernel, EDGE, id, vec, best=lambda t: least(t, k)).toDF("q", "j", "dist")
     rank = F.row_number().over(W.partitionBy("q").orderBy("dist", "j"))
     return near.unionByName(all_of).withColumn("rank", rank).where(F.col("rank") <= k).select("q", "j", "rank", "dist")

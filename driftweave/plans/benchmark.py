@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.vectors import drift_window_at, drift_window_before
-from ..operators import metrics, recovery, summary
+from ..operators import charts, metrics, recovery, summary
 from ..sources import streams
 from ..streaming import drivers
 from .storage import written
@@ -72,8 +72,12 @@ def main(argv: Sequence[str] | None = None) -> None:
     if args.strict:
         found = written(runs(spark, ["tight", "tight_drift"], streams.FULL, seeds, n, strict=True), "runs")
         short = summary.seed_summary_population(found)
+        series = summary.series_summary(found)
         summary.write_csv(short, f"{args.out}/comparison_{tag}_summary.csv")
-        summary.write_csv(summary.series_summary(found), f"{args.out}/comparison_{tag}_series.csv")
+        summary.write_csv(series, f"{args.out}/comparison_{tag}_series.csv")
+        drifts = found.select("dataset", F.explode("drift_windows").alias("drift")).distinct()
+        charts.write_charts(charts.series_charts(summary.plot_series(series, drifts)), f"{args.out}/comparison_{tag}_series.svg")
+        charts.write_charts(charts.summary_chart(short, "quality_mean_avg", "quality_mean_std"), f"{args.out}/comparison_{tag}_summary.svg")
         short.orderBy("dataset", "algorithm").show(100, truncate=False)
         return
     found = written(runs(spark, list(drivers.ALGORITHMS), streams.ALL, seeds, n), "runs")

@@ -106,7 +106,7 @@ class Ball:
     id: int
     radius: float
     times: list = field(default_factory=list)
-    points: list = field(default_factory=list)
+    held: np.ndarray | None = None  # room for points, of which the first len(times) rows are used
     center: np.ndarray | None = None
     macro: int = -1
     version: int = 0  # of the centre
@@ -114,22 +114,38 @@ class Ball:
     def __len__(self) -> int:
         return len(self.times)
 
+    @property
+    def points(self) -> np.ndarray:
+        return self.held[: len(self.times)]
+
     def add(self, t: int, x: np.ndarray) -> None:
+        n = len(self.times)
+        if self.held is None or n == len(self.held):
+            room = np.empty((max(16, 2 * n), len(x)))
+            if n:
+                room[:n] = self.held
+            self.held = room
+        self.held[n] = x
         self.times.append(t)
-        self.points.append(x)
+        self._center()
+
+    def fill(self, times: list, points: np.ndarray) -> None:
+        self.times, self.held = times, points
         self._center()
 
     def expire(self, cutoff: int) -> bool:
         """Drops points not newer than the cutoff; whether any is left."""
         if self.times and min(self.times) <= cutoff:
             keep = [i for i, t in enumerate(self.times) if t > cutoff]
-            self.times, self.points = [self.times[i] for i in keep], [self.points[i] for i in keep]
-            if self.times:
+            kept = self.held[keep]
+            self.times = [self.times[i] for i in keep]
+            self.held = kept
+            if keep:
                 self._center()
         return bool(self.times)
 
     def _center(self) -> None:
-        self.center = np.add.reduce(self.points, axis=0) / len(self.points)
+        self.center = np.add.reduce(self.points, axis=0) / len(self.times)
         self.version += 1
 
     def contains(self, x: np.ndarray) -> bool:
@@ -207,10 +223,7 @@ class StreamClusterer:
         for own in cover(x, radius, self.N, allowed):
             ball = Ball(self.next_ball, radius)
             self.next_ball += 1
-            for i in own:
-                ball.times.append(self.pool[i][0])
-                ball.points.append(self.pool[i][1])
-            ball._center()
+            ball.fill([self.pool[i][0] for i in own], x[own])
             self.balls.append(ball)
             taken[own] = True
         if taken.any():

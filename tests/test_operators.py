@@ -2,9 +2,10 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftweave.operators import clustering, components, metrics, neighbors, recovery, summary, timing
+from driftweave.operators import charts, clustering, components, metrics, neighbors, recovery, summary, timing
 from driftweave.streaming import clusterer
 
 
@@ -149,3 +150,67 @@ def test_benchmark_queries_run_the_whole_benchmark(spark, monkeypatch, name):
     with pytest.raises(InterruptedError):
         catalog.QUERIES[name](spark, "")
     assert asked == [(list(streams.SEEDS), 5000)]
+
+
+def test_charts_draw_what_the_tables_hold(spark, tmp_path):
+    import xml.etree.ElementTree as xml
+
+    series = spark.createDataFrame([("d<1>", a, w, (w + k) / 20, (w + k) / 20 - 0.1, (w + k) / 20 + 0.1, w in (2, 5)) for k, a in enumerate(("one & two", "b")) for w in range(8)] + [("d2", "b", 0, None, None, None, False)], "dataset string, algorithm string, window int, mean double, lo double, hi double, is_drift boolean")
+    out = {r["dataset"]: xml.fromstring(r["svg"]) for r in charts.series_charts(series).collect()}
+    own = "{http://www.w3.org/2000/svg}"
+    assert set(out) == {"d<1>", "d2"}
+    lines = [len(p.get("points").split()) for p in out["d<1>"].iter(f"{own}polyline")]
+    assert lines == [8, 8] and len([x for x in out["d<1>"].iter(f"{own}line") if x.get("class") == "drift"]) == 2
+    table = spark.createDataFrame([("d1", "a", 0.5, 0.1), ("d1", "b", None, None), ("d2", "a", 0.9, 0.0)], "dataset string, algorithm string, v double, s double")
+    bars = [float(x.get("height")) for x in xml.fromstring(charts.summary_chart(table, "v", "s").first()["svg"]).iter(f"{own}rect") if x.get("class") == "bar"]
+    assert len(bars) == 2 and bars[1] / bars[0] == pytest.approx(0.9 / 0.5, rel=0.01)
+    charts.write_charts(charts.series_charts(series.where("dataset = 'd2'")), f"file://{tmp_path}/charts")
+    assert spark.read.text(f"file://{tmp_path}/charts").count() == 1
+
+
+def test_tiles_hold_each_pair_of_blocks_once(spark, monkeypatch):
+    from driftweave.operators import blocks
+
+    monkeypatch.setattr(blocks, "BLOCK", 10)
+    monkeypatch.setattr(blocks, "GROUP", 3)
+    rs = np.random.RandomState(4)
+    x, y = np.round(rs.rand(157, 3), 2), np.round(rs.rand(83, 3), 2)
+    x[3], x[100], y[7] = x[9], x[9], x[9]
+    a, b = frame(spark, x), frame(spark, y)
+    d = np.sqrt(((x[:, None] - y[None]) ** 2).sum(2))
+    got = {(r["i"], r["j"]): r["dist"] for r in neighbors.range_join(a, 0.4, b).collect()}
+    assert set(got) == set(zip(*map(np.ndarray.tolist, np.nonzero(d <= 0.4)))) and all(v == pytest.approx(d[k]) for k, v in got.items())
+    own = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+    np.fill_diagonal(own, np.inf)
+    near = sorted((r["i"], r["rank"], r["j"]) for r in neighbors.knn(a, 4).collect())
+    assert [(i, r, round(own[i, j], 9)) for i, r, j in near] == [(i, r + 1, round(v, 9)) for i in range(157) for r, v in enumerate(np.sort(own[i])[:4])]
+    one = {r["i"]: r["dist"] for r in neighbors.nearest_center(a, b).collect()}
+    assert len(one) == 157 and all(one[i] == pytest.approx(d[i].min()) for i in one)
+    assert neighbors.nearest_center(a, b.where("id < 0")).count() == 0 and neighbors.knn(a.where("id < 0"), 3).count() == 0
+
+
+def test_tiles_send_a_vector_once_for_every_group(spark, monkeypatch):
+    """The bytes that cross the network, as the rows of blocks in the plan tell: groups, not blocks, times the blocks of a side."""
+    from driftweave.operators import blocks
+
+    monkeypatch.setattr(blocks, "BLOCK", 4)
+    seen = []
+    monkeypatch.setattr(DataFrame, "repartitionById", lambda self, n, c: seen.append((self.count(), n)) or self)
+    x = np.random.RandomState(1).rand(400, 2)  # 100 blocks
+    blocks.meet(frame(spark, x), frame(spark, x), lambda *_: None, "i long")
+    side = 4  # the root of 4 tasks for each of 4 shuffle partitions
+    assert seen == [(2 * 100 * side, side * side)]
+
+
+def test_near_points_are_found_in_spite_of_rounding():
+    from driftweave.operators import blocks
+
+    rs = np.random.RandomState(2)
+    a = 1e6 + rs.rand(300, 8) * 1e-3  # far from the origin, where squares cancel
+    sq, slack = blocks.squares(a, a)
+    d = np.sqrt(((a[:, None] - a[None]) ** 2).sum(2))
+    assert (np.abs(sq - d * d) <= slack).all()
+    np.fill_diagonal(sq, np.inf)
+    np.fill_diagonal(d, np.inf)
+    x, y, got = blocks.nearest(a, np.arange(300), a, sq, slack, 3)
+    assert np.allclose(got.reshape(300, 3), np.sort(d, axis=1)[:, :3], rtol=1e-9)
