@@ -1,4 +1,8 @@
-"""A corpus pipeline: toxic documents go, one of each group of near copies stays, secrets are masked, sources are mixed, and the rest is tokenized."""
+"""A corpus pipeline: toxic documents go, one of each group of near copies stays, secrets are masked, sources are mixed, and the rest is tokenized.
+
+Each stage takes whole texts of any length and an empty table (which stays empty), and but for the last returns the columns
+that it got, extra ones of any name too. What it does with null texts, repeated rows and ties stands in its docstring.
+"""
 
 from __future__ import annotations
 
@@ -12,27 +16,28 @@ from driftweave.llm.common import removed, shared_dir, table, vocabulary
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose score reaches their language's limit go."""
+    """Documents whose score reaches their language's limit go. Null and empty texts stay; each of repeated rows has the same fate."""
     return toxicity.keep_clean(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies, the document with the least id stays."""
+    """Of each group of near copies, the document with the least id stays, one row of repeated rows. Texts without words all stay."""
     return bagminhash.keep_one(docs)
 
 
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets are replaced by a mark; no document goes."""
+    """Secrets are replaced by a mark; no document goes. Null texts stay null, and n_chars counts the new texts."""
     return secretscan.redact(docs)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document comes as often as its source's rate draws it, in a global shuffle."""
+    """Each document comes as often as its source's rate draws it, in a global shuffle. A null source is one of its own; rows with
+    one id are drawn alike; null ids share one draw."""
     return mixing.mix(docs, seed=1, power=0.5, marks=False)
 
 
 def tokens_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, ids, n_tokens and the digests of the ids and of the text decoded from them."""
+    """doc_id, n_tokens, ids and the digests of the ids and of the text decoded from them, for each row; null texts are empty."""
     model = vocabulary("piece_bpe_32k.model")
     encoded = sentencepieces.encode(docs.select("doc_id", "text"), model)
     encoded = encoded.select("doc_id", "ids", F.size("ids").cast("long").alias("n_tokens"), sentencepieces.ids_sha256().alias("ids_sha256"))
