@@ -71,6 +71,12 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
         spark.conf.set(key, before)
 
 
+def settled(df: DataFrame, name: str) -> DataFrame:
+    """`df` written with small batches and read again, so that its Python workers' memory does not depend on the session's batches."""
+    with small_batches(df.sparkSession):
+        return written(df, name)
+
+
 #: What each operator keeps in its worker between tasks; workers are shared by the stages of a pipeline.
 _kept: dict[str, Callable[[], None]] = {}
 _owner: list[str] = []

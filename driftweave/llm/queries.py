@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bagminhash, htmltext, idstore, maxscore, mixing, nndescent, secretscan, sentencepieces, tokencounts, toxicity
-from .common import shared_dir, table, vocabulary
+from .common import settled, shared_dir, table, vocabulary
 
 
 def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,7 +20,7 @@ def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     encoded = sentencepieces.encode(docs, model).select("doc_id", "ids", F.size("ids").cast("long").alias("n_tokens"), sentencepieces.ids_sha256().alias("ids_sha256"))
     decoded = sentencepieces.decode(encoded, model)
-    return decoded.select("doc_id", "n_tokens", "ids_sha256", F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"))
+    return settled(decoded.select("doc_id", "n_tokens", "ids_sha256", F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256")), "op2")
 
 
 def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,13 +46,13 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     counted = tokencounts.count_tokens(docs, vocabulary("piece_bpe_32k.model"))
-    return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 4096).alias("over_limit"))
+    return settled(counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 4096).alias("over_limit")), "op7")
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
-    scored = toxicity.score(docs.select("doc_id", "lang", "text"), model)
+    scored = settled(toxicity.score(docs.select("doc_id", "lang", "text"), model), "op8")
     return scored.select(
         "doc_id",
         F.coalesce(toxicity.fold(F.col("doc_id")) == 0, F.lit(False)).alias("held_out"),
