@@ -1,7 +1,8 @@
 """A corpus pipeline: toxic documents go, one of each group of near copies stays, secrets are masked, sources are mixed, and the rest is tokenized.
 
 Each stage takes whole texts of any length and an empty table (which stays empty), and but for the last returns the columns
-that it got, extra ones of any name too. What it does with null texts, repeated rows and ties stands in its docstring.
+that it got, extra ones of any name too. Results that Python makes are written before they are returned, in small batches, as
+stages share their workers' memory. What a stage does with null texts, repeated rows and ties stands in its docstring.
 """
 
 from __future__ import annotations
@@ -12,12 +13,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftweave.llm import bagminhash, mixing, secretscan, sentencepieces, toxicity
-from driftweave.llm.common import removed, shared_dir, table, vocabulary
+from driftweave.llm.common import removed, settled, shared_dir, table, vocabulary
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose score reaches their language's limit go. Null and empty texts stay; each of repeated rows has the same fate."""
-    return toxicity.keep_clean(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+    return settled(toxicity.keep_clean(docs, toxicity.fit(docs, table(spark, sf_dir, "labels"))), "clean")
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,7 +28,7 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets are replaced by a mark; no document goes. Null texts stay null, and n_chars counts the new texts."""
-    return secretscan.redact(docs)
+    return settled(secretscan.redact(docs), "redacted")
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,7 +42,8 @@ def tokens_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     model = vocabulary("piece_bpe_32k.model")
     encoded = sentencepieces.encode(docs.select("doc_id", "text"), model)
     encoded = encoded.select("doc_id", "ids", F.size("ids").cast("long").alias("n_tokens"), sentencepieces.ids_sha256().alias("ids_sha256"))
-    return sentencepieces.decode(encoded, model).select("doc_id", "n_tokens", "ids", "ids_sha256", F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"))
+    decoded = sentencepieces.decode(encoded, model)
+    return settled(decoded.select("doc_id", "n_tokens", "ids", "ids_sha256", F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256")), "tokens")
 
 
 STAGES = [
