@@ -47,7 +47,7 @@ _UNSURE = frozenset("banner menu notice notices share sharing social related rec
 _TOPICS = frozenset("side alert legal discussion trending popular respond responses header head top".split())
 #: Words that say how a container is built or where it stands.
 _BUILT = frozenset(
-    "box list widget block section posts post articles article stories story links link container wrapper wrap area module bar items item content main site page left right bottom global primary secondary inner outer region panel row col column group card cards buttons button icons media news inline mobile desktop slot unit sticky fixed title heading more also read".split()
+    "box list widget block section posts post articles article stories story links link container wrapper wrap area module bar items item content main site page left right bottom global primary secondary inner outer region panel row col column group card cards buttons button icons media news inline mobile desktop slot unit sticky fixed title heading more also read entry toggle dropdown mega user holder first last latest new small large big dark light full half md lg sm xs strip rail zone layer drawer trigger info meta theme default custom".split()
 )
 _CERTAIN, _NAMES = SIDE_WORDS, SIDE_WORDS | _UNSURE | _TOPICS | _BUILT
 #: Classes, ids and roles that mark one as a whole; as part of a longer name they say how a container looks or was built.

@@ -54,6 +54,8 @@ OPERATORS = {
 }
 #: What returns the input's columns as they are.
 SAME_COLUMNS = ("redact", "mix whole", "keep_clean", "keep_one")
+#: What takes many Spark jobs is not run a second time without clashing columns.
+SLOW = ("classes", "near classes", "keep_one")
 #: Rows out for all rows in, where every row gives one.
 ONE_EACH = ("extract", "encode", "decode", "scan", "redact", "classes", "count_tokens", "score", "keep_clean", "near classes", "store")
 
@@ -73,10 +75,11 @@ def test_clashing_columns_nulls_and_repeated_rows(spark, tmp_path, model, name):
         assert out.columns == df.columns and all(r["_id"] == f"_id:{r['doc_id']}" == r["spans"].replace("spans", "_id") for r in got)
     if name == "keep_one":
         assert sorted(r["doc_id"] for r in got) == [0, 2, 3, 4, 5, 6, 7, 8, 9, 9]
-    plain = OPERATORS[name](frame(spark, clashes=False), model, f"file://{tmp_path}/b").collect()
-    common = [c for c in out.columns if c in (plain[0].asDict() if plain else ()) and c not in CLASHES and c != "text"]
-    key = lambda r: tuple(str(r[c]) for c in common)
-    assert sorted(map(key, got)) == sorted(map(key, plain))
+    if name not in SLOW:
+        plain = OPERATORS[name](frame(spark, clashes=False), model, f"file://{tmp_path}/b").collect()
+        common = [c for c in out.columns if c in (plain[0].asDict() if plain else ()) and c not in CLASHES and c != "text"]
+        key = lambda r: tuple(str(r[c]) for c in common)
+        assert sorted(map(key, got)) == sorted(map(key, plain))
     after = dict(spark.sparkContext.getConf().getAll()), {k: spark.conf.get(k) for k in before[1]}
     assert after == before
 

@@ -385,7 +385,7 @@ NUMBERS = [" ".join(str(i * j) for j in range(12)) for i in range(9)]
         ("<article><ul><li>One two three<li>four five</ul></article><header>Head of the site</header>", ["One two three", "four five"]),
         ("<article><p>One two three<p>four five</article><header>Head of the site</header>", ["One two three", "four five"]),
         (f'<article>{HERE}<div class="popular-science">{HERE}</div><p class="legal">Legal words.</p><div class="discussion">We discuss it.</div><p class="share-price">It rose.</p></article>', [SAID, SAID, "Legal words.", "We discuss it.", "It rose."]),
-        (f'<article>{HERE}<div class="related-posts">Read it</div><div class="ad-slot-3">Buy it</div><div id="comments-list">First!</div>{HERE}</article>', [SAID, SAID]),
+        (f'<article>{HERE}<div class="related-posts">Read it</div><div class="ad-slot-3">Buy it</div><div id="comments-list">First!</div><ul class="dropdown-menu"><li>Home</li></ul><div class="site-notice">We moved.</div>{HERE}</article>', [SAID, SAID]),
         (f"<article>{HERE}<table>" + "".join("<tr>" + "".join(f"<td>{c}</td>" for c in r.split()) + "</tr>" for r in NUMBERS) + f"</table>{HERE}</article>", [SAID, *NUMBERS, SAID]),
         ('<p>See <a title="foo>the bar</a> there, and all of that is good to see again.</p>', ["See the bar there, and all of that is good to see again."]),
         ("<p>Press <button>OK</button> to go on, and <label>never</label> look back.</p>", ["Press to go on, and look back."]),
