@@ -14,7 +14,7 @@ from ..functions import drift, vectors
 from ..operators import clustering, metrics, neighbors, recovery, summary, timing
 from ..sources import streams
 from ..streaming import drivers
-from . import benchmark, state_sql
+from . import benchmark, state_sql, stream_sql
 from .storage import shared_dir, written
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -598,9 +598,11 @@ def micro_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _source(name: str) -> None:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return benchmark.points(spark, [name], [42], 5000)
+        own = benchmark.points(spark, [name], [42], 5000)
+        return own.select("stream", "seed", "idx", *(F.round(F.col("x")[d], 9).alias(f"x{d}") for d in (0, 1)), "y")
 
     QUERIES[f"source_{name.lower()}"] = run
+    ORACLES[f"source_{name.lower()}"] = stream_sql.stream(name, 42, 5000)
 
 
 for _name in streams.DATASETS:
