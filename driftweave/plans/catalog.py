@@ -582,7 +582,7 @@ def _clusterer(name: str) -> None:
 
     key = {"tight": "stream_cluster", "tight_drift": "stream_cluster_drift"}.get(name, name)
     QUERIES[key] = run
-    if sql := {"dbstream": state_sql.dbstream, "denstream": state_sql.denstream, "adaptive_radius": state_sql.adaptive_radius}.get(name):
+    if sql := {"dbstream": state_sql.dbstream, "denstream": state_sql.denstream, "adaptive_radius": state_sql.adaptive_radius, "windowed_dbscan": state_sql.windowed_dbscan}.get(name):
         ORACLES[key] = f"WITH RECURSIVE {PLANAR}, {sql('p')}"
 
 

@@ -5,6 +5,8 @@ Each step joins a stream's state with its next row. Lists hold what the state ma
 
 from __future__ import annotations
 
+import math
+
 
 def _slope(values: str) -> str:
     """Least-squares slope of a list over its places."""
@@ -153,3 +155,29 @@ def greedy_cover(rows: str, radius: float, least: int) -> str:
     ),
     covers AS (SELECT stream, unnest(own) AS i, n - 1 AS cover FROM c)
     SELECT stream, seq, coalesce(cover, -1)::BIGINT AS cover FROM pts LEFT JOIN covers USING (stream, i)"""
+
+
+def windowed_dbscan(rows: str, window: int = 500, eps: float = 0.12, least: int = 5, every: int = 20, rounds: int = 64) -> str:
+    """The rows of the clusterer that runs DBSCAN over its last points again and again.
+
+    Core points in one cell of a grid are near one another, so components are those of cells; `rounds` bounds their diameter.
+    """
+    side = eps / math.sqrt(2) * 0.999
+    close = lambda u, v: f"sqrt(({u}.x - {v}.x) * ({u}.x - {v}.x) + ({u}.y - {v}.y) * ({u}.y - {v}.y)) <= {eps!r}::DOUBLE"
+    return f"""held AS MATERIALIZED (SELECT w.stream, w.seq AS t, r.seq, r.x, r.y FROM {rows} w JOIN {rows} r ON r.stream = w.stream AND r.seq > w.seq - {window} AND r.seq <= w.seq WHERE w.seq % {every} = 0 AND w.seq >= {least}),
+    counted AS MATERIALIZED (SELECT a.stream, a.t, a.seq, a.x, a.y, count(*) >= {least} AS core, floor(a.x / {side!r})::INT AS cx, floor(a.y / {side!r})::INT AS cy FROM held a JOIN held b ON a.stream = b.stream AND a.t = b.t WHERE {close('a', 'b')} GROUP BY ALL),
+    cores AS MATERIALIZED (SELECT * FROM counted WHERE core),
+    edges AS MATERIALIZED (SELECT DISTINCT a.stream, a.t, a.cx, a.cy, b.cx AS dx, b.cy AS dy FROM cores a JOIN cores b ON a.stream = b.stream AND a.t = b.t WHERE abs(a.cx - b.cx) <= 2 AND abs(a.cy - b.cy) <= 2 AND {close('a', 'b')}),
+    spread AS (
+        SELECT 0 AS round, stream, t, cx, cy, min(seq) AS first FROM cores GROUP BY ALL
+        UNION ALL SELECT s.round + 1, e.stream, e.t, e.cx, e.cy, min(s.first) FROM spread s JOIN edges e ON e.stream = s.stream AND e.t = s.t AND e.dx = s.cx AND e.dy = s.cy WHERE s.round < {rounds} GROUP BY ALL
+    ),
+    named AS (SELECT stream, t, cx, cy, dense_rank() OVER (PARTITION BY stream, t ORDER BY first) - 1 AS label FROM spread WHERE round = {rounds}),
+    inner_ AS MATERIALIZED (SELECT c.stream, c.t, c.x, c.y, label FROM cores c JOIN named USING (stream, t, cx, cy)),
+    border AS (SELECT b.stream, b.t, b.x, b.y, min(i.label) AS label FROM counted b JOIN inner_ i ON i.stream = b.stream AND i.t = b.t WHERE NOT b.core AND {close('b', 'i')} GROUP BY b.stream, b.t, b.seq, b.x, b.y),
+    members AS MATERIALIZED (SELECT * FROM inner_ UNION ALL SELECT * FROM border),
+    means AS (SELECT stream, t, label, avg(x) AS mx, avg(y) AS my FROM members GROUP BY ALL),
+    balls AS MATERIALIZED (SELECT stream, t, label, mx AS x, my AS y, 1.1 * greatest(quantile_cont(sqrt((x - mx) * (x - mx) + (y - my) * (y - my)), 0.95), 1e-6) AS radius FROM members JOIN means USING (stream, t, label) GROUP BY stream, t, label, mx, my),
+    asked AS (SELECT p.stream, p.seq, b.label, b.radius, sqrt((p.x - b.x) * (p.x - b.x) + (p.y - b.y) * (p.y - b.y)) AS d FROM {rows} p JOIN balls b ON b.stream = p.stream AND b.t = p.seq // {every} * {every}),
+    best AS (SELECT stream, seq, count(*) AS n, min({{'d': d, 'label': label, 'radius': radius}}) AS m FROM asked GROUP BY ALL)
+    SELECT p.stream, p.seq, CASE WHEN m.d <= m.radius THEN m.label ELSE -1 END::BIGINT AS label, coalesce(n, 0)::INT AS n_micro, coalesce(n, 0)::INT AS n_macro, {BLANK} FROM {rows} p LEFT JOIN best ON best.stream = p.stream AND best.seq = p.seq"""
