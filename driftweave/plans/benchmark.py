@@ -21,6 +21,12 @@ def points(spark: SparkSession, datasets: Sequence[str], seeds: Sequence[int], n
     return spark.read.format("drift_stream").options(dataset=",".join(datasets), seed=",".join(map(str, seeds)), n=n, table=table).load()
 
 
+def jobs(spark: SparkSession, algorithms: Sequence[str], datasets: Sequence[str], seeds: Sequence[int]) -> DataFrame:
+    """algorithm, dataset, seed: the runs of a benchmark, every algorithm on every dataset and seed."""
+    one = spark.createDataFrame([(list(algorithms), list(datasets), list(seeds))], "algorithms array<string>, datasets array<string>, seeds array<int>")
+    return one.select("datasets", "seeds", F.explode("algorithms").alias("algorithm")).select("algorithm", "seeds", F.explode("datasets").alias("dataset")).select("algorithm", "dataset", F.explode("seeds").alias("seed"))
+
+
 def predictions(spark: SparkSession, algorithms: Sequence[str], datasets: Sequence[str], seeds: Sequence[int], n: int, every: int = 50, window: int = 500) -> DataFrame:
     """algorithm, dataset, seed, seq, window, pred, pending_ratio, y: train, then label the same points, every `every` points."""
     own = points(spark, datasets, seeds, n).select(F.col("stream").alias("dataset"), "seed", (F.col("idx") + 1).alias("seq"), F.col("x").alias("vec"), "y")
@@ -80,6 +86,7 @@ def main(argv: Sequence[str] | None = None) -> None:
         charts.write_charts(charts.summary_chart(short, "quality_mean_avg", "quality_mean_std"), f"{args.out}/comparison_{tag}_summary.svg")
         short.orderBy("dataset", "algorithm").show(100, truncate=False)
         return
+    print(f"{jobs(spark, list(drivers.ALGORITHMS), streams.ALL, seeds).count()} runs of {n} points")
     found = written(runs(spark, list(drivers.ALGORITHMS), streams.ALL, seeds, n), "runs")
     detail = summary.detail_table(found)
     short = written(summary.seed_summary(detail), "summary")

@@ -576,6 +576,15 @@ def change_detector(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(out, "ema_mean", "U_t", "L_t", "abruptness_score", "acceleration", "lambda_current", "slope_thresh_current")
 
 
+@query(f"WITH RECURSIVE {SEQ}, {state_sql.detector('s', 'event_type', 'value')} SELECT event_type AS stream, seq, fired, direction, round(up, 6) AS \"U_t\", round(low, 6) AS \"L_t\" FROM det WHERE seq > 0")
+def detect_in_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The change detector as a table function of SQL."""
+    drivers.register(spark)
+    view = f"numbers_{uuid.uuid4().hex}"
+    _events(spark, sf_dir).select(F.col("event_type").alias("stream"), "seq", F.col("value").alias("x")).createOrReplaceTempView(view)
+    return spark.sql(f"SELECT stream, seq, fired, direction, round(U_t, 6) AS U_t, round(L_t, 6) AS L_t FROM detect_change(TABLE(SELECT * FROM {view}) PARTITION BY stream ORDER BY seq)")
+
+
 def _clusterer(name: str) -> None:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         return _rounded(drivers.cluster(_planar(spark, sf_dir), name), "surprise", "score", "acceleration")
@@ -631,6 +640,15 @@ def scalar_fires(spark: SparkSession, sf_dir: str) -> DataFrame:
     return summary.fire_report(fires)
 
 
+def _names(values: list) -> str:
+    return ", ".join(f"({v!r})" for v in values)
+
+
+@query(f"SELECT algorithm, dataset, seed::INT AS seed FROM (VALUES {_names(list(drivers.ALGORITHMS))}) AS a(algorithm), (VALUES {_names(streams.ALL)}) AS d(dataset), (VALUES {_names(list(streams.SEEDS))}) AS s(seed)")
+def bench_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return benchmark.jobs(spark, list(drivers.ALGORITHMS), streams.ALL, streams.SEEDS)
+
+
 @query()
 def bench_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return summary.detail_table(benchmark.runs(spark, list(drivers.ALGORITHMS), streams.ALL, streams.SEEDS, 5000))
