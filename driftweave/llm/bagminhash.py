@@ -171,7 +171,9 @@ def sketch(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
 
 def _texts(nodes: DataFrame, docs: DataFrame, rows: DataFrame) -> DataFrame:
     """node, text: the text of one row of each of the nodes."""
-    keys = rows.join(nodes, "node").groupBy("node").agg(F.min(F.struct("doc_id", "text_hash")).alias("k")).select("node", "k.doc_id", "k.text_hash")
+    # one row a node before the join, so that the rows of many equal texts meet in no task
+    first = rows.where("node is not null").groupBy("node").agg(F.min(F.struct("doc_id", "text_hash")).alias("k"))
+    keys = first.join(nodes, "node", "left_semi").select("node", "k.doc_id", "k.text_hash")
     full = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
     found = keys.withColumnsRenamed({"doc_id": "_id", "text_hash": "_own"}).join(full, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_own"))).select("node", "text")
     return written(found.dropDuplicates(["node"]), "texts")
