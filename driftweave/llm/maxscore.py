@@ -62,21 +62,41 @@ def _blocks(rows: DataFrame, n: int) -> DataFrame:
     return rows.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int")).groupBy("block").applyInArrow(_pack, "block int, ids binary, width int, terms binary")
 
 
-def search(terms: np.ndarray, ids: np.ndarray, query: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """The k best (ids, scores) of a shard for one query, ties to the smaller id; `own` is left out. `ids` ascend."""
+def bounds(terms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The greatest and the least value of each term of a shard."""
+    return (terms.max(axis=1), terms.min(axis=1)) if terms.shape[1] else (np.zeros(len(terms), np.int64),) * 2
+
+
+def _kind(hi: np.ndarray, lo: np.ndarray, queries: np.ndarray) -> type | None:
+    """The fastest type of numbers in which all sums of products are exact; None where even a long may not hold them."""
+    size = lambda v, w: max(1.0, float(v.max(initial=0)), -float(w.min(initial=0)))
+    most = len(hi) * size(hi, lo) * size(queries, queries)
+    return np.float32 if most < 2.0**24 else np.float64 if most < 2.0**53 else np.int64 if most < 2.0**62 else None
+
+
+def search(terms: np.ndarray, ids: np.ndarray, query: np.ndarray, own: int, k: int, held: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The k best (ids, scores) of a shard for one query, ties to the smaller id; `own` is left out. `ids` ascend.
+
+    `held` are the shard's bounds, and its terms have the type of `_kind` then.
+    """
     width, n = terms.shape
-    if n and len(query) and width * max(-float(terms.min()), float(terms.max()), 1.0) * max(-float(query.min()), float(query.max()), 1.0) >= 2.0**62:
-        return _search_wide(terms, ids, query, own, k)
-    q = np.zeros(width, np.int64)
+    if held is None:
+        held = bounds(terms)
+        kind = _kind(*held, query)
+        if kind is None:
+            return _search_wide(terms, ids, query, own, k)
+        terms = terms.astype(kind)
+    exact = np.int64 if terms.dtype == np.int64 else np.float64  # of sums over terms
+    q = np.zeros(width, terms.dtype)
     q[: min(width, len(query))] = query[:width]
-    hi, lo = (terms.max(axis=1), terms.min(axis=1)) if n else (q, q)
-    upper, lower = np.maximum(q * hi, q * lo), np.minimum(q * hi, q * lo)
+    hi, lo, wide = held[0].astype(exact), held[1].astype(exact), q.astype(exact)
+    upper, lower = np.maximum(wide * hi, wide * lo), np.minimum(wide * hi, wide * lo)
     order = np.argsort(lower - upper, kind="stable")
     order = order[q[order] != 0]
     after = np.concatenate((np.cumsum(upper[order][::-1])[::-1], [0]))  # the most that terms from here on can add
     used = ids != own
     lead = np.flatnonzero(used)[:LEAD]
-    scores = q[order] @ terms[np.ix_(order, lead)] if len(order) else np.zeros(len(lead), np.int64)
+    scores = q[order] @ terms[np.ix_(order, lead)] if len(order) else np.zeros(len(lead), terms.dtype)
     floor = np.partition(scores, len(scores) - k)[len(scores) - k] if len(scores) >= k else None
     if floor is None:
         at = lead
@@ -87,7 +107,7 @@ def search(terms: np.ndarray, ids: np.ndarray, query: np.ndarray, own: int, k: i
         essential = int(np.argmax(tail + lower[order].sum() < floor)) if (tail + lower[order].sum() < floor).any() else len(order)
         head = order[:essential]
         at = np.flatnonzero(used)
-        part = q[head] @ terms[head] if essential else np.zeros(n, np.int64)
+        part = q[head] @ terms[head] if essential else np.zeros(n, terms.dtype)
         part = part[at]
         step = essential
         while step < len(order):
@@ -98,12 +118,12 @@ def search(terms: np.ndarray, ids: np.ndarray, query: np.ndarray, own: int, k: i
             step += PROBE
             if len(at) > 4 * k and step < len(order):
                 # what is sure of the k-th best so far lifts the floor
-                rest = np.minimum(q[order[step:]] * hi[order[step:]], q[order[step:]] * lo[order[step:]]).sum()
+                rest = lower[order[step:]].sum()
                 floor = max(floor, np.partition(part, len(part) - k)[len(part) - k] + rest)
         keep = part >= floor
         at, scores = at[keep], part[keep]
     best = np.lexsort((ids[at], -scores))[:k]
-    return ids[at[best]], scores[best]
+    return ids[at[best]], scores[best].astype(np.int64)
 
 
 def _search_wide(terms: np.ndarray, ids: np.ndarray, query: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -139,7 +159,10 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
                 ids, q_ids = np.frombuffer(x["ids"], "<i8"), np.frombuffer(x["q_ids"], "<i8")
                 terms = _opened(x["terms"], x["width"], len(ids))
                 asked_terms = _opened(x["q_terms"], x["q_width"], len(q_ids))
-                found = [search(terms, ids, asked_terms[:, i], int(q), k) for i, q in enumerate(q_ids)]
+                held = bounds(terms)
+                kind = _kind(*held, asked_terms)
+                terms = terms if kind is None else terms.astype(kind)
+                found = [search(terms, ids, asked_terms[:, i], int(q), k, None if kind is None else held) for i, q in enumerate(q_ids)]
                 sizes = [len(f[0]) for f in found]
                 place = (x["asked"] << 32) + np.arange(len(q_ids))
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(place, sizes)), pa.array(np.repeat(q_ids, sizes)), pa.array(np.concatenate([f[0] for f in found])), pa.array(np.concatenate([f[1] for f in found]).astype(np.int64))], names=["query", "query_id", "vec_id", "score"])
