@@ -25,7 +25,7 @@ from .common import Scratch, narrow, written
 LIST, BACK, TABLES, BLOCK = 8, 4, 10, 512
 ROUNDS, AUDIT_ROWS, AUDIT_RECALL, AUDITS = 2, 256, 0.999, 4
 #: How often the lists that hold links only are doubled.
-ENLARGE = 2
+ENLARGE = 1
 #: Below the threshold by so much, a nearest neighbour makes its node one that the audit asks for.
 AUDIT_MARGIN = 0.05
 
@@ -127,11 +127,10 @@ def _widened(graph: DataFrame, own: DataFrame, threshold: float) -> tuple[DataFr
     """The graph after full lists have been doubled and refined, and the sizes (u, k) of enlarged lists."""
     wide = None
     for _ in range(ENLARGE):
-        full = _full(graph, threshold, wide)
-        if full.isEmpty():
+        more = written(_full(graph, threshold, wide).select("u", (2 * F.col("k")).alias("k")), "wide")
+        if more.isEmpty():
             break
-        more = full.select("u", (2 * F.col("k")).alias("k"))
-        wide = written(more if wide is None else more.unionByName(wide.join(full, "u", "left_anti")), "wide")
+        wide = more if wide is None else written(more.unionByName(wide.join(more, "u", "left_anti")), "wide")
         graph = _refine(graph, own, wide)
     return graph, wide
 
