@@ -1,9 +1,9 @@
 """Near-duplicate vectors by NN-descent.
 
 A neighbour graph starts from random-projection blocks and is refined by joins of neighbours with neighbours' neighbours.
-Links are the graph's edges of at least the threshold. Where a vector's list holds links only, the list was too short: it is
-doubled and refined again, ENLARGE times. Vectors whose lists are still full then belong to groups that no list of fixed
-size can hold: all vectors of their components are compared in blocks, which counts their links and may join components.
+Links are the graph's edges of at least the threshold. Where a vector's list holds links only, the list is too short: it is
+doubled before the last refinement. Vectors whose lists are still full then belong to groups that no list of fixed size can
+hold: all vectors of their components are compared in blocks, which counts their links and may join components.
 An audit compares the links of a sample with brute force; while its recall is too low, more projections and refinements
 follow, and after the last of them all pairs of each label, in blocks.
 """
@@ -24,8 +24,6 @@ from .common import Scratch, narrow, written
 #: Neighbours kept for a vector, and taken of those that name it; tables of projections; vectors of a block.
 LIST, BACK, TABLES, BLOCK = 8, 4, 10, 512
 ROUNDS, AUDIT_ROWS, AUDIT_RECALL, AUDITS = 2, 256, 0.999, 4
-#: How often the lists that hold links only are doubled.
-ENLARGE = 1
 #: Below the threshold by so much, a nearest neighbour makes its node one that the audit asks for.
 AUDIT_MARGIN = 0.05
 
@@ -124,29 +122,20 @@ def _full(graph: DataFrame, threshold: float, wide: DataFrame | None) -> DataFra
 
 
 def _widened(graph: DataFrame, own: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame | None]:
-    """The graph after full lists have been doubled and refined, and the sizes (u, k) of enlarged lists."""
-    wide = None
-    for _ in range(ENLARGE):
-        more = written(_full(graph, threshold, wide).select("u", (2 * F.col("k")).alias("k")), "wide")
-        if more.isEmpty():
-            break
-        wide = more if wide is None else written(more.unionByName(wide.join(more, "u", "left_anti")), "wide")
-        graph = _refine(graph, own, wide)
-    return graph, wide
+    """The graph after a refinement for which full lists were doubled, and the sizes (u, k) of these."""
+    wide = written(_full(graph, threshold, None).select("u", (2 * F.col("k")).alias("k")), "wide")
+    if wide.isEmpty():
+        wide = None
+    return _refine(graph, own, wide), wide
 
 
 def _refine(graph: DataFrame, own: DataFrame, wide: DataFrame | None = None) -> DataFrame:
-    """One round: each node shows its neighbours, and the nearest of those that name it, to one another.
-
-    With `wide`, lists of other sizes (u, k), only nodes show that have one of its nodes around them.
-    """
+    """One round: each node shows its neighbours, and the nearest of those that name it, to one another. `wide` has lists of other sizes (u, k)."""
     back = _lists(graph.select(F.col("v").alias("u"), F.col("u").alias("v"), "cos"), BACK)
     around = graph.select("u", "v").unionByName(back.select("u", "v")).distinct()
     size = F.lit(LIST)
     held = graph
     if wide is not None:
-        asked = around.join(wide.select(F.col("u").alias("v")), "v", "left_semi").select("u").distinct()
-        around = around.join(asked, "u", "left_semi")
         held, size = graph.join(wide, "u", "left"), F.coalesce(F.max("k"), F.lit(LIST))
     last = held.groupBy("u").agg(F.when(F.count("*") < size, F.lit(-2.0)).otherwise(F.min("cos")).alias("last"))
     vecs = own.select(F.col("node").alias("v"), "vec").join(last.withColumnRenamed("u", "v"), "v", "left").withColumn("last", F.coalesce("last", F.lit(-2.0)))
@@ -316,7 +305,7 @@ def classes(vectors: DataFrame, threshold: float = 0.98, vec_id: str = "vec_id",
         for again in range(AUDITS):
             start = _start(own, seed + again, TABLES)
             graph = written(_lists(start if graph is None else graph.unionByName(start)), "graph")
-            for _ in range(ROUNDS):
+            for _ in range(ROUNDS - 1):
                 graph = _refine(graph, own)
             graph, wide = _widened(graph, own, threshold)
             near = graph.where(F.col("cos") >= threshold)
