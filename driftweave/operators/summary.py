@@ -24,11 +24,17 @@ def detail_table(runs: DataFrame) -> DataFrame:
     return runs.select(F.col("algorithm").alias("Algorithm"), F.col("dataset").alias("Dataset"), F.col("seed").alias("Seed"), *(F.bround(finite(F.col(c)), d).alias(n) for c, n, d in DETAIL))
 
 
+def _mean(value: Column, decimals: int) -> Column:
+    """The rounded mean of values of few decimals, halves up. Sums of doubles would put a half on either side, by the order of rows."""
+    own = value.try_cast("decimal(30,10)")
+    return F.when(F.count(own) == F.count(value), F.round(F.avg(own), decimals).cast("double")).otherwise(F.round(F.avg(value), decimals))
+
+
 def seed_summary(detail: DataFrame, decimals: int = 4) -> DataFrame:
     """Means over seeds of the rounded values, sample deviations of three of them (null under two values), and runs."""
     aggs: list[Column] = [F.count("*").alias("Runs")]
     for _, n, _ in DETAIL:
-        aggs.append(F.round(F.avg(n), decimals).alias(f"{n} mean"))
+        aggs.append(_mean(F.col(n), decimals).alias(f"{n} mean"))
         if n in SPREAD:
             aggs.append(F.round(F.when(F.count(n) >= 2, F.stddev_samp(n)), decimals).alias(f"{n} std"))
     return detail.groupBy("Algorithm", "Dataset").agg(*aggs)

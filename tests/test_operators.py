@@ -115,6 +115,16 @@ def test_missing_values_are_skipped(spark):
     assert row["recovery_w_avg"] is None and row["recovery_w_std"] == 0.0
 
 
+def test_seed_means_at_a_half_do_not_depend_on_the_order_of_rows(spark):
+    import itertools
+
+    columns = [n for _, n, _ in summary.DETAIL]
+    values = (0.6341, 0.587, 0.472, 0.5755)  # their mean is 0.56715
+    rows = [(f"{k}", "d", s, *[v] * len(columns)) for k, order in enumerate(itertools.permutations(values)) for s, v in enumerate(order)]
+    detail = spark.createDataFrame(rows, ["Algorithm", "Dataset", "Seed", *columns]).coalesce(1)
+    assert {r["Quality mean"] for r in summary.seed_summary(detail).collect()} == {0.5672}
+
+
 def test_csv(spark, tmp_path):
     df = spark.createDataFrame([("a", 1.5)], "name string, value double")
     summary.write_csv(df, str(tmp_path / "out"))
