@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -63,19 +63,22 @@ def largest_group(labels: DataFrame, label: str = "label") -> DataFrame:
 def greedy_cover(points: DataFrame, radius: float | None = None, least: int = 5, group: str = "stream", order: str = "seq", vec: str = "vec", r_max: float = 0.15, snn_k: int = 5, tk: int = 3, mk: int = 2) -> DataFrame:
     """group, seq, cover: points in order claim all unclaimed points within the radius if there are enough; others have -1.
 
-    The claim order matters, so each group's pool is folded in one task; a pool is what one stream holds back.
+    The claim order matters, so each group's pool is folded in one task; a pool is what one stream holds back. The task holds
+    the pool's points, but distances of a block of them only.
     """
     from ..streaming.clusterer import cover, shared_radius_of
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order, kind="stable")
-        x = np.array(pdf[vec].tolist(), float)
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by(order).select([group, order, vec])
+        lists = table.column(vec).combine_chunks()
+        lists = lists if isinstance(lists, pa.ListArray) else lists.chunk(0)
+        x = lists.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(table), -1)
         owner = np.full(len(x), -1, np.int64)
         if len(x) >= least:
             r = shared_radius_of(x, min(snn_k, len(x) - 1), r_max, tk, mk) if radius is None else radius
             for c, members in enumerate(cover(x, r, least)):
                 owner[members] = c
-        return pd.DataFrame({group: pdf[group], order: pdf[order], "cover": owner})
+        return table.select([group, order]).append_column("cover", pa.array(owner))
 
     kinds = dict(points.dtypes)
-    return points.select(group, order, vec).groupBy(group).applyInPandas(run, f"{group} {kinds[group]}, {order} {kinds[order]}, cover long")
+    return points.select(group, order, vec).groupBy(group).applyInArrow(run, f"{group} {kinds[group]}, {order} {kinds[order]}, cover long")

@@ -284,3 +284,27 @@ def test_near_points_are_found_in_spite_of_rounding():
     np.fill_diagonal(d, np.inf)
     x, y, got = blocks.nearest(a, np.arange(300), a, sq, slack, 3)
     assert np.allclose(got.reshape(300, 3), np.sort(d, axis=1)[:, :3], rtol=1e-9)
+
+
+def test_covers_and_radii_of_large_pools_hold_no_matrix_of_all_distances(spark):
+    import tracemalloc
+
+    x = np.random.RandomState(2).rand(4000, 8)
+    tracemalloc.start()
+    owners = clusterer.cover(x, 0.3, 5)
+    radius = clusterer.shared_radius_of(x[:1500], 5, 0.5, 2, 2)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 200e6
+    d = np.stack([np.sqrt(((p - x) ** 2).sum(axis=1)) for p in x])
+    free, want = np.ones(len(x), bool), []
+    for i in range(len(x)):
+        own = np.flatnonzero((d[i] <= 0.3) & free)
+        if free[i] and len(own) >= 5:
+            want.append(own.tolist())
+            free[own] = False
+    assert [o.tolist() for o in owners] == want
+    d = d[:1500, :1500] + np.diag([np.inf] * 1500)
+    lists = [set(r) for r in np.argsort(d, axis=1, kind="stable")[:, :5].tolist()]
+    found = [max(d[i, j] for j in lists[i] & lists[o]) for i in range(1500) for o in lists[i] if len(lists[i] & lists[o]) >= 2]
+    assert len(found) >= 2 and radius == pytest.approx(min(0.5, max(found)))
