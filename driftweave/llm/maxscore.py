@@ -4,11 +4,12 @@ A vector's component is a term; a shard's postings of a term hold its values, st
 the bounds of a term's contribution come from the least and the largest value. Terms in order of their bounds split into
 essential ones and a tail whose bounds together cannot lift a vector to the threshold. Essential postings are traversed for
 all vectors of the shard; the others are probed, a few terms at a time, only for vectors that can still get into the top k.
-Each shard gives k rows for a query, and the shards' rows are merged.
+Each shard gives k rows for a query; a task merges those of its shards, and what the tasks give is merged again.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,10 +18,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import narrow, written
+from .common import narrow
 
-#: Vectors of a shard. Queries of a block: so few that there are tasks enough, and at least so many where shards are.
-SHARD_ROWS, QUERY_ROWS, QUERY_MOST = 4096, 256, 8192
+#: Vectors of a shard and queries of a block; shards and blocks of queries of a tile at most.
+SHARD_ROWS, QUERY_ROWS, SHARD_GROUP, QUERY_GROUP = 4096, 256, 64, 256
 #: Vectors that a shard scores in full first, for a threshold; terms that are probed at a time.
 LEAD, PROBE = 256, 8
 
@@ -141,32 +142,53 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
 
     Both inputs have vec_id and v (see `quantized`). Ties go to the smaller vec_id; with fewer than k vectors all come. An
     empty input gives no rows. Of rows that share an id each is a candidate of the others, and each is a query of its own,
-    with k rows of its own. Scores beyond a long end where longs do. Blocks of queries meet blocks of vectors; each pair of
-    blocks is a task's work of fixed size.
+    with k rows of its own. Scores beyond a long end where longs do. Shards and blocks of queries are dealt into groups, and
+    each pair of groups meets in one task, a tile, which only a query's k best of the tile leave. Nothing is broadcast.
     """
     n, m = vectors.count(), queries.count()
-    shards, tasks = max(1, -(-n // SHARD_ROWS)), 4 * int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    # a shard travels once for each block of queries: with shards enough for all tasks, the blocks are few and large
-    asked = max(1, -(-m // QUERY_MOST), min(-(-m // QUERY_ROWS), -(-tasks // shards)))
-    left = written(_blocks(vectors, shards), "shards")
-    right = written(_blocks(queries, asked), "queries").select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("block"), F.col("block").alias("asked"), F.col("ids").alias("q_ids"), F.col("width").alias("q_width"), F.col("terms").alias("q_terms"))
-    pairs = right.join(left, "block").repartition(max(1, min(shards * asked, 4 * int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions")))), "block", "asked")
+    shards, asked = max(1, -(-n // SHARD_ROWS)), max(1, -(-m // QUERY_ROWS))
+    side = math.isqrt(4 * int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    cols = min(shards, max(side, -(-shards // SHARD_GROUP)))
+    # with few queries, the shards are dealt into more groups, so that there are tasks enough
+    rows = min(asked, max(side, -(-asked // QUERY_GROUP)))
+    cols = min(shards, max(cols, -(-side * side // rows)))
+    rows = min(asked, max(rows, -(-side * side // cols)))
+    left = _blocks(vectors, shards).withColumn("tile", F.explode(F.transform(F.sequence(F.lit(0), F.lit(rows - 1)), lambda r: r * cols + F.pmod("block", F.lit(cols)))))
+    right = _blocks(queries, asked).withColumn("tile", F.explode(F.transform(F.sequence(F.lit(0), F.lit(cols - 1)), lambda c: F.pmod("block", F.lit(rows)) * cols + c)))
+    dealt = left.withColumn("asks", F.lit(False)).unionByName(right.withColumn("asks", F.lit(True)))
+    tiles = dealt.repartitionById(rows * cols, F.col("tile").cast("int")).select("block", "asks", "ids", "width", "terms")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[bool, list[tuple]] = {True: [], False: []}
         for batch in batches:
-            for row in range(batch.num_rows):
-                x = {c: batch.column(c)[row].as_py() for c in batch.schema.names}
-                ids, q_ids = np.frombuffer(x["ids"], "<i8"), np.frombuffer(x["q_ids"], "<i8")
-                terms = _opened(x["terms"], x["width"], len(ids))
-                asked_terms = _opened(x["q_terms"], x["q_width"], len(q_ids))
-                held = bounds(terms)
-                kind = _kind(*held, asked_terms)
-                terms = terms if kind is None else terms.astype(kind)
-                found = [search(terms, ids, asked_terms[:, i], int(q), k, None if kind is None else held) for i, q in enumerate(q_ids)]
-                sizes = [len(f[0]) for f in found]
-                place = (x["asked"] << 32) + np.arange(len(q_ids))
+            for x in batch.to_pylist():
+                held[x["asks"]].append((x["block"], np.frombuffer(x["ids"], "<i8"), x["width"], x["terms"]))
+        best: dict[int, list[tuple]] = {}  # of a block of queries: the k best so far of each
+        for _, ids, width, raw in held[False]:
+            terms = _opened(raw, width, len(ids))
+            edges = bounds(terms)
+            typed = {}
+            for block, q_ids, q_width, q_raw in held[True]:
+                asked_terms = _opened(q_raw, q_width, len(q_ids))
+                kind = _kind(*edges, asked_terms)
+                if kind not in typed:
+                    typed[kind] = terms if kind is None else terms.astype(kind)
+                found = [search(typed[kind], ids, asked_terms[:, i], int(q), k, None if kind is None else edges) for i, q in enumerate(q_ids)]
+                best[block] = [_merged(a, b, k) for a, b in zip(best[block], found)] if block in best else found
+        for block, q_ids, _, _ in held[True]:
+            found = best.get(block, [])
+            sizes = [len(f[0]) for f in found]
+            if sum(sizes):
+                place = (block << 32) + np.arange(len(q_ids))
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(place, sizes)), pa.array(np.repeat(q_ids, sizes)), pa.array(np.concatenate([f[0] for f in found])), pa.array(np.concatenate([f[1] for f in found]).astype(np.int64))], names=["query", "query_id", "vec_id", "score"])
 
-    found = pairs.select("asked", "ids", "width", "terms", "q_ids", "q_width", "q_terms").mapInArrow(run, "query long, query_id long, vec_id long, score long")
+    found = tiles.mapInArrow(run, "query long, query_id long, vec_id long, score long")
     rank = F.row_number().over(W.partitionBy("query").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def _merged(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray], k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k best of two results of `search`."""
+    ids, scores = np.concatenate((a[0], b[0])), np.concatenate((a[1], b[1]))
+    at = np.lexsort((ids, ~scores))[:k]
+    return ids[at], scores[at]

@@ -59,6 +59,19 @@ def test_search_prunes_and_stays_exact():
         assert got[0].tolist() == order and got[1].tolist() == s[order].tolist()
 
 
+def test_top_k_broadcasts_no_queries_and_a_tile_gives_k_rows(spark, monkeypatch):
+    monkeypatch.setattr(maxscore, "SHARD_ROWS", 8)
+    monkeypatch.setattr(maxscore, "QUERY_ROWS", 3)
+    x = np.random.RandomState(4).randn(200, 6)
+    df = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], SCHEMA)
+    vectors = maxscore.quantized(df)
+    found = maxscore.top_k(vectors, vectors.where("vec_id % 20 = 0"), 5)
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
+    v = np.floor(64 * np.float32(x).astype(float)).astype(int)
+    want = [(q, r + 1, j, int(v[q] @ v[j])) for q in range(0, 200, 20) for r, j in enumerate([j for j in np.lexsort((np.arange(200), -(v @ v[q]))) if j != q][:5])]
+    assert sorted(tuple(r) for r in found.collect()) == want
+
+
 def test_top_k_of_few(spark):
     df = spark.createDataFrame([(0, [0.5, 0.1], 1), (1, [0.2, 0.2], 1), (2, [0.2, 0.2], None)], SCHEMA)
     vectors = maxscore.quantized(df)
