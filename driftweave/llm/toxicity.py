@@ -9,20 +9,23 @@ any length are scored whole, in flat arrays.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import claim, numbered, text_batches
+from .common import Scratch, claim, numbered, small_batches, text_batches, written
 
-#: Bounds of the training sample: labelled rows of each class, and characters of a row's text. Scoring has no bounds.
-TOXIC_ROWS, CLEAN_ROWS, ROW_CHARS = 800, 1200, 20_000
 BUCKETS, DIM, WIDTHS, FILTERS, GRAMS = 1 << 18, 8, (1, 2, 3), 8, (4, 5)
-EPOCHS, BATCH, RATE, LEAST_DF, LEAST_STEPS = 4, 64, 0.02, 4, 150
+BATCH, RATE, LEAST_DF, LEAST_STEPS = 64, 0.02, 4, 150
+#: Training reads every labelled row. Its chains of steps, at most; rounds after which they are averaged, at most, and the steps of a
+#: round that are aimed at; characters beyond which a step takes no further row; pieces in which chains' tables are averaged.
+CHAINS, ROUNDS, ROUND_STEPS, BATCH_CHARS, PIECES = 64, 8, 40, 1 << 20, 16
+#: Labels up to which they are broadcast, bits of the bitmap of more of them, and bins in which limits are looked for.
+BROADCAST_ROWS, BITS, BINS = 10_000, 1 << 26, 256
 #: Words whose vectors a worker keeps; the table starts anew beyond this.
 CACHE_WORDS = 200_000
 _STRIP = ".,;:!?\"'()[]{}*#$%&<>-_/\\|«»…“”‘’+=~^@"
@@ -118,8 +121,10 @@ class Model:
             if held >= 1 << 20 or i + 1 == len(texts):
                 out.append(self.logits(texts[at : i + 1]))
                 at, held = i + 1, 0
-        z = self.slope * (np.concatenate(out) - self.middle) if out else np.zeros(0)
-        return 1 / (1 + np.exp(-np.clip(z, -60, 60)))
+        return self.logistic(np.concatenate(out)) if out else np.zeros(0)
+
+    def logistic(self, z: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(self.slope * (z - self.middle), -60, 60)))
 
     def forget(self) -> None:
         """Drops the vectors of the words met so far."""
@@ -128,107 +133,180 @@ class Model:
     def bare(self) -> "Model":
         return Model(self.table, self.filters, self.bias, self.out, self.out_bias, self.slope, self.middle, self.limits)
 
+    def copy(self) -> "Model":
+        """A model with weights of its own."""
+        return Model(self.table.copy(), [f.copy() for f in self.filters], [b.copy() for b in self.bias], self.out.copy(), self.out_bias, self.slope, self.middle, dict(self.limits))
 
-def train(texts: list[str], labels: list[int], seed: int = 1) -> Model:
-    """Adam on the weighted logistic loss; only the window that wins a filter's pooling learns."""
-    rng = np.random.RandomState(seed)
-    docs = [split(t) for t in texts]
-    # texts of unknown words only have nothing toxic about them: some blank ones say so
-    blank = 1 + labels.count(0) // 10
-    docs += [[""]] * blank
-    y = np.array([*labels, *[0] * blank], np.float32)
-    vocabulary = list(set().union(*docs)) if docs else [""]
-    index = {w: i for i, w in enumerate(vocabulary)}
-    buckets, starts = hashes(vocabulary)
-    sizes = np.diff(np.concatenate((starts, [len(buckets)])))
-    owner = np.repeat(np.arange(len(vocabulary)), sizes)
-    # n-grams of few documents only stay at zero: they could be learnt by heart
-    docs_of = np.zeros(BUCKETS, np.int32)
-    flat_docs = [np.unique([index[w] for w in d]) for d in docs]
-    for d in flat_docs:
-        seen = np.unique(np.concatenate([buckets[starts[i] : starts[i] + sizes[i]] for i in d]))
-        docs_of[seen] += 1
-    alive = docs_of >= LEAST_DF
-    scale = 0.3
-    model = Model(
+    def small(self) -> np.ndarray:
+        """All weights but the table's, in one array."""
+        return np.concatenate([*(f.ravel() for f in self.filters), *self.bias, self.out, [self.out_bias]]).astype(np.float64)
+
+    def set_small(self, values: np.ndarray) -> None:
+        for part in (*self.filters, *self.bias, self.out):
+            part[...] = values[: part.size].reshape(part.shape)
+            values = values[part.size :]
+        self.out_bias = float(values[0])
+
+
+class Words:
+    """Buckets of the words met so far; they start anew beyond CACHE_WORDS."""
+
+    def __init__(self) -> None:
+        self.index: dict[str, int] = {}
+        self.buckets, self.starts, self.sizes = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def add(self, words: Iterable[str]) -> None:
+        if len(self.index) > CACHE_WORDS:
+            self.__init__()
+        new = [w for w in dict.fromkeys(words) if w and w not in self.index]
+        if new:
+            buckets, starts = hashes(new)
+            self.index.update(zip(new, range(len(self.index), len(self.index) + len(new))))
+            self.sizes = np.concatenate([self.sizes, np.diff(np.append(starts, len(buckets)))])
+            self.starts = np.concatenate([self.starts, starts + len(self.buckets)])
+            self.buckets = np.concatenate([self.buckets, buckets])
+
+    def of(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The buckets of words by their numbers, flat, and how many each word has."""
+        sizes = self.sizes[ids]
+        ends = np.cumsum(sizes)
+        return self.buckets[np.repeat(self.starts[ids] - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)], sizes
+
+
+def document_counts(slices: Iterable[list[str]]) -> np.ndarray:
+    """In how many texts each bucket occurs."""
+    counts, place, words = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64), Words()
+    for texts in slices:
+        docs = [set(split(t)) - {""} for t in texts]
+        words.add(set().union(*docs))
+        met, sizes = words.of(np.fromiter((words.index[w] for d in docs for w in d), np.int64))
+        ends = np.append(0, np.cumsum(sizes))[np.append(0, np.cumsum([len(d) for d in docs]))]
+        for start, end in zip(ends, ends[1:]):
+            own, at = met[start:end], np.arange(end - start)
+            place[own] = at
+            counts[own[place[own] == at]] += 1  # each bucket once
+    return counts
+
+
+def first(alive: np.ndarray, seed: int) -> Model:
+    """A model that has learnt nothing; n-grams that are not alive stay at zero."""
+    rng, scale = np.random.RandomState(seed), 0.3
+    return Model(
         (rng.randn(BUCKETS, DIM) * 0.05 * alive[:, None]).astype(np.float32),
         [(rng.randn(w, DIM, FILTERS) * scale).astype(np.float32) for w in WIDTHS],
         [np.zeros(FILTERS, np.float32) for _ in WIDTHS],
         (rng.randn(len(WIDTHS) * FILTERS) * scale).astype(np.float32),
         0.0,
     )
-    n_pos, n = max(1.0, float(y.sum())), len(y)
-    weight = np.where(y > 0, n / (2 * n_pos), n / (2 * max(1.0, n - n_pos)))
-    params = [model.table, *model.filters, *model.bias, model.out]
-    moments = [(np.zeros_like(p), np.zeros_like(p)) for p in params]
-    bias_m = bias_v = 0.0
-    step = 0
-    pad = max(WIDTHS) - 1
-    ids_of = [np.array([index[w] if w else -1 for w in d] + [-1] * pad, np.int64) for d in docs]
-    for _ in range(max(EPOCHS, LEAST_STEPS * BATCH // n)):
-        order = rng.permutation(n)
-        for at in range(0, n, BATCH):
+
+
+class Trainer:
+    """Adam on the weighted logistic loss, batch by batch; only the window that wins a filter's pooling learns.
+
+    `weights` are those of a clean and of a toxic row. The model's arrays are changed in place. What is held does not grow
+    with the number of batches.
+    """
+
+    def __init__(self, model: Model, alive: np.ndarray, weights: tuple[float, float], step: int = 0):
+        self.model, self.alive, self.weights, self.step = model, alive, weights, step
+        self.params = [model.table, *model.filters, *model.bias, model.out]
+        self.moments = [(np.zeros_like(p), np.zeros_like(p)) for p in self.params]
+        self.bias_m = self.bias_v = 0.0
+        self.own = 0  # steps of this trainer, whose moments begin at zero
+        self.words = Words()
+
+    def learn(self, docs: list[list[str]], labels: list[int]) -> None:
+        """One step."""
+        model, pad = self.model, max(WIDTHS) - 1
+        # texts of unknown words only have nothing toxic about them: some blank ones say so
+        blank = max(1, labels.count(0) // 10)
+        docs, y = docs + [[""]] * blank, np.array([*labels, *[0] * blank], np.float32)
+        self.words.add(w for d in docs for w in d)
+        index = self.words.index
+        ids = np.fromiter((i for d in docs for i in ([index[w] if w else -1 for w in d] + [-1] * pad)), np.int64)
+        ends = np.cumsum([len(d) + pad for d in docs])
+        begin = np.concatenate(([0], ends[:-1]))
+        used, inverse = np.unique(ids, return_inverse=True)
+        vec = np.zeros((len(used), DIM), np.float32)
+        real = used[used >= 0]
+        if len(real):
+            own, sizes = self.words.of(real)
+            vec[used >= 0] = np.add.reduceat(model.table[own], np.cumsum(sizes) - sizes, axis=0)
+        x = vec[inverse]
+        doc = np.repeat(np.arange(len(docs)), np.diff(np.concatenate(([0], ends))))
+        zs = model.pool(x, ends)
+        tops = [np.maximum.reduceat(z, begin, axis=0) for z in zs]
+        top = np.concatenate(tops, axis=1)
+        feats = np.maximum(top, 0)
+        p = 1 / (1 + np.exp(-np.clip(feats @ model.out + model.out_bias, -60, 60)))
+        g = ((p - y) * np.where(y > 0, self.weights[1], self.weights[0]) / len(y)).astype(np.float32)
+        grads = [np.zeros_like(q) for q in self.params[1:]]
+        grads[-1] = feats.T @ g
+        d_top = np.outer(g, model.out) * (top > 0)
+        inside = np.concatenate([inverse, np.full(pad, len(used))])  # windows at the very end reach beyond it
+        vec = np.concatenate([vec, np.zeros((1, DIM), np.float32)])
+        dv = np.zeros_like(vec)
+        for k, (w, z, t) in enumerate(zip(WIDTHS, zs, tops)):
+            r, c = np.nonzero(z == t[doc])
+            win = np.zeros(t.shape, np.int64)
+            win[doc[r][::-1], c[::-1]] = r[::-1]  # the first of equal windows
+            d = d_top[:, k * FILTERS : (k + 1) * FILTERS]
+            grads[len(WIDTHS) + k] = d.sum(0)
+            for j in range(w):
+                word = inside[win + j]
+                grads[k][j] = np.einsum("bf,bfd->df", d, vec[word])
+                np.add.at(dv, word.ravel(), (d[:, :, None] * model.filters[k][j].T[None]).reshape(-1, DIM))
+        self.step += 1
+        self.own += 1
+        hit = np.flatnonzero(np.abs(dv[:-1]).sum(1) > 0)
+        hit = hit[used[hit] >= 0]
+        lr = RATE * min(1.0, self.step / 20)
+        if len(hit):
+            own, sizes = self.words.of(used[hit])
+            gb = np.repeat(dv[hit], sizes, axis=0)
+            ub, ib = np.unique(own, return_inverse=True)
+            ge = np.zeros((len(ub), DIM), np.float32)
+            np.add.at(ge, ib, gb)
+            ge *= self.alive[ub][:, None]
+            m, v = self.moments[0]
+            m[ub] = 0.9 * m[ub] + 0.1 * ge
+            v[ub] = 0.99 * v[ub] + 0.01 * ge * ge
+            model.table[ub] -= (lr * m[ub] / (np.sqrt(v[ub]) + 1e-6)) * self.alive[ub][:, None]
+        for q, gq, (m, v) in zip(self.params[1:], grads, self.moments[1:]):
+            m *= 0.9
+            m += 0.1 * gq
+            v *= 0.99
+            v += 0.01 * gq * gq
+            q -= (lr * (m / (1 - 0.9 ** min(self.own, 500))) / (np.sqrt(v / (1 - 0.99 ** min(self.own, 2000))) + 1e-6)).astype(np.float32)
+        gb0 = float(g.sum())
+        self.bias_m, self.bias_v = 0.9 * self.bias_m + 0.1 * gb0, 0.99 * self.bias_v + 0.01 * gb0 * gb0
+        model.out_bias -= lr * self.bias_m / (self.bias_v**0.5 + 1e-6)
+
+
+def class_weights(toxic: int, clean: int) -> tuple[float, float]:
+    """Weights of a clean and of a toxic row: both classes, with the blank texts of the clean one, weigh the same."""
+    clean += 1 + clean // 10
+    n = toxic + clean
+    return n / (2 * max(1, clean)), n / (2 * max(1, toxic))
+
+
+def epochs(rows: int) -> int:
+    """How often each row is learnt from: once, or as often as it takes for a chain of the least length."""
+    return max(1, -(-LEAST_STEPS * BATCH // max(1, rows)))
+
+
+def train(texts: list[str], labels: list[int], seed: int = 1) -> Model:
+    """A model of rows in memory, learnt in one chain of steps."""
+    rng, docs = np.random.RandomState(seed), [split(t) for t in texts]
+    # n-grams of few documents only stay at zero: they could be learnt by heart
+    alive = document_counts([texts]) >= LEAST_DF
+    trainer = Trainer(first(alive, seed), alive, class_weights(sum(labels), labels.count(0)))
+    for _ in range(epochs(len(docs))):
+        order = rng.permutation(len(docs))
+        for at in range(0, len(docs), BATCH):
             rows = order[at : at + BATCH]
-            ids = np.concatenate([ids_of[r] for r in rows])
-            ends = np.cumsum([len(ids_of[r]) for r in rows])
-            begin = np.concatenate(([0], ends[:-1]))
-            used, inverse = np.unique(ids, return_inverse=True)
-            vec = np.zeros((len(used), DIM), np.float32)
-            real = used[used >= 0]
-            spans = np.concatenate([np.arange(starts[i], starts[i] + sizes[i]) for i in real]) if len(real) else np.zeros(0, np.int64)
-            at_word = np.concatenate(([0], np.cumsum(sizes[real])[:-1])) if len(real) else np.zeros(0, np.int64)
-            if len(real):
-                vec[used >= 0] = np.add.reduceat(model.table[buckets[spans]], at_word, axis=0)
-            x = vec[inverse]
-            doc = np.repeat(np.arange(len(rows)), np.diff(np.concatenate(([0], ends))))
-            zs = model.pool(x, ends)
-            tops = [np.maximum.reduceat(z, begin, axis=0) for z in zs]
-            top = np.concatenate(tops, axis=1)
-            feats = np.maximum(top, 0)
-            p = 1 / (1 + np.exp(-np.clip(feats @ model.out + model.out_bias, -60, 60)))
-            g = ((p - y[rows]) * weight[rows] / len(rows)).astype(np.float32)
-            grads = [np.zeros_like(q) for q in params[1:]]
-            grads[-1] = feats.T @ g
-            d_top = np.outer(g, model.out) * (top > 0)
-            dx = np.zeros((len(x) + pad, DIM), np.float32)
-            for k, (w, z, t) in enumerate(zip(WIDTHS, zs, tops)):
-                r, c = np.nonzero(z == t[doc])
-                win = np.zeros(t.shape, np.int64)
-                win[doc[r][::-1], c[::-1]] = r[::-1]  # the first of equal windows
-                d = d_top[:, k * FILTERS : (k + 1) * FILTERS]
-                grads[len(WIDTHS) + k] = d.sum(0)
-                px = np.concatenate([x, np.zeros((pad, DIM), np.float32)])
-                for j in range(w):
-                    grads[k][j] = np.einsum("bf,bfd->df", d, px[win + j])
-                    np.add.at(dx, (win + j).ravel(), (d[:, :, None] * model.filters[k][j].T[None]).reshape(-1, DIM))
-            step += 1
-            dv = np.zeros((len(used), DIM), np.float32)
-            np.add.at(dv, inverse, dx[: len(x)])
-            hit = np.flatnonzero(np.abs(dv).sum(1) > 0)
-            hit = hit[used[hit] >= 0]
-            lr = RATE * min(1.0, step / 20)
-            if len(hit):
-                w = used[hit]
-                b = np.concatenate([buckets[starts[i] : starts[i] + sizes[i]] for i in w])
-                gb = np.repeat(dv[hit], sizes[w], axis=0)
-                ub, ib = np.unique(b, return_inverse=True)
-                ge = np.zeros((len(ub), DIM), np.float32)
-                np.add.at(ge, ib, gb)
-                ge *= alive[ub][:, None]
-                m, v = moments[0]
-                m[ub] = 0.9 * m[ub] + 0.1 * ge
-                v[ub] = 0.99 * v[ub] + 0.01 * ge * ge
-                model.table[ub] -= (lr * m[ub] / (np.sqrt(v[ub]) + 1e-6)) * alive[ub][:, None]
-            for q, gq, (m, v) in zip(params[1:], grads, moments[1:]):
-                m *= 0.9
-                m += 0.1 * gq
-                v *= 0.99
-                v += 0.01 * gq * gq
-                q -= (lr * (m / (1 - 0.9 ** min(step, 500))) / (np.sqrt(v / (1 - 0.99 ** min(step, 2000))) + 1e-6)).astype(np.float32)
-            gb0 = float(g.sum())
-            bias_m, bias_v = 0.9 * bias_m + 0.1 * gb0, 0.99 * bias_v + 0.01 * gb0 * gb0
-            model.out_bias -= lr * bias_m / (bias_v**0.5 + 1e-6)
-    return model
+            trainer.learn([docs[r] for r in rows], [labels[r] for r in rows])
+    return trainer.model
 
 
 def best_limit(z: np.ndarray, y: np.ndarray) -> float:
@@ -246,45 +324,213 @@ def fold(doc_id: Column) -> Column:
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(5))
 
 
+def labelled(docs: DataFrame, own: DataFrame, count: int) -> DataFrame:
+    """The rows of `docs` that `own`, a table of `count` ids, has. Of many ids only a bitmap of their hashes is broadcast; it spares most other rows the shuffle of the exact join."""
+    if count <= BROADCAST_ROWS:
+        return docs.join(F.broadcast(own), "doc_id")
+    if docs.schema["doc_id"].dataType == own.schema["doc_id"].dataType:
+        place = F.pmod(F.xxhash64("doc_id"), F.lit(BITS)) + 1
+        bits = own.groupBy(F.bitmap_bucket_number(place).alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("_bits"))
+        at = F.bitmap_bit_position(place)
+        byte = F.conv(F.hex(F.substring("_bits", (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+        docs = docs.withColumn("_bucket", F.bitmap_bucket_number(place)).join(F.broadcast(bits), "_bucket").where(F.getbit(byte, (at % 8).cast("int")) == 1).drop("_bucket", "_bits")
+    return docs.join(own.hint("merge"), "doc_id")
+
+
+def _alive(rows: DataFrame) -> np.ndarray:
+    """Which buckets occur in enough texts of all `rows`."""
+    size = BUCKETS // PIECES
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("toxicity's training", lambda: None)
+        counts = document_counts(texts for _, texts in text_batches(batches, "text"))
+        yield pa.RecordBatch.from_arrays([pa.array(range(PIECES), pa.int32()), pa.array([counts[p * size : (p + 1) * size].tobytes() for p in range(PIECES)])], names=["piece", "counts"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        piece, total = None, np.zeros(size, np.int64)
+        for batch in batches:
+            for p, counts in zip(batch.column("piece").to_pylist(), batch.column("counts").to_pylist()):
+                piece = p
+                total += np.frombuffer(counts, np.int64)
+        if piece is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([piece], pa.int32()), pa.array([np.packbits(total >= LEAST_DF).tobytes()])], names=["piece", "alive"])
+
+    counted = rows.select("text").mapInArrow(count, "piece int, counts binary").repartitionById(PIECES, F.col("piece"))
+    alive = np.zeros(BUCKETS, bool)
+    for r in counted.mapInArrow(add, "piece int, alive binary").collect():
+        alive[r["piece"] * size : (r["piece"] + 1) * size] = np.unpackbits(np.frombuffer(r["alive"], np.uint8)).astype(bool)
+    return alive
+
+
+def _learnt(rows: DataFrame, chains: int, model: Model, alive: np.ndarray, weights: tuple[float, float], step: int) -> int:
+    """Learns from `rows` (chain, place, toxic, text) in chains of steps that begin at `model`, which becomes their mean; the steps of a chain.
+
+    A bucket's weights become the mean over the chains that changed them. Sums are taken in the order of chains.
+    """
+    size = BUCKETS // PIECES
+    shared = rows.sparkSession.sparkContext.broadcast((model.bare(), alive))
+    schema, weights_small = "piece int, chain int, at binary, delta binary", len(model.small())
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("toxicity's training", lambda: None)
+        start, alive = shared.value
+        trainer, chain, docs, labels, held = Trainer(start.copy(), alive, weights, step), None, [], [], 0
+        for batch, texts in text_batches(batches, "text"):
+            for chain, y, text in zip(batch.column("chain").to_pylist(), batch.column("toxic").to_pylist(), texts):
+                docs.append(split(text))
+                labels.append(y)
+                held += len(text)
+                if len(docs) == BATCH or held >= BATCH_CHARS:
+                    trainer.learn(docs, labels)
+                    docs, labels, held = [], [], 0
+        if docs:
+            trainer.learn(docs, labels)
+        if chain is None:
+            return
+        delta = trainer.model.table - start.table
+        changed = delta.any(axis=1)
+        for p in range(PIECES):
+            part = slice(p * size, (p + 1) * size)
+            at = np.flatnonzero(changed[part]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([chain], pa.int32()), pa.array([at.tobytes()]), pa.array([delta[part][at].tobytes()])], names=["piece", "chain", "at", "delta"])
+        rest = np.append(trainer.model.small() - start.small(), float(trainer.own))
+        yield pa.RecordBatch.from_arrays([pa.array([PIECES], pa.int32()), pa.array([chain], pa.int32()), pa.array([b""]), pa.array([rest.tobytes()])], names=["piece", "chain", "at", "delta"])
+
+    def mean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        piece, total, times = None, np.zeros((size, DIM)), np.zeros((size, 1), np.int64)
+        rest, ended = np.zeros(weights_small + 1), 0
+        for batch in batches:
+            for piece, at, delta in zip(*(batch.column(c).to_pylist() for c in ("piece", "at", "delta"))):
+                if piece == PIECES:
+                    rest, ended = rest + np.frombuffer(delta, np.float64), ended + 1
+                else:
+                    rows = np.frombuffer(at, np.int32)
+                    total[rows] += np.frombuffer(delta, np.float32).reshape(-1, DIM)
+                    times[rows] += 1
+        if piece is not None:
+            out = rest / ended if piece == PIECES else (total / np.maximum(1, times)).astype(np.float32)
+            yield pa.RecordBatch.from_arrays([pa.array([piece], pa.int32()), pa.array([out.tobytes()])], names=["piece", "delta"])
+
+    dealt = rows.select("chain", "place", "toxic", "text").repartitionById(chains, F.col("chain")).sortWithinPartitions("place", "text")
+    found = dealt.mapInArrow(learn, schema).repartitionById(PIECES + 1, F.col("piece")).sortWithinPartitions("chain")
+    for r in found.mapInArrow(mean, "piece int, delta binary").collect():
+        if r["piece"] < PIECES:
+            model.table[r["piece"] * size : (r["piece"] + 1) * size] += np.frombuffer(r["delta"], np.float32).reshape(-1, DIM)
+        else:
+            rest = np.frombuffer(r["delta"], np.float64)
+            model.set_small(model.small() + rest[:-1])
+            step += max(1, int(rest[-1]))
+    shared.destroy()
+    return step
+
+
+def _trained(rows: DataFrame, toxic: int, clean: int, seed: int) -> Model:
+    """A model that has learnt from each of `rows` (doc_id, toxic, text).
+
+    As many chains learn beside each other as have steps enough, and their weights are averaged after each round. Which
+    rows a chain has and their order follow from hashes of their ids, not from how the table is cut.
+    """
+    n = toxic + clean
+    alive = _alive(rows)
+    model, weights = first(alive, seed), class_weights(toxic, clean)
+    chains = max(1, min(CHAINS, n // (LEAST_STEPS * BATCH)))
+    times = epochs(n)
+    rounds = 1 if chains == 1 else min(ROUNDS, -(-n // (chains * BATCH * ROUND_STEPS)))
+    own = rows.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(times - 1)))) if times > 1 else rows.withColumn("epoch", F.lit(0))
+    place = F.struct("epoch", F.xxhash64("doc_id", "epoch", F.lit(seed)))
+    own = own.select(F.pmod(F.xxhash64("doc_id", F.lit(seed + 1)), F.lit(chains)).cast("int").alias("chain"), F.pmod(F.xxhash64("doc_id", F.lit(seed + 2)), F.lit(rounds)).alias("round"), place.alias("place"), "toxic", "text")
+    step = 0
+    for r in range(rounds):
+        step = _learnt(own.where(F.col("round") == r), chains, model, alive, weights, step)
+    return model
+
+
+def _logits(rows: DataFrame, model: Model) -> DataFrame:
+    """lang, toxic and logit z of each row's whole text."""
+    shared = rows.sparkSession.sparkContext.broadcast(model.bare())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value
+        claim("toxicity", model.forget)
+        for batch, texts in text_batches(batches, "text"):
+            yield pa.RecordBatch.from_arrays([batch.column("lang"), batch.column("toxic"), pa.array(model.logits(texts).astype(np.float64))], names=["lang", "toxic", "z"])
+
+    slim = rows.select("lang", "toxic", "text")
+    out = written(slim.mapInArrow(run, slim.select("lang", "toxic", F.lit(0.0).alias("z")).schema), "logits")
+    shared.destroy()
+    return out
+
+
+def best_gaps(rows: DataFrame, by: Column) -> dict[str, tuple[float, float | None, int, int]]:
+    """For each value of `by`, the two z between which `best_limit` lies (the lower one is None at the end), and its toxic and clean rows.
+
+    Exact over all rows (toxic, z), in bins of z, so that no task has to sort them all; nulls of `by` and groups of one
+    class have none.
+    """
+    same = rows.select(by.alias("g"), "toxic", "z").where("g is not null").groupBy("g", "z").agg(F.sum("toxic").alias("pos"), F.count(F.lit(1)).alias("n"))
+    ends = same.groupBy("g").agg(F.min("z").alias("lo"), F.max("z").alias("hi"), F.sum("pos").alias("total"), F.sum("n").alias("all")).where("total > 0 and total < all")
+    width = F.col("hi") - F.col("lo")
+    place = F.when(width > 0, F.least(F.floor((F.col("z") - F.col("lo")) / width * BINS), F.lit(BINS - 1))).otherwise(F.lit(0))
+    binned = same.join(F.broadcast(ends), "g").withColumn("bin", place.cast("int"))
+    higher = Window.partitionBy("g").orderBy(F.desc("bin")).rowsBetween(Window.unboundedPreceding, -1)
+    sums = binned.groupBy("g", "bin").agg(F.sum("pos").alias("pos"), F.sum("n").alias("n"))
+    above = sums.select("g", "bin", F.coalesce(F.sum("pos").over(higher), F.lit(0)).alias("pos_above"), F.coalesce(F.sum("n").over(higher), F.lit(0)).alias("n_above"))
+    down = Window.partitionBy("g", "bin").orderBy(F.desc("z")).rowsBetween(Window.unboundedPreceding, 0)
+    f1 = 2 * (F.col("pos_above") + F.sum("pos").over(down)) / (F.col("n_above") + F.sum("n").over(down) + F.col("total"))
+    best = binned.join(F.broadcast(above), ["g", "bin"]).select("g", "z", "total", "all", f1.alias("f1")).groupBy("g").agg(F.max(F.struct("f1", "z")).alias("best"), F.max("total").alias("total"), F.max("all").alias("all"))
+    best = best.select("g", F.col("best.z").alias("top"), "total", "all")
+    found = same.join(F.broadcast(best), "g").groupBy("g").agg(F.first("top").alias("top"), F.max(F.when(F.col("z") < F.col("top"), F.col("z"))).alias("low"), F.first("total").alias("total"), F.first("all").alias("all"))
+    return {r["g"]: (r["top"], r["low"], r["total"], r["all"] - r["total"]) for r in found.collect()}
+
+
+def _calibrate(model: Model, rows: DataFrame, prior_rows: int) -> None:
+    """Sets the model's common limit, its slope and the languages' limits by all of `rows`."""
+    scored = _logits(rows, model)
+    common = best_gaps(scored, F.lit(""))
+    if not common:
+        return
+    top, low, toxic, clean = common[""]
+    # a text without known words stays below the limit
+    model.middle = max(top - 1.0 if low is None else (top + low) / 2, float(model.logits([""])[0]) + 1e-3)
+    # whole millionths, so that the sum does not depend on the order of rows
+    spread = scored.agg(F.sum(F.round(F.abs(F.col("z") - model.middle) * 1_000_000).cast("long")).alias("sum")).first()["sum"] / 1_000_000 / (toxic + clean)
+    model.slope = float(3.0 / spread) if spread > 1e-6 else 1.0
+    # no language's limit lets a text without known words go
+    least = max(0.3, float(model.scores([""])[0]) + 1e-6)
+    for lang, (top, low, toxic, clean) in best_gaps(scored, F.when(F.col("lang") != "", F.col("lang"))).items():
+        few, at = min(toxic, clean), model.logistic(np.array([top, top if low is None else low]))
+        own_limit = (few * (at[0] - 1.0 if low is None else at.mean()) + prior_rows * 0.5) / (few + prior_rows)
+        model.limits[lang] = float(np.clip(own_limit, least, max(0.7, least)))
+
+
 def fit(docs: DataFrame, labels: DataFrame, seed: int = 1, prior_rows: int = 20) -> Model:
-    """Trains on a bounded sample of the labelled rows whose fold is 1 to 3, and calibrates on that of fold 4; fold 0 is never read.
+    """Learns from the whole text of every labelled row whose fold is 1 to 3, and sets limits by every one of fold 4; fold 0 is never read.
 
-    The sample takes rows in the order of a hash of their ids. Of conflicting labels of one id the toxic one counts. A
-    language's limit is drawn to the common one, 0.5, as if `prior_rows` rows of its rarer class had that limit; languages
-    without rows of both classes have 0.5. Without rows of both classes every score is the same: the share of toxic rows,
-    or 0 without rows. Null ids, labels and texts teach nothing.
+    Of conflicting labels of one id the toxic one counts, of several texts the least. A language's limit is drawn to the
+    common one, 0.5, as if `prior_rows` rows of its rarer class had that limit; languages without rows of both classes have
+    0.5. Without rows of both classes every score is the same: the share of toxic rows, or 0 without rows. Null ids, labels
+    and texts teach nothing. What the driver holds is one model.
     """
-    own = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic in (0, 1)").where(fold(F.col("doc_id")) != 0).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    order = F.xxhash64("doc_id", F.lit(seed))
-    sample = own.where("toxic = 1").orderBy(order).limit(TOXIC_ROWS).unionByName(own.where("toxic = 0").orderBy(order).limit(CLEAN_ROWS))
-    rows = docs.select("doc_id", "lang", "text").where(F.length("text") <= ROW_CHARS).join(F.broadcast(sample), "doc_id")
-    # one row an id, so that repeated rows do not lift the sample over its bound
-    rows = rows.groupBy("doc_id").agg(F.min(F.struct("text", "lang")).alias("r"), F.max("toxic").alias("toxic")).select("doc_id", "r.lang", "r.text", "toxic", fold(F.col("doc_id")).alias("fold")).collect()
-    rows.sort(key=lambda r: (r["doc_id"], r["text"]))
-    learn, check = [r for r in rows if r["fold"] != 4], [r for r in rows if r["fold"] == 4]
-    if len({r["toxic"] for r in learn}) < 2:
-        share = sum(r["toxic"] for r in rows) / len(rows) if rows else 0.0
-        flat = np.zeros(len(WIDTHS) * FILTERS, np.float32)
-        logit = float(np.log((share + 1e-9) / (1 - share + 1e-9)))
-        return Model(np.zeros((BUCKETS, DIM), np.float32), [np.zeros((w, DIM, FILTERS), np.float32) for w in WIDTHS], [np.zeros(FILTERS, np.float32) for _ in WIDTHS], flat, logit)
-    model = train([r["text"] for r in learn], [r["toxic"] for r in learn], seed)
-    y = np.array([r["toxic"] for r in check])
-    if 0 < y.sum() < len(y):
-        z = model.logits([r["text"] for r in check])
-        # a text without known words stays below the limit
-        model.middle = max(best_limit(z, y), float(model.logits([""])[0]) + 1e-3)
-        spread = np.median(np.abs(z - model.middle))
-        model.slope = float(3.0 / spread) if spread > 1e-6 else 1.0
-        s = 1 / (1 + np.exp(-np.clip(model.slope * (z - model.middle), -60, 60)))
-        # no language's limit lets a text without known words go
-        least = max(0.3, float(model.scores([""])[0]) + 1e-6)
-        for lang in {r["lang"] for r in check if r["lang"]}:
-            at = np.array([r["lang"] == lang for r in check])
-            few = int(min(y[at].sum(), at.sum() - y[at].sum()))
-            if few:
-                own_limit = (few * best_limit(s[at], y[at]) + prior_rows * 0.5) / (few + prior_rows)
-                model.limits[lang] = float(np.clip(own_limit, least, max(0.7, least)))
-    return model
+    spark = docs.sparkSession
+    with Scratch(spark), small_batches(spark):
+        own = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic in (0, 1)").where(fold(F.col("doc_id")) != 0).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+        own = written(own, "labels")
+        rows = labelled(docs.select("doc_id", "lang", "text").where("text is not null"), own, own.count())
+        # one row an id
+        rows = rows.groupBy("doc_id").agg(F.min(F.struct("text", "lang")).alias("r"), F.max("toxic").alias("toxic")).select("doc_id", "r.lang", "r.text", "toxic", fold(F.col("doc_id")).alias("fold"))
+        rows = written(rows, "labelled")
+        n = {(r["learn"], r["toxic"]): r["count"] for r in rows.groupBy((F.col("fold") != 4).alias("learn"), "toxic").count().collect()}
+        toxic, clean = n.get((True, 1), 0), n.get((True, 0), 0)
+        if not (toxic and clean):
+            total = sum(n.values())
+            share = (toxic + n.get((False, 1), 0)) / total if total else 0.0
+            model = first(np.zeros(BUCKETS, bool), seed)
+            model.set_small(np.zeros(len(model.small())))
+            model.out_bias = float(np.log((share + 1e-9) / (1 - share + 1e-9)))
+            return model
+        model = _trained(rows.where("fold <> 4"), toxic, clean, seed)
+        _calibrate(model, rows.where("fold = 4"), prior_rows)
+        return model
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", out: str = "score", keep_text: bool = False) -> DataFrame:

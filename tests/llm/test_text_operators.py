@@ -543,6 +543,60 @@ def test_classifier_learns_and_scores_held_out_rows(spark):
     assert {9001, 9002, 9003} <= kept
 
 
+def test_classifier_counts_every_labelled_row_and_whole_texts(spark):
+    fold = lambda i: zlib.crc32(str(i).encode()) % 5
+    own = [i for i in range(9000) if fold(i) in (1, 2, 3)]
+    # each word stands in four rows, the fewest that count; a toxic row's mark comes after 21,000 characters
+    text = {i: f"word{k % (len(own) // 4)}q common" for k, i in enumerate(own)}
+    marked = [i for i in range(9000, 9250)]
+    rows = [(i, t, "en", "s", 1) for i, t in text.items()] + [(i, "calm " * 4200 + "zxqvar", "en", "s", 1) for i in marked] + [(i + 1000, "calm " * 4200, "en", "s", 1) for i in marked]
+    labels = spark.createDataFrame([(r[0], 1, int(r[0] in marked)) for r in rows], "doc_id long, quality int, toxic int")
+    model = toxicity.fit(spark.createDataFrame(rows, SCHEMA), labels)
+    words = sorted({t.split()[0] for t in list(text.values())[: len(own) // 4 * 4]})
+    buckets, starts = toxicity.hashes(words)
+    assert len(words) > 1300 and model.table[buckets[starts]].any(axis=1).all()
+    assert (model.scores(["calm " * 5000 + "zxqvar", "calm " * 5000, "common"]) >= 0.5).tolist() == [True, False, False]
+
+
+def test_chains_learn_from_all_rows_however_the_table_is_cut(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "LEAST_STEPS", 25)
+    monkeypatch.setattr(toxicity, "ROUND_STEPS", 10)
+    rows = toxic_rows(6000)
+    df = spark.createDataFrame([r[:5] for r in rows], SCHEMA)
+    labels = spark.createDataFrame([(r[0], 1, r[5]) for r in rows], "doc_id long, quality int, toxic int")
+    read = []
+    learnt = toxicity._learnt
+    monkeypatch.setattr(toxicity, "_learnt", lambda own, chains, *a: (read.append((chains, own.count())), learnt(own, chains, *a))[1])
+    model = toxicity.fit(df, labels)
+    assert sum(n for _, n in read) == sum(zlib.crc32(str(r[0]).encode()) % 5 in (1, 2, 3) for r in rows)
+    assert {c for c, _ in read} == {2} and len(read) == 3
+    other = toxicity.fit(df.repartition(7), labels.repartition(3))
+    assert np.array_equal(model.table, other.table) and np.array_equal(model.small(), other.small())
+    held = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 5 == 0]
+    assert np.mean((model.scores([r[1] for r in held]) >= 0.5) == [bool(r[5]) for r in held]) > 0.95
+
+
+def test_limits_of_all_rows_are_those_of_rows_in_memory(spark):
+    draw = np.random.RandomState(4)
+    rows = [(str(k % 3) if k % 7 else None, int(y), float(np.round(draw.randn() + y, 1 + k % 2))) for k, y in enumerate(draw.rand(3000) < 0.2)]
+    rows += [("one class", 0, 1.0), ("apart", 1, 2.0), ("apart", 0, 1.0), ("last", 1, -1.0), ("last", 1, 0.5), ("last", 0, 0.0), ("equal", 1, 3.0), ("equal", 0, 3.0)]
+    got = toxicity.best_gaps(spark.createDataFrame(rows, "lang string, toxic int, z double").repartition(5), F.col("lang"))
+    assert set(got) == {"0", "1", "2", "apart", "last", "equal"}
+    for lang, (top, low, toxic, clean) in got.items():
+        z, y = (np.array([r[c] for r in rows if r[0] == lang]) for c in (2, 1))
+        assert (top - 1.0 if low is None else (top + low) / 2) == toxicity.best_limit(z, y) and (toxic, clean) == (y.sum(), len(y) - y.sum())
+
+
+def test_bitmap_of_labels_leaves_all_labelled_rows(spark, monkeypatch):
+    df = spark.range(-3000, 3000).select(F.col("id").alias("doc_id"), F.lit("t").alias("text"))
+    own = spark.range(-6000, 6000, 7).select(F.col("id").alias("doc_id"), F.lit(1).alias("toxic"))
+    few = {tuple(r) for r in toxicity.labelled(df, own, own.count()).collect()}
+    monkeypatch.setattr(toxicity, "BROADCAST_ROWS", 0)
+    many = toxicity.labelled(df, own, own.count())
+    assert len(few) > 800 and {tuple(r) for r in many.collect()} == few and many.columns == ["doc_id", "text", "toxic"]
+    assert "bitmap" in many._jdf.queryExecution().toString()
+
+
 def test_classifier_without_labels(spark):
     df = docs(spark, ["a", None])
     model = toxicity.fit(df, spark.createDataFrame([], "doc_id long, quality int, toxic int"))
